@@ -12,7 +12,7 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, orc_store, packing, quality, secrets, sentence_pieces, simhash
+from . import common, line_dedup, orc_store, packing, quality, secrets, sentence_pieces, simhash, syncmers
 
 
 def vocabulary(name: str) -> str:
@@ -31,6 +31,19 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: its lines, the places of those deleted, and a digest of the text that stays."""
+    docs = table(spark, sf_dir, "documents").withColumn("n_lines", F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long"))
+    cut = line_dedup.dedup_lines(docs)
+    return cut.select(
+        "doc_id",
+        "n_lines",
+        F.size("removed").cast("long").alias("n_removed"),
+        F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed"),
+        F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"),
+    )
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=2)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "used")
@@ -74,14 +87,21 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op9_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = syncmers.against_edits(table(spark, sf_dir, "documents"))
+    return held.withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256)).drop("edited")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
+        "op2_line_dedup": op2_line_dedup,
         "op3_packing": op3_packing,
         "op4_simhash": op4_simhash,
         "op6_secrets": op6_secrets,
         "op7_orc_tokens": op7_orc_tokens,
         "op8_sentencepiece": op8_sentencepiece,
+        "op9_syncmers": op9_syncmers,
     }
 
 
