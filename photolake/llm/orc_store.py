@@ -21,6 +21,8 @@ FILE_CHARS = 16_000_000
 #: Bytes of a stripe, and rows between two entries of its row index.
 STRIPE_BYTES = 4 << 20
 INDEX_ROWS = 1000
+#: Files up to whose number their places are broadcast (some 100 bytes each).
+BROADCAST_FILES = 100_000
 ROW = "doc_id long, start_in_file long, n_tokens int, tokens array<int>"
 
 
@@ -72,6 +74,8 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     ends = stored.groupBy("_file").agg(F.sum("n_tokens").alias("ids"))
     before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
     bases = ends.select("_file", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("_base"))
+    if len(stored.inputFiles()) <= BROADCAST_FILES:
+        bases = F.broadcast(bases)  # one short row a file; with more files, Spark joins as it sees fit
     return stored.join(bases, "_file").select("doc_id", (F.col("_base") + F.col("start_in_file")).alias("start"), F.col("n_tokens").cast("long").alias("n_tokens"), "tokens")
 
 

@@ -55,8 +55,11 @@ class PieceEncoder:
         out = []
         for at in range(0, len(texts), TEXTS_AT_ONCE):
             cut = [self.pieces(x) for x in texts[at : at + TEXTS_AT_ONCE]]
-            self.learn(set().union(*cut))
-            out += [b"".join([self.known[x] for x in parts]) for parts in cut]
+            found = [list(map(self.known.get, parts)) for parts in cut]
+            new = {x for parts, ids in zip(cut, found, strict=True) if None in ids for x, i in zip(parts, ids, strict=True) if i is None}
+            self.learn(new)
+            known = self.known
+            out += [b"".join([known[x] if i is None else i for x, i in zip(parts, ids, strict=True)] if None in ids else ids) for parts, ids in zip(cut, found, strict=True)]
         return out
 
     def learn(self, pieces: set[str]) -> None:
@@ -66,10 +69,15 @@ class PieceEncoder:
         """
         if len(self.known) > KEPT_PIECES:
             self.known, self.older = {}, self.known
-        new = self.remembered(pieces)
-        split = {x: _inner.split(x) for x in new}
-        words = list(self.remembered(set().union(*split.values())))
-        for word, got in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
+        words, split = set(), {}
+        for x in self.remembered(pieces):
+            if x.isalnum() or x[1:].isalnum():
+                words.add(x)
+            else:
+                split[x] = parts = _inner.split(x)
+                words.update(parts)
+        new = list(self.remembered(words))
+        for word, got in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
             self.known[word] = array("I", got.ids).tobytes()
         for piece, parts in split.items():
             if len(parts) > 1:
@@ -77,10 +85,13 @@ class PieceEncoder:
 
     def remembered(self, pieces: set[str]) -> set[str]:
         """Takes over what the generation before knows of these; what neither knows."""
-        new = pieces.difference(self.known)
-        again = {x for x in new if x in self.older}
-        self.known.update((x, self.older[x]) for x in again)
-        return new - again
+        known, older = self.known, self.older
+        new = {x for x in pieces if x not in known}
+        if older:
+            for x in [x for x in new if x in older]:
+                known[x] = older[x]
+                new.remove(x)
+        return new
 
 
 _encoders: dict[tuple[str, bool], PieceEncoder] = {}
