@@ -12,7 +12,7 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, line_dedup, orc_store, packing, quality, secrets, sentence_pieces, simhash, syncmers
+from . import common, hmm, line_dedup, orc_store, packing, quality, secrets, sentence_pieces, simhash, syncmers
 
 
 def vocabulary(name: str) -> str:
@@ -92,6 +92,10 @@ def op9_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256)).drop("edited")
 
 
+def op10_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
@@ -102,6 +106,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_orc_tokens": op7_orc_tokens,
         "op8_sentencepiece": op8_sentencepiece,
         "op9_syncmers": op9_syncmers,
+        "op10_hmm": op10_hmm,
     }
 
 
