@@ -12,7 +12,7 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, hmm, line_dedup, orc_store, packing, quality, secrets, sentence_pieces, simhash, syncmers
+from . import common, hmm, line_dedup, orc_store, packing, quality, secrets, sentence_pieces, simhash, syncmers, wrappers
 
 
 def vocabulary(name: str) -> str:
@@ -54,6 +54,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents"))
     count = lambda k: F.size(F.filter("base", lambda m: m["kind"] == k)).cast("long")
@@ -102,6 +106,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_line_dedup": op2_line_dedup,
         "op3_packing": op3_packing,
         "op4_simhash": op4_simhash,
+        "op5_html": op5_html,
         "op6_secrets": op6_secrets,
         "op7_orc_tokens": op7_orc_tokens,
         "op8_sentencepiece": op8_sentencepiece,
