@@ -77,8 +77,8 @@ def repeat_words(words: Column) -> Column:
     return F.when(F.size(words) <= WINDOW, F.lit(0)).otherwise(let(hashes, of_hashes))
 
 
-def measure(docs: DataFrame) -> DataFrame:
-    """Counts of each document's whole text, beside its columns as ``doc_id`` and ``text`` (null: no words)."""
+def measure(docs: DataFrame, *also: Column) -> DataFrame:
+    """Counts of each document's whole text (null: no words), beside ``doc_id``, ``text`` and what else is named."""
     text = F.coalesce("text", F.lit(""))
     without = lambda chars: F.length(F.translate(text, chars, ""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(WHITE)) != "")
@@ -95,12 +95,13 @@ def measure(docs: DataFrame) -> DataFrame:
     found = docs.select(
         "doc_id",
         "text",
+        F.struct(F.lit(0).alias("_"), *also).alias("_also"),
         let(words_of(text), counts).alias("_words"),
         by_line.alias("_lines"),
         (F.length(text) - without(SYMBOLS)).cast("long").alias("n_symbols"),
         (F.length(text) - F.length(F.replace(text, F.lit("!"), F.lit("")))).cast("long").alias("n_exclamations"),
     )
-    return found.select("doc_id", "text", "_words.*", "_lines.*", "n_symbols", "n_exclamations")
+    return found.select("doc_id", "text", "_also.*", "_words.*", "_lines.*", "n_symbols", "n_exclamations").drop("_")
 
 
 def verdict(rules: tuple[Rule, ...]) -> tuple[Column, Column]:
@@ -119,17 +120,22 @@ def verdict(rules: tuple[Rule, ...]) -> tuple[Column, Column]:
     return base, F.concat_ws(",", *[broken(x) for x in rules])
 
 
-def apply_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def apply_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *also: Column) -> DataFrame:
     """``doc_id, text``, the counts, ``base_failed``, ``failed`` (names of broken rules) and ``kept``.
 
     One projection over the scan: no shuffle, no user function. Null or empty text: no words, so base_failed.
     Null ids, repeated rows: kept as rows. Empty table: no rows.
     """
     base, failed = verdict(rules)
-    judged = measure(docs).withColumns({"base_failed": base, "failed": failed})
+    judged = measure(docs, *also).withColumns({"base_failed": base, "failed": failed})
     return judged.withColumn("kept", ~F.col("base_failed") & (F.col("failed") == ""))
 
 
+def kept_documents(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The rows of ``docs``, all their columns, that the rules keep."""
+    return apply_rules(docs, rules, F.struct(*docs.columns).alias("_doc")).where("kept").select("_doc.*")
+
+
 #: The same in DuckDB's SQL, on the view ``documents``.
 SQL = f"""
 WITH w AS (

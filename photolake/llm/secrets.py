@@ -27,6 +27,7 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 TRAINING_DOCUMENTS = 2000
 #: Mean log-likelihood ratio a character (natural logarithm) from which a string counts as random.
 THRESHOLD = 0.5
+MARK = "<secret>"
 
 
 def labelled_samples(docs: DataFrame, most: int = TRAINING_DOCUMENTS) -> DataFrame:
@@ -94,7 +95,7 @@ def matches(text: Column, pattern: str, kind: int) -> Column:
     return F.when(text.rlike(pattern), let(parts, placed)).otherwise(none)
 
 
-def scan(docs: DataFrame, table: list[float] | None = None, threshold: float = THRESHOLD) -> DataFrame:
+def scan(docs: DataFrame, table: list[float] | None = None, threshold: float = THRESHOLD, *also: Column) -> DataFrame:
     """``doc_id, text, base, added``: the secrets of each whole text as arrays of ``at, to, kind, found``.
 
     ``base`` holds what the patterns find, ``added`` what only the models find, which never touches a base span. The
@@ -104,7 +105,7 @@ def scan(docs: DataFrame, table: list[float] | None = None, threshold: float = T
     table = train(labelled_samples(docs)) if table is None else table
     text = F.coalesce("text", F.lit(""))
     assign = F.filter(matches(text, ASSIGN, 0), lambda m: F.length(F.regexp_extract(m["found"], ASSIGN, 2)) >= LEAST_VALUE)
-    fixed = docs.select("doc_id", text.alias("text"), F.array_sort(F.concat(assign, matches(text, ACCESS, 1), matches(text, HEX, 2))).alias("base"))
+    fixed = docs.select("doc_id", text.alias("text"), *also, F.array_sort(F.concat(assign, matches(text, ACCESS, 1), matches(text, HEX, 2))).alias("base"))
     maybe = F.filter(matches(F.col("text"), CANDIDATE, 3), lambda m: ratio(m["found"], table) > threshold)
     apart = lambda m: ~F.exists("base", lambda b: (b["at"] < m["to"]) & (m["at"] < b["to"]))
     return fixed.withColumn("added", F.filter(maybe, apart))
@@ -117,15 +118,22 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(ordered, lambda m: F.concat_ws(":", F.get(names, m["kind"]), m["at"].cast("string"), m["to"].cast("string"))), ",")
 
 
-def redact(scanned: DataFrame, mark: str = "<secret>") -> DataFrame:
-    """``doc_id, text`` with each run of overlapping spans replaced by a mark."""
+def redacted() -> Column:
+    """The text of a scanned row with each run of overlapping spans replaced by a mark."""
     spans = F.sort_array(F.transform(F.concat("base", "added"), lambda m: F.struct(m["at"].alias("at"), m["to"].alias("to"))))
 
     def step(acc: Column, m: Column) -> Column:
         gap = F.substring("text", acc["to"] + 1, m["at"] - acc["to"])
-        out = F.when(m["at"] < acc["to"], acc["out"]).otherwise(F.concat(acc["out"], gap, F.lit(mark)))
+        out = F.when(m["at"] < acc["to"], acc["out"]).otherwise(F.concat(acc["out"], gap, F.lit(MARK)))
         return F.struct(F.greatest(acc["to"], m["to"]).alias("to"), out.alias("out"))
 
     start = F.struct(F.lit(0).alias("to"), F.lit("").alias("out"))
     ended = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring("text", acc["to"] + 1, F.length("text"))))
-    return scanned.select("doc_id", F.when(F.size(spans) == 0, F.col("text")).otherwise(ended).alias("text"))
+    return F.when(F.size(spans) == 0, F.col("text")).otherwise(ended)
+
+
+def without_secrets(docs: DataFrame, table: list[float] | None = None) -> DataFrame:
+    """The rows of ``docs``, all their columns, with secrets in ``text`` replaced by a mark."""
+    scanned = scan(docs, table, THRESHOLD, F.struct(*docs.columns).alias("_doc"))
+    clean = F.when(F.col("_doc.text").isNotNull(), redacted()).alias("text")
+    return scanned.select(*[clean if c == "text" else F.col(f"_doc.`{c}`").alias(c) for c in docs.columns])

@@ -58,13 +58,13 @@ def fingerprint(text: str, shingle_words: int = SHINGLE_WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
-    """``doc_id, fp`` (the 64 bits as a signed long) of every whole text."""
+    """``doc_id, h`` (a hash of the text) and ``fp`` (the 64 bits as a signed long) of every whole text."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = np.array([fingerprint(x.as_py(), shingle_words) for x in batch.column("text")], "uint64")
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view("int64"))], ["doc_id", "fp"])
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array(found.view("int64"))], ["doc_id", "h", "fp"])
 
-    return map_batches(texts(docs), work, "doc_id long, fp long")
+    return map_batches(texts(docs).withColumn("h", F.xxhash64("text")), work, "doc_id long, h long, fp long")
 
 
 class BKForest:
@@ -184,16 +184,25 @@ def link(distinct: DataFrame, radius: int = RADIUS, shard_fingerprints: int = SH
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
-    """``doc_id, fp, component_id`` for every row; the component is the smallest id that links reach.
+    """``doc_id, h, fp, component_id, first`` for every row; the component is the smallest id that links reach.
 
-    Null or empty text, or one of white space: fingerprint zero, linked like any other. Null ids: rows of their own,
-    with the smallest id of their component that isn't null. Repeated rows stay. Empty table: no rows. Equal texts
-    are one fingerprint from the first step on, so groups of copies of any size cost one row.
+    ``first``: the row is the component's smallest by (doc_id, text hash), nulls last. Null or empty text, or one of
+    white space: fingerprint zero, linked like any other. Null ids: rows of their own, with the smallest id of their
+    component that isn't null. Repeated rows stay. Empty table: no rows. Equal texts are one fingerprint from the
+    first step on, so groups of copies of any size cost one row.
     """
     found = written(fingerprints(docs, shingle_words), "fingerprints")
-    distinct = written(found.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
+    place = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id"), "h")
+    distinct = written(found.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min(place).alias("place")), "distinct-fingerprints")
     roots = connected_components(link(distinct.select("fp")))
-    rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(smallest, "root").select("fp", "component_id")
-    return found.join(named, "fp").select("doc_id", "fp", "component_id")
+    rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", "place", F.coalesce("root", "fp").alias("root"))
+    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.min("place").alias("head"))
+    named = rooted.join(smallest, "root").select("fp", "component_id", "head")
+    return found.join(named, "fp").select("doc_id", "h", "fp", "component_id", (F.col("head") == place).alias("first"))
+
+
+def one_of_each_group(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
+    """The rows of ``docs``, all their columns, that come first in their group; of repeated rows one."""
+    firsts = near_duplicates(docs, shingle_words).where("first").select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("_id"), F.col("h").alias("_h")).distinct()
+    keyed = docs.select(F.struct(*docs.columns).alias("_doc"), F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_h"))
+    return keyed.join(firsts, ["_id", "_h"], "left_semi").dropDuplicates(["_id", "_h"]).select("_doc.*")
