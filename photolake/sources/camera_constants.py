@@ -24,9 +24,9 @@ def parse_constants(texts: DataFrame, column: str = "value") -> DataFrame:
     flat = levels.where(~F.col("w").startswith("[")).select("make_model", F.lit(None).cast("int").alias("iso"), "entry", F.col("w").cast("double").alias("white"))
     ranges = levels.where(F.col("w").startswith("[")).select("entry", "make_model", F.explode(F.from_json("w", "array<string>")).alias("r"))
     field = lambda p: F.get_json_object("r", p)
-    iso = ranges.select("entry", "make_model", "r", F.explode(many(field("$.iso"))).cast("int").alias("iso"))
-    by_iso = iso.select("make_model", "iso", "entry", F.explode(many(field("$.levels"))).cast("double").alias("white"))
-    return flat.unionByName(by_iso)
+    iso = ranges.select("entry", "make_model", "r", F.explode(many(field("$.iso"))).alias("iso"))
+    by_iso = iso.select("make_model", F.col("iso").cast("int").alias("iso"), "entry", F.explode(many(field("$.levels"))).alias("white"))
+    return flat.unionByName(by_iso.withColumn("white", F.col("white").cast("double")))
 
 
 def read_camera_constants(spark: SparkSession, path: str) -> DataFrame:
