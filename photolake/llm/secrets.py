@@ -36,7 +36,9 @@ def labelled_samples(docs: DataFrame, most: int = TRAINING_DOCUMENTS) -> DataFra
     Ordinary: the words of letters, digits, ``_`` and ``-`` in these documents' texts, but for what the base
     patterns find. Random: for each document, its text's digest in base 64 and in hexadecimal digits.
     """
-    chosen = docs.where("text is not null").select("text", F.xxhash64("doc_id", "text").alias("_h")).orderBy("_h").limit(most)
+    hashed = docs.where("text is not null").select("text", F.xxhash64("doc_id", "text").alias("_h"))
+    last = hashed.select("_h").distinct().orderBy("_h").limit(most).agg(F.max("_h").alias("h")).first()["h"]
+    chosen = hashed.where(F.col("_h") <= F.lit(last)).dropDuplicates(["_h"])  # only hashes were sorted, no texts
     plain = chosen.select(F.regexp_replace("text", f"{ASSIGN}|{ACCESS}|{HEX}", " ").alias("text"))
     words = plain.select(F.lit(False).alias("random"), F.explode(F.regexp_extract_all("text", F.lit(r"[A-Za-z][A-Za-z0-9_-]{3,}"), F.lit(0))).alias("sample"))
     digest = F.sha2(F.col("text").cast("binary"), 512)
