@@ -77,26 +77,44 @@ BASE_TEMPERATURE, BASE_TINT = 6594.9982, 0.9864318
 IDENTITY = ((1.0, 0.0, 0.0), (0.0, 1.0, 0.0), (0.0, 0.0, 1.0))
 
 
-def wb_multipliers(t: Column | str, tint: Column | str, cam_to_rgb: Sequence[Sequence[float]] = IDENTITY, cam_mul: Sequence[float] = (1, 1, 1), pre_mul: Sequence[float] = (1, 1, 1)) -> Triple:
-    """White-balance multipliers of a temperature and tint, scaled by their smallest plus 1e-5.
+def illuminant_rgb(t: Column | str) -> Triple:
+    """The illuminant of a temperature in sRGB."""
+    return dot(XYZ_TO_SRGB, temp_to_xyz(t))
+
+
+def _base_rgb(t: float) -> list[float]:
+    """The same for one number of 4000 or more."""
+    k = 1000.0 / t
+    x = ((-3.0258469 * k + 2.1070379) * k + 0.2226347) * k + 0.24039
+    y = ((3.08175800 * x - 5.87338670) * x + 3.75112997) * x - 0.37001483
+    return [row[0] * x + row[1] * y + row[2] * (1 - x - y) for row in XYZ_TO_SRGB]
+
+
+def multipliers_of(light: Triple, tint: Column | str, cam_to_rgb: Sequence[Sequence[float]] = IDENTITY, cam_mul: Sequence[float] = (1, 1, 1), pre_mul: Sequence[float] = (1, 1, 1)) -> Triple:
+    """White-balance multipliers for an illuminant and a tint, scaled by their smallest plus 1e-5.
 
     The camera's and the daylight multipliers are each divided by their smallest. A camera matrix of ones on the
     diagonal, or unit daylight multipliers, say that the camera isn't known: then the base is 5200 K at tint 1.
     """
     cam, pre = ([x / min(m) for x in m] for m in (cam_mul, pre_mul))
     if all(cam_to_rgb[i][i] == 1 for i in range(3)) or all(x == 1 for x in pre):
-        base_t, base_tint, offset = 5200.0, 1.0, (1.0, 1.0, 1.0)
+        base, base_tint, offset = _base_rgb(5200.0), 1.0, (1.0, 1.0, 1.0)
     else:
         ratio = [p / c for p, c in zip(pre, cam, strict=True)]
         offset = [sum(m * x / min(ratio) for m, x in zip(row, ratio, strict=True)) for row in cam_to_rgb]
-        base_t, base_tint = BASE_TEMPERATURE, BASE_TINT
-    light, base = dot(XYZ_TO_SRGB, temp_to_xyz(t)), dot(XYZ_TO_SRGB, temp_to_xyz(F.lit(base_t)))
-    light, base = (light[0], light[1] / col(tint), light[2]), (base[0], base[1] / base_tint, base[2])
-    found = [F.greatest(b / x, F.lit(0.0)) * o for b, x, o in zip(base, light, offset, strict=True)]
+        base, base_tint = _base_rgb(BASE_TEMPERATURE), BASE_TINT
+    tinted = (light[0], light[1] / col(tint), light[2])
+    over = (base[0], base[1] / base_tint, base[2])
+    found = [F.greatest(F.lit(b) / x, F.lit(0.0)) * o for b, x, o in zip(over, tinted, offset, strict=True)]
     least = F.least(*found) + 1e-5
     return tuple(x / least for x in found)
 
 
+def wb_multipliers(t: Column | str, tint: Column | str, *camera: Sequence) -> Triple:
+    """``multipliers_of`` the illuminant of a temperature; ``camera``: its matrix, and its two sets of multipliers."""
+    return multipliers_of(illuminant_rgb(t), tint, *camera)
+
+
 def apply_wb(rgb: Triple, matrix: Sequence[Sequence[float]], mults: Triple, exposure: Column | float) -> Triple:
     """The colour matrix, each row scaled by 2^exposure and its multiplier, not below 0."""
     gain = F.pow(F.lit(2.0), F.lit(exposure) if isinstance(exposure, (int, float)) else exposure)
@@ -171,14 +189,6 @@ def from_hsv(hsv: Triple) -> Triple:
     return tuple(out)
 
 
-def vibrance_saturation(rgb: Triple, vibrance: float, saturation: float) -> Triple:
-    if abs(vibrance) < 1e-5 and abs(saturation) < 1e-5:
-        return rgb
-    h, s, v = to_hsv(rgb)
-    new = clamp(F.lit(2.0**saturation) * F.pow(s, F.lit(2.0**-vibrance)), 0.0, 1.0)
-    return tuple(trunc(clamp(x)) for x in from_hsv((F.greatest(h, F.lit(0.0)), new, v)))
-
-
 def monochrome(rgb: Triple, weights: Sequence[float] = (0.21, 0.78, 0.07)) -> Column:
     return trunc(clamp(sum((F.lit(w) * c for w, c in zip(weights, rgb, strict=True)), F.lit(0.0))))
 

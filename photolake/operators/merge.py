@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.pixels import wb_multipliers
+from ..functions.pixels import illuminant_rgb, multipliers_of
 from .grid import extents
 
 UNCLIPPED = 60000
@@ -73,11 +73,12 @@ def estimate_wb(photos: DataFrame, cam_to_rgb, cam_mul: Sequence[float], pre_mul
     """
 
     def best(temperatures: Column, tints: Column) -> Column:
-        def of(t: Column, m: Column) -> Column:
-            r, g, b = wb_multipliers(t, m, cam_to_rgb, cam_mul, pre_mul)
-            return F.struct(((r - 1) * (r - 1) + (g - 1) * (g - 1) + (b - 1) * (b - 1)).alias("far"), t.alias("t"), m.alias("m"))
+        def far(light: Column, m: Column) -> Column:
+            r, g, b = multipliers_of((light["r"], light["g"], light["b"]), m, cam_to_rgb, cam_mul, pre_mul)
+            return F.struct(((r - 1) * (r - 1) + (g - 1) * (g - 1) + (b - 1) * (b - 1)).alias("far"), light["t"].alias("t"), m.alias("m"))
 
-        return F.array_min(F.flatten(F.transform(temperatures, lambda t: F.transform(tints, lambda m: of(t, m)))))
+        lights = F.transform(temperatures, lambda t: F.struct(t.alias("t"), *[v.alias(c) for v, c in zip(illuminant_rgb(t), "rgb", strict=True)]))
+        return F.array_min(F.flatten(F.transform(lights, lambda light: F.transform(tints, lambda m: far(light, m)))))
 
     steps = lambda n: F.sequence(F.lit(-n), F.lit(n))
     coarse = best(F.transform(F.sequence(F.lit(0), F.lit(60)), lambda i: F.lit(2000.0) * F.pow(F.lit(10.0), i / 60.0)), F.transform(F.sequence(F.lit(0), F.lit(40)), lambda i: 0.5 + i * 0.03))
