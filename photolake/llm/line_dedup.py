@@ -104,7 +104,8 @@ def row_key() -> Column:
 def pairs(seqs: DataFrame, rare_documents: int = RARE_DOCUMENTS) -> DataFrame:
     """``_row, _with``: each document and the earlier ones to align it with."""
     held = seqs.select("_row", F.explode(F.array_distinct("lines")).alias("line"))
-    found = held.groupBy("line").agg(F.count("*").alias("n"), F.min("_row").alias("first")).where("n > 1")
+    # written, so that the join is no part of the grouping: Spark can then split a line that very many hold
+    found = written(held.groupBy("line").agg(F.count("*").alias("n"), F.min("_row").alias("first")).where("n > 1"), "line-holders")
     shared = written(held.join(found, "line"), "shared-lines")
     by_line = Window.partitionBy("line").orderBy("_row")
     rare = shared.where(F.col("n") <= rare_documents).select("_row", F.lag("_row").over(by_line).alias("_with")).where("_with is not null")
