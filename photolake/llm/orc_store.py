@@ -40,18 +40,20 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int, space
     sorted_rows = ranged.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, end, before = encoder(vocabulary, space_counts), np.array([end_id], "<u4").tobytes(), 0
+        tok, before = encoder(vocabulary, space_counts), 0
         for batch in batches:
-            encoded = [x + end for x in tok.encode(batch.column("text").to_pylist())]
-            counts = np.array([len(x) // 4 for x in encoded], "int64")
-            starts = before + np.cumsum(counts) - counts
-            before += int(counts.sum())
-            offsets = np.concatenate([[0], np.cumsum(counts)]).astype("int32")
-            values = np.frombuffer(b"".join(encoded), "<i4")
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(starts), pa.array(counts.astype("int32")), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))],
-                ["doc_id", "start_in_file", "n_tokens", "tokens"],
-            )
+            texts_now = batch.column("text")
+            for at, own, flat in tok.encode_batches(texts_now):
+                ends = np.cumsum(own)
+                values = np.insert(flat, ends, end_id).view("<i4")  # the end id after each text
+                counts = own + 1
+                starts = before + np.cumsum(counts) - counts
+                before += int(counts.sum())
+                offsets = np.concatenate([[0], np.cumsum(counts)]).astype("int32")
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").slice(at, len(own)), pa.array(starts), pa.array(counts.astype("int32")), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))],
+                    ["doc_id", "start_in_file", "n_tokens", "tokens"],
+                )
 
     (
         sorted_rows.mapInArrow(run, ROW)

@@ -10,11 +10,16 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: A worker keeps up to twice so many pieces (about 150 MB): those met of late, and the generation before.
 KEPT_PIECES = 350_000
-#: Texts whose new pieces go to the library in one call.
-TEXTS_AT_ONCE = 200
+#: Bytes of texts that are worked on at once, but for one longer text.
+BYTES_AT_ONCE = 8_000_000
 
 #: White space beside the space and the line feed, and the two next to each other.
 _ODD = [*"\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000", *map(chr, range(0x2000, 0x200B)), "  ", " \n", "\n "]
@@ -26,6 +31,9 @@ _cut = re.compile(r"(?<=\S)(?= \S)")
 class PieceEncoder:
     """Encodes texts with one tokenizer file of the ``tokenizers`` library.
 
+    A text is cut only before a single space between two characters that aren't white space: there every word split of
+    these tokenizers begins a new unit, so the ids of the pieces joined are the ids of the text.
+
     ``space_counts``: the space before a word belongs to its ids (byte-level vocabularies). Else white space is
     dropped by the tokenizer.
     """
@@ -39,27 +47,60 @@ class PieceEncoder:
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
-    def pieces(self, text: str) -> list[str]:
-        """Parts of the text, in order, whose ids joined are the ids of the text.
+    def encode_array(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Number of ids of each text, and the ids of all, one text after another.
 
-        A cut lies only before a single space between two characters that aren't white space: there every word
-        split of these tokenizers begins a new unit.
+        Arrow splits the texts and numbers their distinct pieces; only those are looked up, and arrays put the ids
+        together.
         """
-        if any(x in text for x in _ODD) or text[:1] == " " or text[-1:] == " ":
-            return _cut.split(text)
-        first, *rest = text.split(" ")
-        return [first, *[self.lead + x for x in rest]] if self.lead else [first, *rest]
+        odd = {i: x for i, x in enumerate(texts.to_pylist()) if any(y in x for y in _ODD) or x[:1] == " " or x[-1:] == " "}
+        if odd:
+            texts = pa.array(["" if i in odd else x for i, x in enumerate(texts.to_pylist())], pa.string())
+        split = pc.split_pattern(texts, " ")
+        words, ends = split.flatten().dictionary_encode(), split.offsets.to_numpy() - split.offsets[0].as_py()
+        place = words.indices.to_numpy()
+        distinct = words.dictionary.to_pylist()
+        first = place[ends[:-1]]
+        if self.lead:  # a text's first piece has no space before it
+            bare, first = np.unique(first, return_inverse=True)
+            place = place.copy()
+            place[ends[:-1]] = len(distinct) + first
+            distinct = [self.lead + x for x in distinct] + [distinct[i] for i in bare.tolist()]
+        found = list(map(self.known.get, distinct))
+        self.learn({x for x, ids in zip(distinct, found, strict=True) if ids is None})
+        found = [self.known[x] if ids is None else ids for x, ids in zip(distinct, found, strict=True)]
+        size = np.fromiter(map(len, found), "int64", len(found)) // 4
+        start = np.cumsum(size) - size
+        table = np.frombuffer(b"".join(found), "<u4")
+        own = size[place]
+        total = np.concatenate([[0], np.cumsum(own)])
+        flat = table[np.repeat(start[place] - total[:-1], own) + np.arange(total[-1])] if len(table) else np.zeros(0, "<u4")
+        counts = total[ends[1:]] - total[ends[:-1]]
+        if odd:
+            parts = np.split(flat, np.cumsum(counts)[:-1])
+            for i, x in odd.items():
+                pieces = _cut.split(x)
+                self.learn(set(pieces))
+                parts[i] = np.frombuffer(b"".join([self.known[y] for y in pieces]), "<u4")
+            flat, counts = np.concatenate(parts), np.array([len(y) for y in parts], "int64")
+        return counts, flat
+
+    def encode_batches(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """``encode_array`` over slices of bounded size: (first text, counts, ids)."""
+        at = 0
+        sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+        while at < len(texts):
+            before = sizes[at - 1] if at else 0
+            upto = max(at + 1, int(np.searchsorted(sizes, before + BYTES_AT_ONCE)))
+            yield at, *self.encode_array(texts.slice(at, upto - at))
+            at = upto
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         out = []
-        for at in range(0, len(texts), TEXTS_AT_ONCE):
-            cut = [self.pieces(x) for x in texts[at : at + TEXTS_AT_ONCE]]
-            found = [list(map(self.known.get, parts)) for parts in cut]
-            new = {x for parts, ids in zip(cut, found, strict=True) if None in ids for x, i in zip(parts, ids, strict=True) if i is None}
-            self.learn(new)
-            known = self.known
-            out += [b"".join([known[x] if i is None else i for x, i in zip(parts, ids, strict=True)] if None in ids else ids) for parts, ids in zip(cut, found, strict=True)]
+        for _, counts, flat in self.encode_batches(pa.array(texts, pa.string())):
+            ends, data = np.cumsum(counts).tolist(), flat.tobytes()
+            out += [data[4 * i : 4 * j] for i, j in zip([0, *ends], ends, strict=False)]
         return out
 
     def learn(self, pieces: set[str]) -> None:
@@ -71,8 +112,11 @@ class PieceEncoder:
             self.known, self.older = {}, self.known
         words, split = set(), {}
         for x in self.remembered(pieces):
-            if x.isalnum() or x[1:].isalnum():
+            if x[1:].isalnum() or x.isalnum():
                 words.add(x)
+            elif x[-1:] in (".", ",") and x[-2:-1].isalpha() and x[1:-1].isalnum():  # the most frequent case, without a pattern
+                split[x] = x[:-1], x[-1]
+                words.update(split[x])
             else:
                 split[x] = parts = _inner.split(x)
                 words.update(parts)
