@@ -34,7 +34,7 @@ SEED = 7
 #: Tokens of a training sequence; longer texts train in pieces of so many. Scores are of whole texts.
 TRAINING_TOKENS = 256
 #: Characters of a block of documents at most, but for one longer text.
-BLOCK_CHARS = 32_000_000
+BLOCK_CHARS = 16_000_000
 #: Stands for the end of a text among the words; no word holds white space.
 END = "\n"
 BLOCKS = "block long, doc_id long, held_out boolean, ids binary, token string, place int, seen long"
@@ -50,45 +50,42 @@ def in_blocks(docs: DataFrame) -> DataFrame:
     """Blocks of documents: a row for each document (words by their place among the block's distinct words), and
     one for each distinct word (``seen``: how often in the block's training documents)."""
 
+    names = [x.split()[0] for x in BLOCKS.split(", ")]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 24
+        none = lambda kind, k: pa.nulls(k, kind)
+        places: dict[bytes, int] = {END.encode(): 0}
+        ids: list[int | None] = []
+        coded: list[bytes] = []
 
-        def made(ids: list, texts: list[str]) -> Iterator[pa.RecordBatch]:
-            places: dict[bytes, int] = {END.encode(): 0}
-            coded, out = [], [held_out(x) for x in ids]
-            for text in texts:
-                own = [places.setdefault(w, len(places)) for w in text.encode().lower().split()]
-                own.append(0)
-                coded.append(np.array(own, "<u4"))
-            seen = np.zeros(len(places), "int64")
-            for own, out_of in zip(coded, out, strict=True):
-                if not out_of:
-                    seen += np.bincount(own, minlength=len(places)) if len(own) > len(places) // 8 else 0
-            for own, out_of in zip(coded, out, strict=True):
-                if not out_of and len(own) <= len(places) // 8:
-                    np.add.at(seen, own, 1)
+        def made() -> Iterator[pa.RecordBatch]:
+            out = [held_out(x) for x in ids]
             n, v = len(ids), len(places)
-            none = lambda kind, k: pa.nulls(k, kind)
-            names = [x.split()[0] for x in BLOCKS.split(", ")]
+            learning = b"".join(x for x, away in zip(coded, out, strict=True) if not away)
+            seen = np.bincount(np.frombuffer(learning, "<u4"), minlength=v).astype("int64")
             yield pa.RecordBatch.from_arrays(
-                [pa.array([block] * n, pa.int64()), pa.array(ids, pa.int64()), pa.array(out), pa.array([x.tobytes() for x in coded], pa.binary()), none(pa.string(), n), none(pa.int32(), n), none(pa.int64(), n)], names
+                [pa.array(np.full(n, block)), pa.array(ids, pa.int64()), pa.array(out), pa.array(coded, pa.binary()), none(pa.string(), n), none(pa.int32(), n), none(pa.int64(), n)], names
             )
             words = pa.array(list(places), pa.binary()).cast(pa.string())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(v, block)), none(pa.int64(), v), none(pa.bool_(), v), none(pa.binary(), v), words, pa.array(np.arange(v, dtype="int32")), pa.array(seen)], names
             )
 
-        ids, kept, chars = [], [], 0
+        chars = 0
         for batch in batches:
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                if ids and chars + len(text) > BLOCK_CHARS:
-                    yield from made(ids, kept)
-                    ids, kept, chars, block = [], [], 0, block + 1
-                ids.append(doc)
-                kept.append(text)
-                chars += len(text)
+            for part in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
+                for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
+                    if ids and chars + len(text) > BLOCK_CHARS:
+                        yield from made()
+                        places, ids, coded, chars, block = {END.encode(): 0}, [], [], 0, block + 1
+                    ids.append(doc)
+                    own = [places.setdefault(w, len(places)) for w in text.encode().lower().split()]
+                    own.append(0)
+                    coded.append(np.array(own, "<u4").tobytes())
+                    chars += len(text)
         if ids:
-            yield from made(ids, kept)
+            yield from made()
 
     return texts(docs).mapInArrow(run, BLOCKS)
 
@@ -253,7 +250,7 @@ def train(seqs: DataFrame, totals: Words, rounds: int = ROUNDS) -> Model:
                     text = np.frombuffer(row.as_py(), "<u2")
                     waiting += [text[i : i + TRAINING_TOKENS] for i in range(0, len(text), TRAINING_TOKENS)]
                     tokens += len(text)
-                    if tokens > 400_000:
+                    if tokens > 200_000:
                         total, waiting, tokens = total + model.expected(waiting), [], 0
             if waiting:
                 total = total + model.expected(waiting)
