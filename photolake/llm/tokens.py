@@ -23,8 +23,9 @@ BYTES_AT_ONCE = 8_000_000
 
 #: White space beside the space and the line feed, and the two next to each other.
 _ODD = [*"\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000", *map(chr, range(0x2000, 0x200B)), "  ", " \n", "\n "]
-#: Inside a piece, the words also split before a stop that follows a letter, and around a line feed alone.
-_inner = re.compile(r"(?<=[^\W\d_])(?=[.,])|(?<=\S)(?=\n\S)|(?<=\S\n)(?=\S)")
+#: Inside a piece, the words also split before a stop that follows a Latin letter, and around a line feed alone. Letters
+#: that a normaliser may end with a mark (the dotted capital I, and others of other scripts) aren't among these.
+_inner = re.compile(r"(?<=[A-Za-zÀ-ÖØ-öø-įı-ɏ])(?=[.,])|(?<=\S)(?=\n\S)|(?<=\S\n)(?=\S)")
 _cut = re.compile(r"(?<=\S)(?= \S)")
 
 
@@ -114,7 +115,7 @@ class PieceEncoder:
         for x in self.remembered(pieces):
             if x[1:].isalnum() or x.isalnum():
                 words.add(x)
-            elif x[-1:] in (".", ",") and x[-2:-1].isalpha() and x[1:-1].isalnum():  # the most frequent case, without a pattern
+            elif x[-1:] in (".", ",") and x[1:-1].isalnum() and x[-2:-1].isalpha() and x[-2] < "ɐ" and x[-2] != "İ":  # the most frequent case, without a pattern
                 split[x] = x[:-1], x[-1]
                 words.update(split[x])
             else:
