@@ -11,7 +11,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters that end a word: space and \t \n \v \f \r.
@@ -46,6 +46,16 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
 
+def whole_row(docs: DataFrame) -> Column:
+    """All columns of a row as one struct ``_doc``, so that no name in it can clash with a new one."""
+    return F.struct(*[F.col(f"`{c}`").alias(c) for c in docs.columns]).alias("_doc")
+
+
+def row_columns(docs: DataFrame, **new: Column) -> list[Column]:
+    """The columns of ``docs`` out of ``_doc``, but those that are given anew."""
+    return [new[c].alias(c) if c in new else F.col("_doc").getField(c).alias(c) for c in docs.columns]
+
+
 def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """``work`` on each Arrow batch of ``df``; it returns one batch or None."""
 

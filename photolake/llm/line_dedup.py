@@ -15,8 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_batches, written
-from .quality import WHITE
+from .common import map_batches, row_columns, whole_row, written
+from .quality import WHITE, let
 
 #: Documents that hold a line up to which it counts as rare; longer groups have no window over them.
 RARE_DOCUMENTS = 16
@@ -131,24 +131,35 @@ def removed_lines(seqs: DataFrame, rare_documents: int = RARE_DOCUMENTS, block_w
     return merged.select(F.struct(F.col("_id").alias("id"), F.col("_h").alias("h")).alias("_row"), "removed")
 
 
+def cut_texts(docs: DataFrame, rare_documents: int = RARE_DOCUMENTS, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """``_doc`` (the whole row), ``_kept`` (the text that stays) and ``_removed`` (places of deleted lines, ascending)."""
+    named = docs.select(whole_row(docs), row_key().alias("_row"))
+    seqs = written(sequences(docs).dropDuplicates(["_row"]), "line-sequences")
+    cut = removed_lines(seqs, rare_documents, block_words)
+    joined = named.join(cut, "_row", "left").select("_doc", F.col("_doc.text").alias("_text"), F.sort_array(F.coalesce("removed", F.array().cast("array<int>"))).alias("_removed"))
+    lines = F.split("_text", "\n")
+    # a few places are looked up in their array, many in a map
+    few = F.filter(lines, lambda x, i: ~F.array_contains("_removed", i))
+    gone = F.map_from_arrays("_removed", F.transform("_removed", lambda x: F.lit(True)))
+    many = let(gone, lambda g: F.filter(lines, lambda x, i: F.element_at(g, i).isNull()))
+    left = F.array_join(F.when(F.size("_removed") <= 32, few).otherwise(many), "\n")
+    return joined.select("_doc", F.when(F.size("_removed") == 0, F.col("_text")).otherwise(left).alias("_kept"), "_removed")
+
+
 def dedup_lines(docs: DataFrame, rare_documents: int = RARE_DOCUMENTS, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The columns of ``docs`` with the kept lines as ``text``, and ``removed``: places of deleted lines, ascending.
 
     A block goes if it holds at least ``block_words`` words; shorter common blocks, such as one short line, stay.
     Null or empty text: unchanged, nothing removed. A text whose lines all go becomes empty. Repeated rows (equal id
     and text) are one document: all of them keep what one would keep. A null id comes before all others. Empty
-    table: no rows.
+    table: no rows. A column ``removed`` of ``docs`` gives way to the new one.
     """
-    named = docs.withColumn("_row", row_key())
-    seqs = written(sequences(docs).dropDuplicates(["_row"]), "line-sequences")
-    cut = removed_lines(seqs, rare_documents, block_words)
-    none = F.array().cast("array<int>")
-    joined = named.join(cut, "_row", "left").withColumn("removed", F.sort_array(F.coalesce("removed", none)))
-    gone = F.map_from_arrays("removed", F.transform("removed", lambda x: F.lit(True)))
-    kept = F.element_at(
-        F.transform(F.array(gone), lambda g: F.array_join(F.filter(F.split("text", "\n"), lambda x, i: F.element_at(g, i).isNull()), "\n")), 1
-    )
-    # a few places are looked up in their array, many in a map
-    few = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("removed", i)), "\n")
-    text = F.when(F.size("removed") == 0, F.col("text")).when(F.size("removed") <= 32, few).otherwise(kept)
-    return joined.withColumn("text", text).select(*docs.columns, "removed")
+    made = cut_texts(docs, rare_documents, block_words)
+    columns = row_columns(docs, text=F.col("_kept"))
+    return made.select(*[c for n, c in zip(docs.columns, columns, strict=True) if n != "removed"], F.col("_removed").alias("removed"))
+
+
+def without_shared_lines(docs: DataFrame) -> DataFrame:
+    """The same rows and columns; ``text`` has the kept lines, and ``n_chars``, if there, their number of characters."""
+    new = {"text": F.col("_kept"), "n_chars": F.length("_kept").cast("long")}
+    return cut_texts(docs).select(*row_columns(docs, **new))

@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import row_columns, whole_row
+
 WHITE = " \t\n\x0b\x0c\r"
 #: Very frequent words of English, German, French and Spanish.
 STOP_WORDS = (
@@ -133,7 +135,7 @@ def apply_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *also: Column)
 
 def kept_documents(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows of ``docs``, all their columns, that the rules keep."""
-    return apply_rules(docs, rules, F.struct(*docs.columns).alias("_doc")).where("kept").select("_doc.*")
+    return apply_rules(docs, rules, whole_row(docs)).where("kept").select(*row_columns(docs))
 
 
 #: The same in DuckDB's SQL, on the view ``documents``.

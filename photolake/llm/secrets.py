@@ -12,6 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import row_columns, whole_row
 from .quality import let
 
 #: Fixed patterns of the base kinds, in the order in which ties are listed.
@@ -136,6 +137,5 @@ def redacted() -> Column:
 
 def without_secrets(docs: DataFrame, table: list[float] | None = None) -> DataFrame:
     """The rows of ``docs``, all their columns, with secrets in ``text`` replaced by a mark."""
-    scanned = scan(docs, table, THRESHOLD, F.struct(*docs.columns).alias("_doc"))
-    clean = F.when(F.col("_doc.text").isNotNull(), redacted()).alias("text")
-    return scanned.select(*[clean if c == "text" else F.col(f"_doc.`{c}`").alias(c) for c in docs.columns])
+    scanned = scan(docs, table, THRESHOLD, whole_row(docs))
+    return scanned.select(*row_columns(docs, text=F.when(F.col("_doc.text").isNotNull(), redacted())))

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, texts, written
+from .common import map_batches, row_columns, texts, whole_row, written
 from .components import connected_components
 
 RADIUS = 2
@@ -204,5 +204,5 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> Data
 def one_of_each_group(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
     """The rows of ``docs``, all their columns, that come first in their group; of repeated rows one."""
     firsts = near_duplicates(docs, shingle_words).where("first").select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("_id"), F.col("h").alias("_h")).distinct()
-    keyed = docs.select(F.struct(*docs.columns).alias("_doc"), F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_h"))
-    return keyed.join(firsts, ["_id", "_h"], "left_semi").dropDuplicates(["_id", "_h"]).select("_doc.*")
+    keyed = docs.select(whole_row(docs), F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_h"))
+    return keyed.join(firsts, ["_id", "_h"], "left_semi").dropDuplicates(["_id", "_h"]).select(*row_columns(docs))
