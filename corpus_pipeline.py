@@ -19,8 +19,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Blocks of lines that an earlier document has too go from the later one's text."""
-    cut = line_dedup.dedup_lines(docs).drop("removed")
-    return cut.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return line_dedup.without_shared_lines(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
