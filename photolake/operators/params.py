@@ -12,15 +12,27 @@ from .. import schema
 SWITCHES = ("lens_ca", "lens_vign", "lens_dist", "auto_ca")
 
 
-def effective_params(photos: DataFrame, params: DataFrame, profile: DataFrame) -> DataFrame:
-    """Stored parameters of each photo, else those of the one-row default profile."""
-    defaults = [c for c in profile.columns if c != "profile_id"]
-    renamed = profile.select(*[F.col(c).alias(f"_{c}") for c in defaults])
-    stored = params.withColumn("_stored", F.lit(True))
-    both = photos.select("photo_id").join(stored, "photo_id", "left").join(F.broadcast(renamed))
-    value = lambda c: F.when(F.col("_stored"), F.col(c)).otherwise(F.col(f"_{c}")).alias(c)
-    others = [F.coalesce(F.col(c), F.lit(v)).alias(c) for c, v in schema.CROP.items() if c in params.columns]
-    return both.select("photo_id", *[value(c) for c in defaults if c in params.columns], *others, F.coalesce("_stored", F.lit(False)).alias("stored"))
+def effective_params(photos: DataFrame, params: DataFrame, profile: DataFrame, estimates: DataFrame | None = None) -> DataFrame:
+    """Stored parameters of each photo, else those of the one-row default profile.
+
+    ``estimates`` (photo_id and any parameter columns, such as the rotation from metadata and the estimated
+    temperature and tint) goes before the profile where nothing is stored.
+    """
+    names = [c for c in params.columns if c != "photo_id"]
+    defaults = profile.select(*[F.col(c).alias(f"_{c}") for c in names if c in profile.columns])
+    both = photos.select("photo_id").join(params.withColumn("_stored", F.lit(True)), "photo_id", "left").join(F.broadcast(defaults))
+    guessed: list[str] = []
+    if estimates is not None:
+        guessed = [c for c in estimates.columns if c in names]
+        both = both.join(estimates.select("photo_id", *[F.col(c).alias(f"e_{c}") for c in guessed]), "photo_id", "left")
+
+    def value(c: str) -> Column:
+        fallback = F.col(f"_{c}") if c in profile.columns else F.lit(schema.CROP.get(c))
+        if c in guessed:
+            fallback = F.coalesce(F.col(f"e_{c}"), fallback)
+        return F.when(F.col("_stored"), F.col(c)).otherwise(fallback).alias(c)
+
+    return both.select("photo_id", *map(value, names), F.coalesce("_stored", F.lit(False)).alias("stored"))
 
 
 def resolve_lens(params: DataFrame, photos: DataFrame, files: DataFrame, prefs: DataFrame) -> DataFrame:

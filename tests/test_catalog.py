@@ -127,3 +127,11 @@ def test_forget_leaves_true_counts(spark):
     assert {r.photo_id for r in left.collect()} == {"f1_1", "f3_1"}
     assert [(r.photo_id, r.qt_index) for r in queue.collect()] == [("f1_1", 0)]
     assert {r.file_id: r.usage_count for r in kept.collect()} == {"f1": 1, "f3": 1}
+
+
+def test_estimates_go_before_the_profile(spark):
+    photos = spark.createDataFrame([("a",), ("b",), ("c",)], "photo_id string")
+    stored = spark.createDataFrame([("a", 1.0, 2)], "photo_id string, temperature double, rotation int")
+    guess = spark.createDataFrame([("a", 9.0, 3), ("b", 4000.0, 1)], "photo_id string, temperature double, rotation int")
+    got = {r.photo_id: (r.temperature, r.rotation, r.stored) for r in params.effective_params(photos, stored, schema.profile(spark), guess).collect()}
+    assert got == {"a": (1.0, 2, True), "b": (4000.0, 1, False), "c": (5200.0, 0, False)}
