@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 #: A worker keeps up to twice so many pieces (about 150 MB): those met of late, and the generation before.
 KEPT_PIECES = 350_000
 #: Bytes of texts that are worked on at once, but for one longer text.
-BYTES_AT_ONCE = 8_000_000
+BYTES_AT_ONCE = 4_000_000
 
 #: White space beside the space and the line feed, and the two next to each other.
 _ODD = [*"\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000", *map(chr, range(0x2000, 0x200B)), "  ", " \n", "\n "]
