@@ -29,6 +29,29 @@ _inner = re.compile(r"(?<=[A-Za-zÀ-ÖØ-öø-įı-ɏ])(?=[.,])|(?<=\S)(?=\n\S)|
 _cut = re.compile(r"(?<=\S)(?= \S)")
 
 
+class Memory:
+    """Ids of pieces that a worker has met of late, in two generations; each piece stands behind ``lead``."""
+
+    def __init__(self, lead: str):
+        self.lead = lead
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def turn(self) -> None:
+        if len(self.known) > KEPT_PIECES:
+            self.known, self.older = {}, self.known
+
+    def unknown(self, pieces: set[str]) -> set[str]:
+        """Takes over what the generation before knows of these; what neither knows."""
+        known, older = self.known, self.older
+        new = {x for x in pieces if x not in known}
+        if older:
+            for x in [x for x in new if x in older]:
+                known[x] = older[x]
+                new.remove(x)
+        return new
+
+
 class PieceEncoder:
     """Encodes texts with one tokenizer file of the ``tokenizers`` library.
 
@@ -44,9 +67,8 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.lead = " " if space_counts else ""
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.bare = Memory("")
+        self.led = Memory(" ") if space_counts else self.bare
 
     def encode_array(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Number of ids of each text, and the ids of all, one text after another.
@@ -61,15 +83,12 @@ class PieceEncoder:
         words, ends = split.flatten().dictionary_encode(), split.offsets.to_numpy() - split.offsets[0].as_py()
         place = words.indices.to_numpy()
         distinct = words.dictionary.to_pylist()
-        first = place[ends[:-1]]
-        if self.lead:  # a text's first piece has no space before it
-            bare, first = np.unique(first, return_inverse=True)
+        found = self.ids_of(distinct, self.led)
+        if self.led is not self.bare:  # a text's first piece has no space before it
+            first, again = np.unique(place[ends[:-1]], return_inverse=True)
             place = place.copy()
-            place[ends[:-1]] = len(distinct) + first
-            distinct = [self.lead + x for x in distinct] + [distinct[i] for i in bare.tolist()]
-        found = list(map(self.known.get, distinct))
-        self.learn({x for x, ids in zip(distinct, found, strict=True) if ids is None})
-        found = [self.known[x] if ids is None else ids for x, ids in zip(distinct, found, strict=True)]
+            place[ends[:-1]] = len(distinct) + again
+            found += self.ids_of([distinct[i] for i in first.tolist()], self.bare)
         size = np.fromiter(map(len, found), "int64", len(found)) // 4
         start = np.cumsum(size) - size
         table = np.frombuffer(b"".join(found), "<u4")
@@ -81,8 +100,7 @@ class PieceEncoder:
             parts = np.split(flat, np.cumsum(counts)[:-1])
             for i, x in odd.items():
                 pieces = _cut.split(x)
-                self.learn(set(pieces))
-                parts[i] = np.frombuffer(b"".join([self.known[y] for y in pieces]), "<u4")
+                parts[i] = np.frombuffer(b"".join(self.ids_of(pieces, self.bare)), "<u4")
             flat, counts = np.concatenate(parts), np.array([len(y) for y in parts], "int64")
         return counts, flat
 
@@ -104,39 +122,48 @@ class PieceEncoder:
             out += [data[4 * i : 4 * j] for i, j in zip([0, *ends], ends, strict=False)]
         return out
 
-    def learn(self, pieces: set[str]) -> None:
-        """Gives all these pieces a place among the known; the least recent ones of earlier calls go.
+    def ids_of(self, pieces: list[str], memory: Memory) -> list[bytes]:
+        found = list(map(memory.known.get, pieces))
+        new = {x for x, ids in zip(pieces, found, strict=True) if ids is None}
+        if new:
+            self.learn(new, memory)
+            found = [memory.known[x] if ids is None else ids for x, ids in zip(pieces, found, strict=True)]
+        return found
 
-        A new piece is put together from its word and its stops, so the library sees each word once.
+    def learn(self, pieces: set[str], memory: Memory) -> None:
+        """Gives all these pieces a place in a memory; the least recent ones of earlier calls go.
+
+        A new piece is put together from its word and what follows it inside, so the library sees each word once.
         """
-        if len(self.known) > KEPT_PIECES:
-            self.known, self.older = {}, self.known
-        words, split = set(), {}
-        for x in self.remembered(pieces):
-            if x[1:].isalnum() or x.isalnum():
+        memory.turn()
+        words, rest, split = set(), set(), {}
+        for x in memory.unknown(pieces):
+            if x.isalnum() or x[1:].isalnum():
                 words.add(x)
-            elif x[-1:] in (".", ",") and x[1:-1].isalnum() and x[-2:-1].isalpha() and x[-2] < "ɐ" and x[-2] != "İ":  # the most frequent case, without a pattern
-                split[x] = x[:-1], x[-1]
-                words.update(split[x])
+                continue
+            core, stop = x[:-1], x[-1:]
+            if stop in (".", ",") and core.isalnum() and core[-1].isalpha() and core[-1] < "ɐ" and core[-1] != "İ":  # the most frequent case, without a pattern
+                tail = [stop]
             else:
-                split[x] = parts = _inner.split(x)
-                words.update(parts)
-        new = list(self.remembered(words))
-        for word, got in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[word] = array("I", got.ids).tobytes()
-        for piece, parts in split.items():
-            if len(parts) > 1:
-                self.known[piece] = b"".join([self.known[x] for x in parts])
-
-    def remembered(self, pieces: set[str]) -> set[str]:
-        """Takes over what the generation before knows of these; what neither knows."""
-        known, older = self.known, self.older
-        new = {x for x in pieces if x not in known}
-        if older:
-            for x in [x for x in new if x in older]:
-                known[x] = older[x]
-                new.remove(x)
-        return new
+                core, *tail = _inner.split(x)
+            words.add(core)
+            if tail:
+                split[x] = core, tail
+                rest.update(tail)
+        new = list(memory.unknown(words))
+        known = memory.known
+        given = [memory.lead + x for x in new] if memory.lead else new
+        for word, got in zip(new, self.tokenizer.encode_batch_fast(given, add_special_tokens=False), strict=True):
+            known[word] = array("I", got.ids).tobytes()
+        if rest:
+            ends = dict(zip(rest, self.ids_of(list(rest), self.bare), strict=True)) if memory is not self.bare else self.ends(rest)
+            for piece, (core, tail) in split.items():
+                known[piece] = known[core] + b"".join([ends[x] for x in tail])
+
+    def ends(self, pieces: set[str]) -> dict[str, bytes]:
+        """Ids of parts that follow a word inside a piece; there are few, and they aren't cut any further."""
+        new = list(pieces)
+        return {x: array("I", got.ids).tobytes() for x, got in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True)}
 
 
 _encoders: dict[tuple[str, bool], PieceEncoder] = {}

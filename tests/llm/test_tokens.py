@@ -77,7 +77,7 @@ def test_packed_pieces_hold_each_id_once(make_docs, edges, sample):
 def test_orc_files_hold_all_ids_in_order(spark, make_docs, edges, sample, tmp_path):
     rows = edges + [(d + 100, t) for d, t in sample]
     name, path = vocabulary("byte_bpe_50k.json"), str(tmp_path / "t")
-    orc_store.write_tokens(make_docs(rows), path, name, 0, file_chars=100_000)
+    orc_store.write_tokens(make_docs(rows), path, name, 0, file_rows=40)
     coder = tokens.PieceEncoder(name, True).tokenizer
     ids = lambda t: [*coder.encode(t or "", add_special_tokens=False).ids, 0]
     got = orc_store.read_tokens(spark, path).orderBy("start").collect()
