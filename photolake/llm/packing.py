@@ -19,7 +19,6 @@ from .tokens import encoder
 SEQUENCE_TOKENS = 4096
 #: Characters of text in a group at most, but for one document that is longer.
 GROUP_CHARS = 8_000_000
-#: Rows of an Arrow batch at most that reach a packing task; bounds the group with long texts too.
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, used long"
 
 

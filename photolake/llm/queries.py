@@ -5,10 +5,10 @@ The operators return texts, spans, ids or files; the queries derive short digest
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 import pyarrow as pa
-import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
