@@ -43,18 +43,22 @@ def majority(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprint(text: str, shingle_words: int = SHINGLE_WORDS) -> int:
+def shingle_hashes(text: str, shingle_words: int) -> np.ndarray:
+    """64-bit hashes of the word shingles in order; a text of fewer words is one shingle, one without words none."""
     words = text.encode().lower().split()
-    if not words:
-        return 0
     joined = b" ".join(words)
+    digest = xxhash.xxh64_intdigest
     if len(words) <= shingle_words:
-        return xxhash.xxh64_intdigest(joined, SEED)
+        return np.array([digest(joined, SEED)] if words else [], "<u8")
     ends = np.cumsum([len(w) + 1 for w in words])
     first = [0, *ends[: len(words) - shingle_words].tolist()]
     last = (ends[shingle_words - 1 :] - 1).tolist()
-    digest = xxhash.xxh64_intdigest
-    return majority(np.array([digest(joined[i:j], SEED) for i, j in zip(first, last, strict=True)], "<u8"))
+    return np.array([digest(joined[i:j], SEED) for i, j in zip(first, last, strict=True)], "<u8")
+
+
+def fingerprint(text: str, shingle_words: int = SHINGLE_WORDS) -> int:
+    hashes = shingle_hashes(text, shingle_words)
+    return int(hashes[0]) if len(hashes) == 1 else majority(hashes)
 
 
 def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
