@@ -2,8 +2,10 @@
 they have in common go from the later one.
 
 Later means after in the order of (doc_id, text hash). A document is aligned with the first document that holds one
-of its lines, and, for rare lines, with the last one before it that does. So the pairs are at most two for each line
-of a document, however many documents hold it, and a frequent line costs one pair a document.
+of its lines, and, for rare lines, with the last one before it that does; with ``runs`` also with the first one that
+holds one of its shortest runs of lines of enough words. Every line of a common block lies in such a run, so no block
+that any earlier document holds is missed. The pairs are at most a few for each line of a document, however many
+documents hold it, and a frequent line costs one pair a document.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -79,6 +82,41 @@ def common_lines(a: list[int], a_words: list[int], b: list[int], block_words: in
     return out
 
 
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(int(_ODD), -1, 1 << 64))
+
+
+def shortest_runs(lines: np.ndarray, words: np.ndarray, offsets: np.ndarray, block_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``start, end, key, document`` of the shortest runs of adjacent lines that reach ``block_words``.
+
+    There is one from every line on and one up to every line, where the document has the words. Lines of a block
+    that holds the words lie in such a run inside it. ``offsets`` are the documents' places in ``lines``.
+    """
+    document = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    place = np.arange(len(lines))
+    total = np.concatenate([[0], np.cumsum(words, dtype="int64")])
+    end = np.searchsorted(total, total[:-1] + block_words)
+    start = np.searchsorted(total, total[1:] - block_words, side="right") - 1
+    on, to = end <= offsets[1:][document], start >= offsets[:-1][document]
+    start, end = np.concatenate([place[on], start[to]]), np.concatenate([end[on], place[to] + 1])
+    power, back = (np.concatenate([[np.uint64(1)], np.full(len(lines), x, "uint64")]).cumprod(dtype="uint64") for x in (_ODD, _INVERSE))
+    sums = np.concatenate([np.zeros(1, "uint64"), np.cumsum(lines.view("uint64") * power[:-1], dtype="uint64")])
+    key = (sums[end] - sums[start]) * back[start] + (end - start).astype("uint64")
+    return start, end, key.view("int64"), np.concatenate([document[on], document[to]])
+
+
+def lines_of_runs(a: list[int], a_words: list[int], b: list[int], b_words: list[int], block_words: int) -> list[int]:
+    """Places in ``a`` of runs of adjacent lines, of at least so many words, that ``b`` has anywhere."""
+    (start, end, key, _), (_, _, other, _) = (
+        shortest_runs(np.array(x, "int64"), np.array(w, "int64"), np.array([0, len(x)]), block_words) for x, w in ((a, a_words), (b, b_words))
+    )
+    both = np.isin(key, other)
+    depth = np.zeros(len(a) + 1, "int64")
+    np.add.at(depth, start[both], 1)
+    np.subtract.at(depth, end[both], 1)
+    return np.flatnonzero(depth.cumsum()[:-1]).tolist()
+
+
 def sequences(docs: DataFrame) -> DataFrame:
     """``_row`` (the document's place in the order), its ``lines`` as hashes and their ``words``.
 
@@ -101,41 +139,66 @@ def row_key() -> Column:
     return F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
 
 
-def pairs(seqs: DataFrame, rare_documents: int = RARE_DOCUMENTS) -> DataFrame:
-    """``_row, _with``: each document and the earlier ones to align it with."""
+def run_holders(seqs: DataFrame, block_words: int) -> DataFrame:
+    """``_row, _with``: each document and the first holders of its runs of two lines or more, if they are earlier."""
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        lines, words = batch.column("lines"), batch.column("words")
+        offsets = lines.offsets.to_numpy().astype("int64")
+        values = lines.values.to_numpy()[offsets[0] : offsets[-1]]
+        counts = words.flatten().to_numpy()
+        start, end, key, document = shortest_runs(values, counts, offsets - offsets[0], block_words)
+        long = end - start > 1
+        kept = np.unique(np.stack([document[long], key[long]], axis=1), axis=0)
+        at = pa.array(kept[:, 0])
+        return pa.RecordBatch.from_arrays([batch.column("_id").take(at), batch.column("_h").take(at), pa.array(kept[:, 1])], ["_id", "_h", "run"])
+
+    flat = seqs.where(F.size("lines") > 1).select(F.col("_row.id").alias("_id"), F.col("_row.h").alias("_h"), "lines", "words")
+    held = map_batches(flat, work, "_id long, _h long, run long").select(F.struct(F.col("_id").alias("id"), F.col("_h").alias("h")).alias("_row"), "run")
+    found = written(held.groupBy("run").agg(F.min("_row").alias("first"), F.max("_row").alias("last")).where("first <> last").select("run", "first"), "run-holders")
+    return held.join(found, "run").where("_row <> first").select("_row", F.col("first").alias("_with"))
+
+
+def pairs(seqs: DataFrame, rare_documents: int = RARE_DOCUMENTS, block_words: int | None = None) -> DataFrame:
+    """``_row, _with``: each document and the earlier ones to align it with; the first holders of its runs too where ``block_words`` is given."""
     held = seqs.select("_row", F.explode(F.array_distinct("lines")).alias("line"))
     # written, so that the join is no part of the grouping: Spark can then split a line that very many hold
     found = written(held.groupBy("line").agg(F.count("*").alias("n"), F.min("_row").alias("first")).where("n > 1"), "line-holders")
     shared = written(held.join(found, "line"), "shared-lines")
     by_line = Window.partitionBy("line").orderBy("_row")
     rare = shared.where(F.col("n") <= rare_documents).select("_row", F.lag("_row").over(by_line).alias("_with")).where("_with is not null")
-    return shared.where("_row <> first").select("_row", F.col("first").alias("_with")).union(rare).distinct()
+    found = shared.where("_row <> first").select("_row", F.col("first").alias("_with")).union(rare)
+    return (found if block_words is None else found.union(run_holders(seqs, block_words))).distinct()
 
 
-def removed_lines(seqs: DataFrame, rare_documents: int = RARE_DOCUMENTS, block_words: int = BLOCK_WORDS) -> DataFrame:
+def removed_lines(seqs: DataFrame, rare_documents: int = RARE_DOCUMENTS, block_words: int = BLOCK_WORDS, runs: bool = False) -> DataFrame:
     """``_row, removed``: places of the lines to delete, for documents that lose any."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        later, words, at, earlier = (batch.column(c).to_pylist() for c in ("lines", "words", "at", "other"))
-        cut = [[p[k] for k in common_lines(a, w, b, block_words)] for a, w, p, b in zip(later, words, at, earlier, strict=True)]
+        cut = []
+        for a, w, p, b, v in zip(*(batch.column(c).to_pylist() for c in ("lines", "words", "at", "other", "other_words")), strict=True):
+            gone = set(common_lines(a, w, b, block_words))
+            if runs:  # blocks that stand in another order too, which no alignment holds all of
+                gone.update(lines_of_runs(a, w, b, v, block_words))
+            cut.append([p[k] for k in sorted(gone)])
         return pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_h"), pa.array(cut, pa.list_(pa.int32()))], ["_id", "_h", "removed"])
 
     both = (
-        pairs(seqs, rare_documents)
+        pairs(seqs, rare_documents, block_words if runs else None)
         .join(seqs, "_row")
-        .join(seqs.select(F.col("_row").alias("_with"), F.col("lines").alias("other")), "_with")
-        .select(F.col("_row.id").alias("_id"), F.col("_row.h").alias("_h"), "lines", "words", "at", "other")
+        .join(seqs.select(F.col("_row").alias("_with"), F.col("lines").alias("other"), F.col("words").alias("other_words")), "_with")
+        .select(F.col("_row.id").alias("_id"), F.col("_row.h").alias("_h"), "lines", "words", "at", "other", "other_words")
     )
     found = map_batches(both, work, "_id long, _h long, removed array<int>").where(F.size("removed") > 0)
     merged = found.groupBy("_id", "_h").agg(F.array_distinct(F.flatten(F.collect_set("removed"))).alias("removed"))
     return merged.select(F.struct(F.col("_id").alias("id"), F.col("_h").alias("h")).alias("_row"), "removed")
 
 
-def cut_texts(docs: DataFrame, rare_documents: int = RARE_DOCUMENTS, block_words: int = BLOCK_WORDS) -> DataFrame:
+def cut_texts(docs: DataFrame, rare_documents: int = RARE_DOCUMENTS, block_words: int = BLOCK_WORDS, runs: bool = False) -> DataFrame:
     """``_doc`` (the whole row), ``_kept`` (the text that stays) and ``_removed`` (places of deleted lines, ascending)."""
     named = docs.select(whole_row(docs), row_key().alias("_row"))
     seqs = written(sequences(docs).dropDuplicates(["_row"]), "line-sequences")
-    cut = removed_lines(seqs, rare_documents, block_words)
+    cut = removed_lines(seqs, rare_documents, block_words, runs)
     joined = named.join(cut, "_row", "left").select("_doc", F.col("_doc.text").alias("_text"), F.sort_array(F.coalesce("removed", F.array().cast("array<int>"))).alias("_removed"))
     lines = F.split("_text", "\n")
     # a few places are looked up in their array, many in a map
@@ -146,15 +209,15 @@ def cut_texts(docs: DataFrame, rare_documents: int = RARE_DOCUMENTS, block_words
     return joined.select("_doc", F.when(F.size("_removed") == 0, F.col("_text")).otherwise(left).alias("_kept"), "_removed")
 
 
-def dedup_lines(docs: DataFrame, rare_documents: int = RARE_DOCUMENTS, block_words: int = BLOCK_WORDS) -> DataFrame:
+def dedup_lines(docs: DataFrame, rare_documents: int = RARE_DOCUMENTS, block_words: int = BLOCK_WORDS, runs: bool = False) -> DataFrame:
     """The columns of ``docs`` with the kept lines as ``text``, and ``removed``: places of deleted lines, ascending.
 
-    A block goes if it holds at least ``block_words`` words; shorter common blocks, such as one short line, stay.
+    A block goes if it holds at least ``block_words`` words; shorter common blocks, such as one short line, stay. With ``runs``, every block goes that any earlier document holds.
     Null or empty text: unchanged, nothing removed. A text whose lines all go becomes empty. Repeated rows (equal id
     and text) are one document: all of them keep what one would keep. A null id comes before all others. Empty
     table: no rows. A column ``removed`` of ``docs`` gives way to the new one.
     """
-    made = cut_texts(docs, rare_documents, block_words)
+    made = cut_texts(docs, rare_documents, block_words, runs)
     columns = row_columns(docs, text=F.col("_kept"))
     return made.select(*[c for n, c in zip(docs.columns, columns, strict=True) if n != "removed"], F.col("_removed").alias("removed"))
 
@@ -162,4 +225,4 @@ def dedup_lines(docs: DataFrame, rare_documents: int = RARE_DOCUMENTS, block_wor
 def without_shared_lines(docs: DataFrame) -> DataFrame:
     """The same rows and columns; ``text`` has the kept lines, and ``n_chars``, if there, their number of characters."""
     new = {"text": F.col("_kept"), "n_chars": F.length("_kept").cast("long")}
-    return cut_texts(docs).select(*row_columns(docs, **new))
+    return cut_texts(docs, runs=True).select(*row_columns(docs, **new))

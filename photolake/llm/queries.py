@@ -34,7 +34,7 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: its lines, the places of those deleted, and a digest of the text that stays."""
     docs = table(spark, sf_dir, "documents").withColumn("n_lines", F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long"))
-    cut = line_dedup.dedup_lines(docs)
+    cut = line_dedup.dedup_lines(docs, runs=True)
     return cut.select(
         "doc_id",
         "n_lines",
