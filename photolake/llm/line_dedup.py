@@ -1,5 +1,5 @@
 """Line dedup by pairwise alignment: documents that share a line are aligned by patience diff, and the blocks that
-they have in common go from the later one.
+they have in common go from the later one, short ones where very many documents hold them.
 
 Later means after in the order of (doc_id, text hash). A document is aligned with the first document that holds one
 of its lines, and, for rare lines, with the last one before it that does; with ``runs`` also with the first one that
@@ -25,6 +25,8 @@ from .quality import WHITE, let
 RARE_DOCUMENTS = 16
 #: Words of an aligned block from which it is deleted.
 BLOCK_WORDS = 12
+#: Documents that hold a line from which it is boilerplate: it goes from all but the first, however short.
+FREQUENT_DOCUMENTS = 50
 
 
 def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
@@ -159,12 +161,16 @@ def run_holders(seqs: DataFrame, block_words: int) -> DataFrame:
     return held.join(found, "run").where("_row <> first").select("_row", F.col("first").alias("_with"))
 
 
-def pairs(seqs: DataFrame, rare_documents: int = RARE_DOCUMENTS, block_words: int | None = None) -> DataFrame:
-    """``_row, _with``: each document and the earlier ones to align it with; the first holders of its runs too where ``block_words`` is given."""
+def shared_lines(seqs: DataFrame) -> DataFrame:
+    """``_row, line`` of lines that several documents hold, with their number ``n`` and the ``first`` of them."""
     held = seqs.select("_row", F.explode(F.array_distinct("lines")).alias("line"))
     # written, so that the join is no part of the grouping: Spark can then split a line that very many hold
     found = written(held.groupBy("line").agg(F.count("*").alias("n"), F.min("_row").alias("first")).where("n > 1"), "line-holders")
-    shared = written(held.join(found, "line"), "shared-lines")
+    return written(held.join(found, "line"), "shared-lines")
+
+
+def pairs(seqs: DataFrame, shared: DataFrame, rare_documents: int = RARE_DOCUMENTS, block_words: int | None = None) -> DataFrame:
+    """``_row, _with``: each document and the earlier ones to align it with; the first holders of its runs too where ``block_words`` is given."""
     by_line = Window.partitionBy("line").orderBy("_row")
     rare = shared.where(F.col("n") <= rare_documents).select("_row", F.lag("_row").over(by_line).alias("_with")).where("_with is not null")
     found = shared.where("_row <> first").select("_row", F.col("first").alias("_with")).union(rare)
@@ -172,7 +178,11 @@ def pairs(seqs: DataFrame, rare_documents: int = RARE_DOCUMENTS, block_words: in
 
 
 def removed_lines(seqs: DataFrame, rare_documents: int = RARE_DOCUMENTS, block_words: int = BLOCK_WORDS, runs: bool = False) -> DataFrame:
-    """``_row, removed``: places of the lines to delete, for documents that lose any."""
+    """``_row, removed``: places of the lines to delete, for documents that lose any.
+
+    A line of ``FREQUENT_DOCUMENTS`` or more is held by each of them but the first together with an earlier one,
+    so no alignment is needed for it.
+    """
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         cut = []
@@ -183,13 +193,18 @@ def removed_lines(seqs: DataFrame, rare_documents: int = RARE_DOCUMENTS, block_w
             cut.append([p[k] for k in sorted(gone)])
         return pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_h"), pa.array(cut, pa.list_(pa.int32()))], ["_id", "_h", "removed"])
 
+    shared = shared_lines(seqs)
     both = (
-        pairs(seqs, rare_documents, block_words if runs else None)
+        pairs(seqs, shared, rare_documents, block_words if runs else None)
         .join(seqs, "_row")
         .join(seqs.select(F.col("_row").alias("_with"), F.col("lines").alias("other"), F.col("words").alias("other_words")), "_with")
         .select(F.col("_row.id").alias("_id"), F.col("_row.h").alias("_h"), "lines", "words", "at", "other", "other_words")
     )
     found = map_batches(both, work, "_id long, _h long, removed array<int>").where(F.size("removed") > 0)
+    frequent = shared.where((F.col("n") >= FREQUENT_DOCUMENTS) & (F.col("_row") != F.col("first"))).groupBy("_row").agg(F.collect_set("line").alias("_gone"))
+    places = F.filter(F.arrays_zip("lines", "at"), lambda x: F.array_contains("_gone", x["lines"]))
+    short = seqs.join(frequent, "_row").select(F.col("_row.id").alias("_id"), F.col("_row.h").alias("_h"), F.transform(places, lambda x: x["at"]).alias("removed"))
+    found = found.union(short)
     merged = found.groupBy("_id", "_h").agg(F.array_distinct(F.flatten(F.collect_set("removed"))).alias("removed"))
     return merged.select(F.struct(F.col("_id").alias("id"), F.col("_h").alias("h")).alias("_row"), "removed")
 
@@ -212,7 +227,7 @@ def cut_texts(docs: DataFrame, rare_documents: int = RARE_DOCUMENTS, block_words
 def dedup_lines(docs: DataFrame, rare_documents: int = RARE_DOCUMENTS, block_words: int = BLOCK_WORDS, runs: bool = False) -> DataFrame:
     """The columns of ``docs`` with the kept lines as ``text``, and ``removed``: places of deleted lines, ascending.
 
-    A block goes if it holds at least ``block_words`` words; shorter common blocks, such as one short line, stay. With ``runs``, every block goes that any earlier document holds.
+    A block goes if it holds at least ``block_words`` words; shorter common blocks go only where many documents hold their lines. With ``runs``, every block goes that any earlier document holds.
     Null or empty text: unchanged, nothing removed. A text whose lines all go becomes empty. Repeated rows (equal id
     and text) are one document: all of them keep what one would keep. A null id comes before all others. Empty
     table: no rows. A column ``removed`` of ``docs`` gives way to the new one.

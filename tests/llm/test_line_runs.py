@@ -38,3 +38,12 @@ def test_query_finds_blocks_of_frequent_lines(make_docs, spark, tmp_path):
     make_docs(rows).write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.doc_id: r.removed for r in queries.op2_line_dedup(spark, str(tmp_path)).collect()}
     assert got[41] == "1,2" and got[40] == ""
+
+
+def test_short_lines_of_many_documents_go(make_docs):
+    notice, few = "Released under some license.", "a short line of few"
+    rows = [(i, f"text of {i}\n{notice}\nmore of {i}\n {notice}") for i in range(60)] + [(100 + i, f"own {i}\n{few}") for i in range(30)]
+    got = {r.doc_id: (r.text, r.removed) for r in line_dedup.dedup_lines(make_docs(rows)).collect()}
+    assert got[0] == (rows[0][1], [])
+    assert all(got[i] == (f"text of {i}\nmore of {i}", [1, 3]) for i in range(1, 60))
+    assert all(got[100 + i] == (rows[60 + i][1], []) for i in range(30))
