@@ -417,7 +417,7 @@ def pool_equalised(spark: SparkSession, d: str) -> DataFrame:
 @query("developed")
 def developed(spark: SparkSession, d: str) -> DataFrame:
     """Steps depend on each other, so there is no twin in SQL; a NumPy twin is in the tests."""
-    return grid.develop_photos(_cells(spark, d), schema.PROFILE, steps=2)
+    return grid.develop_photos(_cells(spark, d), schema.PROFILE)
 
 
 @query("levelled")
