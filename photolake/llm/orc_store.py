@@ -10,48 +10,50 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import texts, written
 from .tokens import encoder
 
-#: Rows of a file, about. They are counted, not measured, so texts aren't read for it.
-FILE_ROWS = 5000
+#: Characters of text in a file, about.
+FILE_CHARS = 128_000_000
 #: Bytes of a stripe, and rows between two entries of its row index.
 STRIPE_BYTES = 4 << 20
 INDEX_ROWS = 1000
-#: Files up to whose number their places are broadcast (some 100 bytes each).
-BROADCAST_FILES = 100_000
-ROW = "doc_id long, start_in_file long, n_tokens int, tokens array<int>"
+#: Parts up to whose number their places are broadcast (16 bytes each): enough for 100 TB.
+BROADCAST_PARTS = 2_000_000
+ROW = "doc_id long, part int, start_in_part long, n_tokens int, tokens array<int>"
 
 
-def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int, space_counts: bool = True, file_rows: int = FILE_ROWS) -> None:
+def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int, space_counts: bool = True, file_chars: int = FILE_CHARS) -> None:
     """Encodes all documents whole and writes them at ``path`` in ascending order of ``doc_id``.
 
-    Files hold ranges of (doc_id, text), in the order of their names; rows in a file are sorted. Null ids come
-    first. Null or empty text: the end id alone. Repeated rows are all written; those with one id are ordered by text.
-    Empty table: an empty folder of files.
+    Parts are ranges of (doc_id, text hash), numbered in their order; each row holds its part's number and its place
+    there, so no file name or number of files matters. Rows in a part are sorted. Null ids come first. Null or empty
+    text: the end id alone. Very long texts: a row of their own like any other. Repeated rows are all written; those
+    with one id are ordered by their text's hash. Empty table: an empty folder of files.
     """
     rows = texts(docs)
-    files = max(1, -(-docs.count() // file_rows))
-    ranged = rows.repartitionByRange(files, F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    sorted_rows = ranged.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    chars = rows.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
+    key = (F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    sorted_rows = rows.repartitionByRange(int(max(1, -(-chars // file_chars))), *key).sortWithinPartitions(*key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, before = encoder(vocabulary, space_counts), 0
+        tok, before, part = encoder(vocabulary, space_counts), 0, TaskContext.get().partitionId()
         for batch in batches:
-            texts_now = batch.column("text")
-            for at, own, flat in tok.encode_batches(texts_now):
-                ends = np.cumsum(own)
-                values = np.insert(flat, ends, end_id).view("<i4")  # the end id after each text
+            for at, own, flat in tok.encode_batches(batch.column("text")):
+                values = np.insert(flat, np.cumsum(own), end_id).view("<i4")  # the end id after each text
                 counts = own + 1
                 starts = before + np.cumsum(counts) - counts
                 before += int(counts.sum())
                 offsets = np.concatenate([[0], np.cumsum(counts)]).astype("int32")
+                parts = pa.array(np.full(len(own), part, "int32"))
+                tokens = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(at, len(own)), pa.array(starts), pa.array(counts.astype("int32")), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))],
-                    ["doc_id", "start_in_file", "n_tokens", "tokens"],
+                    [batch.column("doc_id").slice(at, len(own)), parts, pa.array(starts), pa.array(counts.astype("int32")), tokens],
+                    ["doc_id", "part", "start_in_part", "n_tokens", "tokens"],
                 )
 
     (
@@ -69,15 +71,16 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """``doc_id, start, n_tokens, tokens`` of all documents; ``start`` is the number of ids of all before it.
 
     Files are split by stripes among the readers. A filter on ``doc_id`` is pushed to the files' indexes and Bloom
-    filters. Only the totals of the files, one row for each, are gathered to place the files one after another.
+    filters. Only the totals of the parts, one row for each, are gathered to place the parts one after another; they
+    come from two columns, so no token is read for them.
     """
-    stored = spark.read.schema(ROW).orc(path).withColumn("_file", F.col("_metadata.file_name"))
-    ends = stored.groupBy("_file").agg(F.sum("n_tokens").alias("ids"))
-    before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
-    bases = ends.select("_file", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("_base"))
-    if len(stored.inputFiles()) <= BROADCAST_FILES:
-        bases = F.broadcast(bases)  # one short row a file; with more files, Spark joins as it sees fit
-    return stored.join(bases, "_file").select("doc_id", (F.col("_base") + F.col("start_in_file")).alias("start"), F.col("n_tokens").cast("long").alias("n_tokens"), "tokens")
+    stored = spark.read.schema(ROW).orc(path)
+    ends = stored.groupBy("part").agg(F.sum("n_tokens").alias("ids"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = written(ends.select("part", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("_base")), "part-places")
+    if bases.count() <= BROADCAST_PARTS:
+        bases = F.broadcast(bases)  # with more parts, Spark joins as it sees fit
+    return stored.join(bases, "part").select("doc_id", (F.col("_base") + F.col("start_in_part")).alias("start"), F.col("n_tokens").cast("long").alias("n_tokens"), "tokens")
 
 
 def find_tokens(spark: SparkSession, path: str, ids: list[int]) -> DataFrame:

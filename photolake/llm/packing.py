@@ -19,6 +19,8 @@ from .tokens import encoder
 SEQUENCE_TOKENS = 4096
 #: Characters of text in a group at most, but for one document that is longer.
 GROUP_CHARS = 8_000_000
+#: Tasks at most; of more parts, a task packs several, one after another.
+MOST_TASKS = 100_000
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, used long"
 
 
@@ -128,10 +130,11 @@ def pack_documents(
     rows = texts(docs)
     total = rows.agg(F.sum(F.length("text") + 1).alias("chars")).first()["chars"] or 0
     parts = max(1, -(-total // (2 * group_chars)))
+    tasks = int(min(parts, MOST_TASKS))
     dealt = (
         rows.withColumn("_h", F.xxhash64("doc_id", "text"))
         .withColumn("_part", F.pmod("_h", F.lit(parts)))
-        .repartition(int(min(parts, 100_000)), "_part")
+        .repartitionById(tasks, F.pmod("_part", F.lit(tasks)).cast("int"))  # part by part, so that no task gets two and another none
         .sortWithinPartitions("_part", "_h", "doc_id")
     )
 

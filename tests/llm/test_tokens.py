@@ -17,19 +17,19 @@ ALPHABET = " \n\tab'sé1!.,​\x85İΣ▁　"
 @pytest.fixture(scope="module")
 def odd_texts():
     rng = random.Random(1)
-    fixed = ["", " ", "x", "a  b", " a", "a ", "\n\n a\n b\t c", "ﬁ é ́x Å", "a\x1c b", "<|endoftext|> x<|endoftext|>y", "don't. I'll, we've", "end.\nNext\n\nlast.", "x." * 50]
+    fixed = ["", " ", "x", "a  b", " a", "a ", "\n\n a\n b\t c", "ﬁ é ́x Å", "a\x1c b", "<|endoftext|> x<|endoftext|>y", "don't. I'll, we've", "end.\nNext\n\nlast.", "x." * 50, "\n", "\n\n", "a\n", "a\n\n", "a\n\nb", "a\n\n\nb", "é.) İ. ﬁ! ×. x’. a'. 's", "word***\nword&&& ***", "İ" * 300 + " a" * 600]
     return fixed + ["".join(rng.choice(ALPHABET) for _ in range(rng.randrange(40))) for _ in range(400)]
 
 
 @pytest.mark.parametrize(("name", "space_counts"), [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
 def test_ids_are_those_of_whole_texts(name, space_counts, odd_texts, sample, monkeypatch):
-    coder = tokens.PieceEncoder(vocabulary(name), space_counts)
+    coder = tokens.UnitEncoder(vocabulary(name), space_counts)
     texts = odd_texts + [t for _, t in sample if t]
     want = [np.array(x.ids, "<u4").tobytes() for x in coder.tokenizer.encode_batch(texts, add_special_tokens=False)]
     assert coder.encode(texts) == want
-    monkeypatch.setattr(tokens, "KEPT_PIECES", 50)  # the memory turns over again and again
+    monkeypatch.setattr(tokens, "KEPT_UNITS", 50)  # the memory turns over again and again
     monkeypatch.setattr(tokens, "BYTES_AT_ONCE", 1000)
-    small = tokens.PieceEncoder(vocabulary(name), space_counts)
+    small = tokens.UnitEncoder(vocabulary(name), space_counts)
     assert small.encode(texts) == want and small.encode([]) == []
     at, counts, flat = next(iter(coder.encode_batches(pa.array(texts[5:9]))))
     assert at == 0 and flat[: counts[0]].tobytes() == want[5]
@@ -53,7 +53,7 @@ def test_packed_pieces_hold_each_id_once(make_docs, edges, sample):
     rows = edges + [(d + 100, t) for d, t in sample]
     name = vocabulary("word_bpe_49k.json")
     got = packing.pack_documents(make_docs(rows), name, 2, sequence_tokens=256, group_chars=60_000).collect()
-    coder = tokens.PieceEncoder(name, False)
+    coder = tokens.UnitEncoder(name, False)
     whole = {d: np.append(np.array(coder.tokenizer.encode(t or "", add_special_tokens=False).ids, "<u4"), np.uint32(2)) for d, t in rows}
     sequences, docs = {}, {}
     for r in got:
@@ -77,8 +77,8 @@ def test_packed_pieces_hold_each_id_once(make_docs, edges, sample):
 def test_orc_files_hold_all_ids_in_order(spark, make_docs, edges, sample, tmp_path):
     rows = edges + [(d + 100, t) for d, t in sample]
     name, path = vocabulary("byte_bpe_50k.json"), str(tmp_path / "t")
-    orc_store.write_tokens(make_docs(rows), path, name, 0, file_rows=40)
-    coder = tokens.PieceEncoder(name, True).tokenizer
+    orc_store.write_tokens(make_docs(rows), path, name, 0, file_chars=100_000)
+    coder = tokens.UnitEncoder(name, True).tokenizer
     ids = lambda t: [*coder.encode(t or "", add_special_tokens=False).ids, 0]
     got = orc_store.read_tokens(spark, path).orderBy("start").collect()
     assert [r.doc_id for r in got] == sorted((d for d, _ in rows), key=lambda d: (d is not None, d or 0))
@@ -94,10 +94,50 @@ def test_orc_files_hold_all_ids_in_order(spark, make_docs, edges, sample, tmp_pa
     assert {r.doc_id for r in found.collect()} == {104, 107}
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [In(doc_id" in plan
+    assert {r.part for r in spark.read.orc(path).select("part").distinct().collect()} == set(range(len(list((tmp_path / "t").glob("*.orc")))))
     orc_store.write_tokens(make_docs([]), str(tmp_path / "e"), name, 0)
     assert orc_store.read_tokens(spark, str(tmp_path / "e")).count() == 0
 
 
+def test_places_hold_for_any_number_of_parts_and_files(spark, tmp_path):
+    rows = [(i, p, 0, 3, [p, i, 0]) for i, p in enumerate((9, 99_998, 99_999, 100_000, 100_001, 1_000_000))]
+    path = str(tmp_path / "many")
+    for row in rows:  # each part in a file of its own, whose name says nothing
+        spark.createDataFrame([row], orc_store.ROW).write.mode("append").orc(path)
+    got = orc_store.read_tokens(spark, path).orderBy("start").collect()
+    assert [(r.doc_id, r.start, r.tokens) for r in got] == [(d, 3 * k, t) for k, (d, _, _, _, t) in enumerate(rows)]
+
+
+def scanned(df):
+    """Rows that the scan of ``df`` gave to what comes after it."""
+    df.collect()
+    node = df._jdf.queryExecution().executedPlan()
+    while node.children().size():
+        node = node.children().head()
+    return node.metrics().get("numOutputRows").get().value()
+
+
+def test_stripes_are_read_side_by_side_and_skipped(spark, make_docs, tmp_path, monkeypatch):
+    import pyarrow.orc
+
+    monkeypatch.setattr(orc_store, "STRIPE_BYTES", 1 << 14)
+    monkeypatch.setattr(orc_store, "INDEX_ROWS", 1000)
+    rng = random.Random(5)
+    rows = [(2 * i, " ".join(rng.choice("alpha beta gamma delta omega".split()) + str(rng.randrange(10**6)) for _ in range(12))) for i in range(20_000)]
+    name, path = vocabulary("byte_bpe_50k.json"), str(tmp_path / "t")
+    orc_store.write_tokens(make_docs(rows), path, name, 0)
+    (file,) = (tmp_path / "t").glob("*.orc")
+    assert pyarrow.orc.ORCFile(str(file)).nstripes > 3
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(file.stat().st_size // 4))
+    try:
+        by_task = orc_store.read_tokens(spark, path).groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sum(r["count"] for r in by_task) == len(rows) and len(by_task) > 1  # several tasks had stripes of one file
+    assert 0 < scanned(spark.read.schema(orc_store.ROW).orc(path).where("doc_id = 2000")) <= 4000  # by the row index
+    assert scanned(spark.read.schema(orc_store.ROW).orc(path).where("doc_id = 2001")) == 0  # inside an index entry's range: by the Bloom filter
+
+
 def test_sentence_pieces_equal_the_library(make_docs, edges, sample, odd_texts):
     name = vocabulary("piece_bpe_32k.model")
     coder = sentence_pieces.AgendaEncoder(name)
