@@ -247,9 +247,14 @@ def wrappers(pages: DataFrame, references: DataFrame) -> DataFrame:
     held = pages.select(*layout, F.explode("slots").alias("slot")).groupBy(*layout, "slot").agg(F.count("*").alias("pages"))
     own = F.array_distinct(F.transform("blocks", lambda b: F.struct(b["slot"].alias("slot"), b["key"].alias("key"), b["chars"].alias("chars"), b["links"].alias("links"))))
     texts = pages.select(*layout, F.explode(own).alias("b")).groupBy(*layout, "b.slot", "b.key").agg(F.count("*").alias("n"), F.sum("b.chars").alias("chars"), F.sum("b.links").alias("links"))
-    counted = written(texts.join(held, [*layout, "slot"]).withColumn("fixed", (F.col("n") >= 2) & (F.col("n") >= TEMPLATE_SHARE * F.col("pages"))), "text-counts")
-    fixed = counted.where("fixed").groupBy(*layout).agg(F.collect_list(F.struct("slot", "key")).alias("template"))
-    varying = counted.where("not fixed").groupBy(*layout, "slot").agg(F.sum(F.col("chars") - F.col("links")).alias("plain"), F.sum("links").alias("linked"))
+    counted = written(texts, "text-counts")
+    # only texts that come twice are looked up by place: the rest, most of a large host's, need no join
+    fixed = written(
+        counted.where("n >= 2").join(held, [*layout, "slot"]).where(F.col("n") >= TEMPLATE_SHARE * F.col("pages")).select(*layout, "slot", "key", "chars", "links"), "fixed-texts"
+    )
+    signed = counted.select(*layout, "slot", "chars", "links").union(fixed.select(*layout, "slot", -F.col("chars"), -F.col("links")))
+    varying = signed.groupBy(*layout, "slot").agg(F.sum(F.col("chars") - F.col("links")).alias("plain"), F.sum("links").alias("linked")).where("plain > 0 or linked > 0")
+    fixed = fixed.groupBy(*layout).agg(F.collect_list(F.struct("slot", "key")).alias("template"))
     stats = varying.groupBy(*layout).agg(F.collect_list(F.struct("slot", "plain", "linked")).alias("stats"))
 
     def induced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
