@@ -37,7 +37,7 @@ def scratch_path(spark: SparkSession, what: str) -> str:
 def written(df: DataFrame, what: str) -> DataFrame:
     """``df`` written once in the shared folder and read back: lost executors cost no second computation."""
     path = scratch_path(df.sparkSession, what)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import texts, written
@@ -29,10 +29,14 @@ FREQUENT_SHARE = 2000
 SUFFIXES = 512
 SUFFIX_CHARS = 3
 STATES = 8
-ROUNDS = 4
+#: Rounds of Baum-Welch at most, and gain of the likelihood (share of its logarithm) below which there is no other.
+ROUNDS = 6
+TOLERANCE = 1e-3
 SEED = 7
-#: Tokens of a training sequence; longer texts train in pieces of so many. Scores are of whole texts.
-TRAINING_TOKENS = 256
+#: Tokens of texts that are trained on side by side, about, and steps whose alphas are held at once. A text of more steps
+#: trains as one sequence too: the alphas of a segment are computed again from those at its start.
+TOKENS_AT_ONCE = 300_000
+SEGMENT = 2048
 #: Characters of a block of documents at most, but for one longer text.
 BLOCK_CHARS = 16_000_000
 #: Stands for the end of a text among the words; no word holds white space.
@@ -116,23 +120,27 @@ class Words:
 def classed(blocks: DataFrame) -> tuple[DataFrame, Words]:
     """``block, place, total, cls`` of each block's words, and the totals.
 
-    The rows of a word are as many as blocks hold it. Frequent words, at most ``FREQUENT_SHARE``, are found by their
-    share and so are bounded.
+    Words are dealt by token once; both the sums and the join back read that one exchange. The rows of a word are as
+    many as blocks hold it, and none of them is held in memory. Frequent words, at most ``FREQUENT_SHARE``, are found
+    by their share and so are bounded.
     """
     words = blocks.where("token is not null").select("block", "token", "place", "seen")
-    by_token = Window.partitionBy("token")
-    total = words.select("block", "token", "place", F.sum("seen").over(by_token).alias("total"), (F.min("block").over(by_token) == F.col("block")).alias("first"))
-    total = written(total, "word-totals")
+    n = int(words.agg(F.sum("seen")).first()[0] or 0)
+    dealt = words.repartition("token")
+    sums = dealt.groupBy("token").agg(F.sum("seen").alias("total"), F.min("block").alias("least"))
+    common = (F.col("total") > 0) & (F.col("total") * FREQUENT_SHARE >= n) | (F.col("token") == END)
+    suffix = F.pmod(F.xxhash64(F.substring("token", -SUFFIX_CHARS, SUFFIX_CHARS)), F.lit(SUFFIXES)).cast("int")
+    joined = dealt.drop("seen").join(sums.hint("merge"), "token").select("block", "place", "total", (F.col("least") == F.col("block")).alias("first"), suffix.alias("suffix"), F.when(common, F.col("token")).alias("common"))
+    total = written(joined, "word-totals")
     once = total.where("first")
-    sums = once.agg(F.sum("total").alias("n"), F.sum(F.when(F.col("total") > 0, 1).otherwise(0)).alias("v")).first()
-    n, v = int(sums["n"] or 0), int(sums["v"] or 0)
-    frequent = sorted(r["token"] for r in once.where((F.col("total") > 0) & (F.col("total") * FREQUENT_SHARE >= n) & (F.col("token") != END)).select("token").collect())
-    names = blocks.sparkSession.createDataFrame([(END, 0), *[(w, 1 + i) for i, w in enumerate(frequent)]], "token string, own int")
-    suffix = F.pmod(F.xxhash64(F.substring("token", -SUFFIX_CHARS, SUFFIX_CHARS)), F.lit(SUFFIXES)).cast("int") + 1 + len(frequent)
-    found = total.join(F.broadcast(names), "token", "left").select("block", "place", "total", "first", F.coalesce("own", suffix).alias("cls"))
-    size, single = np.zeros(1 + len(frequent) + SUFFIXES), np.zeros(1 + len(frequent) + SUFFIXES)
-    for r in found.where("first").groupBy("cls").agg(F.sum("total").alias("n"), F.sum(F.when(F.col("total") == 1, 1).otherwise(0)).alias("once")).collect():
+    frequent = sorted(r["common"] for r in once.where(F.col("common").isNotNull() & (F.col("common") != END)).select("common").collect())
+    names = blocks.sparkSession.createDataFrame([(END, 0), *[(w, 1 + i) for i, w in enumerate(frequent)]], "common string, own int")
+    found = total.join(F.broadcast(names), "common", "left").select("block", "place", "total", "first", F.coalesce("own", F.col("suffix") + 1 + len(frequent)).alias("cls"))
+    size, single, v = np.zeros(1 + len(frequent) + SUFFIXES), np.zeros(1 + len(frequent) + SUFFIXES), 0
+    known = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    for r in found.where("first").groupBy("cls").agg(F.sum("total").alias("n"), known(F.col("total") == 1).alias("once"), known(F.col("total") > 0).alias("v")).collect():
         size[r["cls"]], single[r["cls"]] = r["n"], r["once"]
+        v += r["v"]
     return found.drop("first"), Words(n, v, size, single)
 
 
@@ -202,60 +210,86 @@ class Model:
         back[order] = out
         return back
 
-    def expected(self, texts: list[np.ndarray]) -> np.ndarray:
-        """Baum-Welch counts of all sequences: starts, moves and emissions, flat."""
+    def expected(self, texts: list[np.ndarray]) -> tuple[np.ndarray, float]:
+        """Baum-Welch counts of all whole sequences (starts, moves and emissions, flat), and their log10 probability.
+
+        Texts go side by side, one token a step. Of texts longer than a segment, a first pass keeps only the alphas
+        at the segments' starts.
+        """
         texts = sorted(texts, key=len, reverse=True)
         sizes = np.array([len(x) for x in texts])
         starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
         flat = np.concatenate(texts)
-        steps = np.searchsorted(-sizes, -np.arange(sizes[0]), side="left").tolist()
-        alphas, likes = [], []
-        for t, n in enumerate(steps):
-            like = self.emit[flat[starts[:n] + t]]
-            alpha = (np.repeat(self.start[None], n, 0) if t == 0 else alphas[-1][:n] @ self.move) * like
-            scale = alpha.sum(1, keepdims=True)
-            alphas.append(alpha / scale)
-            likes.append(like / scale)
-        moves = np.zeros((STATES, STATES))
-        shares = np.zeros((len(flat), STATES))
-        beta = np.ones((0, STATES))
-        for t in range(len(steps) - 1, -1, -1):
-            n = steps[t]
-            if t + 1 < len(steps):
-                m = steps[t + 1]
-                ahead = likes[t + 1] * beta
-                moves += alphas[t][:m].T @ ahead
+        steps = np.searchsorted(-sizes, -np.arange(sizes[0]), side="left").tolist()  # texts longer than t
+
+        def forward(first: int, alpha: np.ndarray | None, kept: list | None) -> np.ndarray:
+            for t in range(first, min(first + SEGMENT, len(steps))):
+                n = steps[t]
+                like = self.emit[flat[starts[:n] + t]]
+                alpha = (np.repeat(self.start[None], n, 0) if alpha is None else alpha[:n] @ self.move) * like
+                scale = alpha.sum(1, keepdims=True)
+                alpha /= scale
+                if kept is not None:
+                    kept.append((alpha, like / scale, scale))
+            return alpha
+
+        entry: list[np.ndarray | None] = [None]
+        for first in range(0, len(steps) - SEGMENT, SEGMENT):
+            entry.append(forward(first, entry[-1], None))
+        moves, emits, begin, log = np.zeros((STATES, STATES)), np.zeros((len(self.emit), STATES)), np.zeros(STATES), 0.0
+        ahead = np.zeros((0, STATES))  # what the step after says of the states there
+        for first in range((len(steps) - 1) // SEGMENT * SEGMENT, -1, -SEGMENT):
+            kept: list[tuple] = []
+            forward(first, entry[first // SEGMENT], kept)
+            shares, tokens = [], []
+            for t in range(first + len(kept) - 1, first - 1, -1):
+                n, (alpha, like, scale) = steps[t], kept[t - first]
+                m = len(ahead)
+                if m:
+                    moves += alpha[:m].T @ ahead
                 beta = np.concatenate([ahead @ self.move.T, np.ones((n - m, STATES))])
-            else:
-                beta = np.ones((n, STATES))
-            shares[starts[:n] + t] = alphas[t] * beta
-        emits = np.stack([np.bincount(flat, shares[:, k], len(self.emit)) for k in range(STATES)], 1)
-        return np.concatenate([shares[starts].sum(0), (moves * self.move).ravel(), emits.ravel()])
-
-
-def train(seqs: DataFrame, totals: Words, rounds: int = ROUNDS) -> Model:
-    """Baum-Welch over all training documents.
-
-    Each task sends one list of expected counts, as long as the model is (states, classes); Spark adds the lists by
-    place. So what reaches the driver is one model a round.
+                shares.append(alpha * beta)
+                tokens.append(flat[starts[:n] + t])
+                log += float(np.log10(scale).sum())
+                ahead = like * beta
+            share, token = np.concatenate(shares), np.concatenate(tokens)
+            emits += np.stack([np.bincount(token, share[:, k], len(self.emit)) for k in range(STATES)], 1)
+            begin = shares[-1].sum(0)
+        return np.concatenate([begin, (moves * self.move).ravel(), emits.ravel()]), log
+
+
+def side_by_side(batches: Iterator[np.ndarray]) -> Iterator[list[np.ndarray]]:
+    """Texts in groups of about ``TOKENS_AT_ONCE``, long ones apart from short ones, so that few steps have few texts."""
+    waiting: dict[int, list[np.ndarray]] = {}
+    tokens: dict[int, int] = {}
+    for text in batches:
+        kind = len(text).bit_length() // 2
+        waiting.setdefault(kind, []).append(text)
+        tokens[kind] = tokens.get(kind, 0) + len(text)
+        if tokens[kind] >= TOKENS_AT_ONCE:
+            yield waiting.pop(kind)
+            del tokens[kind]
+    yield from waiting.values()
+
+
+def train(seqs: DataFrame, totals: Words, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> tuple[Model, list[float]]:
+    """Baum-Welch over all whole training documents; the model, and the log10 probability before each round.
+
+    Each task sends one list of expected counts, as long as the model is (states, classes), and its log-likelihood;
+    Spark adds the lists by place. So what reaches the driver is one model a round. It ends when the likelihood has
+    settled.
     """
-    model = Model.first(totals.size)
+    model, logs = Model.first(totals.size), []
     learning = seqs.where("not held_out").select("classes")
     for _ in range(rounds):
 
         def run(batches: Iterator[pa.RecordBatch], model: Model = model) -> Iterator[pa.RecordBatch]:
-            total, waiting, tokens = 0.0, [], 0
-            for batch in batches:
-                for row in batch.column("classes"):
-                    text = np.frombuffer(row.as_py(), "<u2")
-                    waiting += [text[i : i + TRAINING_TOKENS] for i in range(0, len(text), TRAINING_TOKENS)]
-                    tokens += len(text)
-                    if tokens > 200_000:
-                        total, waiting, tokens = total + model.expected(waiting), [], 0
-            if waiting:
-                total = total + model.expected(waiting)
-            if not isinstance(total, float):
-                yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float64()))], ["counts"])
+            total, log = np.zeros(0), 0.0
+            for texts in side_by_side(np.frombuffer(row.as_py(), "<u2") for batch in batches for row in batch.column("classes")):
+                counts, own = model.expected(texts)
+                total, log = counts + total if len(total) else counts, log + own
+            if len(total):
+                yield pa.RecordBatch.from_arrays([pa.array([np.append(total, log)], pa.list_(pa.float64()))], ["counts"])
 
         lists = learning.mapInArrow(run, "counts array<double>")
         summed = lists.select(F.posexplode("counts")).groupBy("pos").agg(F.sum("col").alias("n")).collect()
@@ -264,21 +298,25 @@ def train(seqs: DataFrame, totals: Words, rounds: int = ROUNDS) -> Model:
         counts = np.zeros(len(summed))
         for r in summed:
             counts[r["pos"]] = r["n"]
-        model = Model.of_counts(counts, totals.classes)
-    return model
+        model = Model.of_counts(counts[:-1], totals.classes)
+        logs.append(float(counts[-1]))
+        if len(logs) > 1 and logs[-1] - logs[-2] < tolerance * abs(logs[-2]):
+            break
+    return model, logs
 
 
 def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every whole text.
 
     The model learns from the documents that aren't held out. Null or empty text: the end token alone. Null id: as an
-    empty id, so it trains. Repeated rows count as often as they are there. Without training documents no word is
-    known and the states know nothing. Empty table: no rows.
+    empty id, so it trains. Repeated rows count as often as they are there. Very long texts train and score as one
+    sequence. Ties: words seen equally often are classed by their spelling alone. Without training documents no word
+    is known and the states know nothing. Columns beside doc_id and text aren't read. Empty table: no rows.
     """
     blocks = written(in_blocks(docs), "word-blocks")
     words, totals = classed(blocks)
     seqs = written(sequences(blocks, words, totals), "class-sequences")
-    model = train(seqs, totals, rounds)
+    model, _ = train(seqs, totals, rounds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

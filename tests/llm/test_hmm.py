@@ -5,6 +5,7 @@ from collections import Counter
 from itertools import product
 
 import numpy as np
+import xxhash
 
 from photolake.llm import hmm
 
@@ -56,18 +57,103 @@ def test_expected_counts_and_rising_likelihood():
     rng = np.random.default_rng(2)
     seqs = [rng.integers(0, 5, rng.integers(1, 40)).astype("<u2") for _ in range(50)]
     m = small_model()
-    counts = m.expected(seqs)
+    counts, log = m.expected(seqs)
+    assert abs(log - m.forward(seqs).sum()) < 1e-6
     k = hmm.STATES
     assert abs(counts[:k].sum() - 50) < 1e-6 and abs(counts[k : k + k * k].sum() - sum(len(s) - 1 for s in seqs)) < 1e-6
     assert np.allclose(counts[k + k * k :].reshape(5, k).sum(1), np.bincount(np.concatenate(seqs), minlength=5))
     before = m.forward(seqs).sum()
     for _ in range(5):
-        m = hmm.Model.of_counts(m.expected(seqs), 5)
+        m = hmm.Model.of_counts(m.expected(seqs)[0], 5)
         after = m.forward(seqs).sum()
         assert after > before - 0.5
         before = after
 
 
+def test_segments_change_nothing(monkeypatch):
+    rng = np.random.default_rng(3)
+    seqs = [rng.integers(0, 5, n).astype("<u2") for n in (1, 2, 7, 8, 9, 16, 40, 41, 3, 24)]
+    m = small_model()
+    counts, log = m.expected(seqs)
+    for segment in (1, 4, 8, 41):
+        monkeypatch.setattr(hmm, "SEGMENT", segment)
+        other, same = m.expected(seqs)
+        assert np.allclose(counts, other) and abs(log - same) < 1e-9
+
+
+def brute_scores(rows, rounds):
+    """Scores of all texts by plain loops: words, classes, Baum-Welch over whole texts, forward recursion."""
+    out = {d: zlib.crc32(str(d).encode()) % 7 == 2 for d, _ in rows}
+    counts = Counter(w for d, t in rows if not out[d] for w in tokens(t))
+    n = sum(counts.values())
+    frequent = sorted(w for w, c in counts.items() if c * hmm.FREQUENT_SHARE >= n and w != hmm.END)
+
+    def cls(w):
+        if w == hmm.END:
+            return 0
+        if w in frequent:
+            return 1 + frequent.index(w)
+        h = xxhash.xxh64_intdigest(w[-hmm.SUFFIX_CHARS :].encode(), 42)
+        return 1 + len(frequent) + (h - (1 << 64) if h >> 63 else h) % hmm.SUFFIXES
+
+    size, once = np.zeros(1 + len(frequent) + hmm.SUFFIXES), Counter()
+    for w, c in counts.items():
+        size[cls(w)] += c
+        once[cls(w)] += c == 1
+    m = hmm.Model.first(size)
+    texts = {d: [cls(w) for w in tokens(t)] for d, t in rows}
+
+    def alphas(x):
+        a, found = m.start * m.emit[x[0]], []
+        for k, c in enumerate(x):
+            a = a if k == 0 else a @ m.move * m.emit[c]
+            found.append((a / a.sum(), a.sum()))
+            a = a / a.sum()
+        return found
+
+    for _ in range(rounds):
+        begin, moves, emits = np.zeros(hmm.STATES), np.zeros((hmm.STATES, hmm.STATES)), np.zeros((len(size), hmm.STATES))
+        for d, x in texts.items():
+            if out[d]:
+                continue
+            forward, beta = alphas(x), np.ones(hmm.STATES)
+            for k in range(len(x) - 1, -1, -1):
+                share = forward[k][0] * beta
+                emits[x[k]] += share
+                if k == 0:
+                    begin += share
+                else:
+                    moves += np.outer(forward[k - 1][0], m.emit[x[k]] * beta) * m.move / forward[k][1]
+                    beta = m.move @ (m.emit[x[k]] * beta) / forward[k][1]
+        m = hmm.Model.of_counts(np.concatenate([begin, moves.ravel(), emits.ravel()]), len(size))
+
+    def within(w):
+        c, k = counts[w], cls(w)
+        unseen = (once[k] + 0.5) / (size[k] + 1) if size[k] else 1.0
+        return math.log10(c / size[k] * (1 - unseen) if c else unseen)
+
+    return {d: sum(math.log10(s) for _, s in alphas(texts[d])) + sum(within(w) for w in tokens(t)) for d, t in rows}
+
+
+def test_scores_match_brute_force(make_docs, sample, monkeypatch):
+    monkeypatch.setattr(hmm, "BLOCK_CHARS", 2000)
+    monkeypatch.setattr(hmm, "SEGMENT", 100)
+    rows = [(d, (t or "")[:3000]) for d, t in sample if d is not None][:60] + [(10_000, "ZZ top never seen"), (10_001, "")]
+    want = brute_scores(rows, 2)
+    got = {r.doc_id: r.score for r in hmm.score(make_docs(rows), rounds=2).collect()}
+    assert got.keys() == want.keys()
+    assert all(abs(got[d] - want[d]) < 1e-6 * max(1, abs(want[d])) for d in want)
+
+
+def test_training_ends_when_the_likelihood_has_settled(make_docs, sample):
+    blocks = hmm.in_blocks(make_docs(sample))
+    words, totals = hmm.classed(blocks)
+    seqs = hmm.sequences(blocks, words, totals)
+    _, logs = hmm.train(seqs, totals, rounds=30, tolerance=1e-3)
+    gains = [(b - a) / -a for a, b in zip(logs, logs[1:], strict=False)]
+    assert 2 <= len(logs) < 30 and all(g >= 1e-3 for g in gains[:-1]) and gains[-1] < 1e-3
+
+
 def test_words_of_a_class_sum_to_one():
     totals = hmm.Words(13, 4, np.array([13.0, 0]), np.array([2.0, 0]))
     shares = 10 ** totals.within(np.array([1, 1, 5, 6, 0]), np.zeros(5, int))
