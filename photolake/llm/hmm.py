@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,10 +34,10 @@ STATES = 8
 ROUNDS = 6
 TOLERANCE = 1e-3
 SEED = 7
-#: Tokens of texts that are trained on side by side, about, and steps whose alphas are held at once. A text of more steps
-#: trains as one sequence too: the alphas of a segment are computed again from those at its start.
-TOKENS_AT_ONCE = 300_000
-SEGMENT = 2048
+#: Steps whose alphas are held at once, and how many of them in all texts that are trained on side by side, about. A text
+#: of more steps trains as one sequence too: the alphas of a segment are computed again from those at its start.
+SEGMENT = 1024
+ALPHAS_AT_ONCE = 300_000
 #: Characters of a block of documents at most, but for one longer text.
 BLOCK_CHARS = 16_000_000
 #: Stands for the end of a text among the words; no word holds white space.
@@ -145,28 +146,49 @@ def classed(blocks: DataFrame) -> tuple[DataFrame, Words]:
 
 
 def sequences(blocks: DataFrame, words: DataFrame, totals: Words) -> DataFrame:
-    """Each document's classes, beside what its words say apart from the hidden states."""
-
-    def run(_: tuple, docs: pa.Table, own: pa.Table) -> pa.Table:
-        place = own.column("place").to_numpy()
-        seen, cls = np.zeros(len(place), "int64"), np.zeros(len(place), "int64")
-        seen[place], cls[place] = own.column("total").to_numpy(), own.column("cls").to_numpy()
-        base, within, known = totals.base(seen), totals.within(seen, cls), seen > 0
-        coded = [np.frombuffer(x.as_py(), "<u4") for x in docs.column("ids")]
-        return pa.table(
-            {
-                "doc_id": docs.column("doc_id"),
-                "held_out": docs.column("held_out"),
-                "n_tokens": pa.array([len(x) for x in coded], pa.int64()),
-                "n_known": pa.array([int(known[x].sum()) for x in coded], pa.int64()),
-                "base_score": pa.array([float(base[x].sum()) for x in coded], pa.float64()),
-                "words_score": pa.array([float(within[x].sum()) for x in coded], pa.float64()),
-                "classes": pa.array([cls[x].astype("<u2").tobytes() for x in coded], pa.binary()),
-            }
-        )
-
-    docs = blocks.where("token is null").select("block", "doc_id", "held_out", "ids")
-    return docs.groupBy("block").cogroup(words.select("block", "place", "total", "cls").groupBy("block")).applyInArrow(run, SEQUENCES)
+    """Each document's classes, beside what its words say apart from the hidden states.
+
+    A block's words come first in its task, then its documents; blocks are dealt out one by one, so tasks are alike.
+    Only one block's words are held at a time.
+    """
+    names = [x.split()[0] for x in SEQUENCES.split(", ")]
+    tasks = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    makers = int(blocks.agg(F.max(F.shiftright("block", 24))).first()[0] or 0) + 1
+    dealt = F.pmod(F.shiftright("block", 24) + F.col("block").bitwiseAND(0xFFFFFF) * makers, F.lit(tasks)).cast("int")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, parts, ready = None, [], None
+        for batch in batches:
+            edges = np.flatnonzero(np.diff(batch.column("block").to_numpy())) + 1
+            for lo, hi in zip([0, *edges.tolist()], [*edges.tolist(), batch.num_rows], strict=True):
+                part = batch.slice(lo, hi - lo)
+                if (now := part.column("block")[0].as_py()) != block:
+                    block, parts, ready = now, [], None
+                own = part.filter(pc.is_null(part.column("ids")))
+                if own.num_rows:
+                    parts.append([own.column(c).to_numpy() for c in ("place", "total", "cls")])
+                docs = part.slice(own.num_rows)
+                if not docs.num_rows:
+                    continue
+                if ready is None:
+                    place, total, kind = (np.concatenate(x) for x in zip(*parts, strict=True))
+                    seen, cls = np.zeros(len(place), "int64"), np.zeros(len(place), "int64")
+                    seen[place], cls[place] = total, kind
+                    ready = totals.base(seen), totals.within(seen, cls), seen > 0, cls.astype("<u2")
+                base, within, known, cls = ready
+                coded = [np.frombuffer(x.as_py(), "<u4") for x in docs.column("ids")]
+                made = [
+                    pa.array([len(x) for x in coded], pa.int64()),
+                    pa.array([int(known[x].sum()) for x in coded], pa.int64()),
+                    pa.array([float(base[x].sum()) for x in coded], pa.float64()),
+                    pa.array([float(within[x].sum()) for x in coded], pa.float64()),
+                    pa.array([cls[x].tobytes() for x in coded], pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays([docs.column("doc_id"), docs.column("held_out"), *made], names)
+
+    docs = blocks.where("token is null").select("block", F.lit(1).alias("kind"), "doc_id", "held_out", "ids")
+    both = docs.unionByName(words.select("block", F.lit(0).alias("kind"), "place", "total", "cls"), allowMissingColumns=True)
+    return both.repartitionById(tasks, dealt).sortWithinPartitions("block", "kind").drop("kind").mapInArrow(run, SEQUENCES)
 
 
 @dataclass
@@ -259,16 +281,16 @@ class Model:
 
 
 def side_by_side(batches: Iterator[np.ndarray]) -> Iterator[list[np.ndarray]]:
-    """Texts in groups of about ``TOKENS_AT_ONCE``, long ones apart from short ones, so that few steps have few texts."""
+    """Texts in groups of about ``ALPHAS_AT_ONCE``, long ones apart from short ones, so that few steps have few texts."""
     waiting: dict[int, list[np.ndarray]] = {}
-    tokens: dict[int, int] = {}
+    held: dict[int, int] = {}
     for text in batches:
         kind = len(text).bit_length() // 2
         waiting.setdefault(kind, []).append(text)
-        tokens[kind] = tokens.get(kind, 0) + len(text)
-        if tokens[kind] >= TOKENS_AT_ONCE:
+        held[kind] = held.get(kind, 0) + min(len(text), SEGMENT)
+        if held[kind] >= ALPHAS_AT_ONCE:
             yield waiting.pop(kind)
-            del tokens[kind]
+            del held[kind]
     yield from waiting.values()
 
 
