@@ -114,15 +114,12 @@ class BKForest:
             hit = (near <= radius) & (query < node)
             if hit.any():
                 yield query[hit], node[hit]
-            went_q, went_n = [], []
-            for step in range(-radius, radius + 1):
-                code = node * 65 + near + step
-                at = np.minimum(np.searchsorted(self.codes, code), max(0, len(self.codes) - 1))
-                ok = (self.codes[at] == code) & (near + step > 0) & (near + step <= 64) if len(self.codes) else np.zeros(len(code), bool)
-                went_q.append(query[ok])
-                went_n.append(self.children[at[ok]])
-            if any(map(len, went_q)):
-                stack.append((np.concatenate(went_q), np.concatenate(went_n)))
+            # the edges of a node stand together by distance, so those within the radius are one range
+            lo = np.searchsorted(self.codes, node * 65 + np.maximum(near - radius, 1))
+            n = np.searchsorted(self.codes, node * 65 + np.minimum(near + radius, 64), side="right") - lo
+            if total := int(n.sum()):
+                at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(total)
+                stack.append((np.repeat(query, n), self.children[at]))
 
 
 def hang(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:

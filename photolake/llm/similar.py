@@ -23,8 +23,8 @@ from .simhash import SEED, BKForest, majority, shingle_hashes
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 #: Bands of minimum hashes: a pair of likeness s shares one with probability 1 - (1 - s**BAND_HASHES)**BANDS.
-BANDS = 20
-BAND_HASHES = 5
+BANDS = 12
+BAND_HASHES = 3
 #: Bits by which fingerprints of a pair may differ: nearly four deviations above the mean at a likeness of 0.8.
 RADIUS = 20
 ROWS_AT_ONCE = 200_000
