@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import schema
 from .functions.catalog import photo_id_of, seconds_of
+from .operators.numbering import dense_index
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,14 +62,14 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The work queue. Its size is that of the purchases; the numbering is part of the fixture."""
+    """The work queue: purchases numbered by time in ranges; the sorted order is the other way round."""
     e = photos(spark, sf_dir).where("event_type = 'purchase'")
     ts = table(spark, sf_dir, "events").select("event_id", "ts")
-    both = e.join(ts, "event_id")
-    one = Window.partitionBy(F.lit(0))
-    return both.select(
-        (F.row_number().over(one.orderBy("ts", "event_id")) - 1).cast("long").alias("qt_index"),
-        (F.row_number().over(one.orderBy(F.desc("ts"), F.desc("event_id"))) - 1).cast("long").alias("sorted_index"),
+    numbered = dense_index(e.select("event_id", "photo_id").join(ts, "event_id"), "ts", "qt_index", "event_id")
+    last = F.lit(numbered.count() - 1)
+    return numbered.select(
+        "qt_index",
+        (last - F.col("qt_index")).alias("sorted_index"),
         (F.col("event_id") % 2 == 0).alias("processed"),
         F.lit(False).alias("exported"),
         F.lit(False).alias("output"),

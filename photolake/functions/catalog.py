@@ -98,11 +98,14 @@ def capture_time(primary: Column | str, fallback: Column | str, tz_seconds: int)
     return seconds_of(F.to_timestamp_ntz(text, F.lit("yyyy:MM:dd HH:mm:ss"))) - tz_seconds
 
 
-def dest_path(seconds: Column | str, cam_tz: int, pattern: str = "/yyyy/MM/yyyy-MM-dd/") -> Column:
-    """Folder for a photo by its local capture time; a slash is put at the end if missing."""
+def dest_path(seconds: Column | str, import_tz: int, pattern: str = "/yyyy/MM/yyyy-MM-dd/") -> Column:
+    """Folder for a photo by its capture time in the zone of the import, in hours; a slash is put at the end if missing.
+
+    The capture time is in unix seconds: the camera's zone belongs to ``capture_time``, which reads it.
+    """
     if not pattern.endswith("/"):
         pattern += "/"
-    return F.date_format(local_time(seconds, cam_tz), pattern)
+    return F.date_format(local_time(seconds, import_tz), pattern)
 
 
 def _divisors(n: int) -> list[int]:
@@ -204,9 +207,9 @@ def hash_suffix(file_id: Column | str) -> Column:
 
 
 def suffixed_name(name: Column | str, file_id: Column | str) -> Column:
-    """The suffix between the stem and the extension of four characters."""
+    """An underscore and the suffix between the stem and the extension of four characters."""
     name = col(name)
-    return F.concat(F.substring(name, F.lit(1), F.length(name) - 4), hash_suffix(file_id), F.substring(name, F.length(name) - 3, F.lit(4)))
+    return F.concat(F.substring(name, F.lit(1), F.length(name) - 4), F.lit("_"), hash_suffix(file_id), F.substring(name, F.length(name) - 3, F.lit(4)))
 
 
 def turn(r: Column | str, right: bool) -> Column:

@@ -184,16 +184,18 @@ def rationals(spark: SparkSession, d: str) -> DataFrame:
 
 
 SUFFIX_SQL = f"""SELECT seq, string_agg(substr('{fn.SUFFIX_DIGITS}', (v % 62 + 1)::INTEGER, 1), '' ORDER BY i) AS suffix FROM chain GROUP BY seq"""
+#: The name of a copied file: stem, underscore, suffix, and the last four characters.
+NAME_SQL = "SELECT seq, suffix, left(path, length(path) - 4) || '_' || suffix || right(path, 4) AS name FROM suffixes JOIN manifest USING (seq)"
 
 
 @query(
     "hash_suffix",
     f"""{fx.sql("", "manifest").replace("WITH", "WITH RECURSIVE", 1)}, ids AS (SELECT DISTINCT seq, md5(content) AS h FROM manifest), chain AS (
   SELECT seq, h, 0 AS i, ('0x' || substr(h, 1, 2))::INTEGER AS v FROM ids
-  UNION ALL SELECT seq, h, i + 1, ('0x' || substr(h, 2 * i + 3, 2))::INTEGER + v // 62 FROM chain WHERE i < 6) {SUFFIX_SQL}""",
+  UNION ALL SELECT seq, h, i + 1, ('0x' || substr(h, 2 * i + 3, 2))::INTEGER + v // 62 FROM chain WHERE i < 6), suffixes AS ({SUFFIX_SQL}) {NAME_SQL}""",
 )
 def hash_suffix(spark: SparkSession, d: str) -> DataFrame:
-    return sources.with_file_id(fx.manifest(spark, d)).select("seq", fn.hash_suffix("file_id").alias("suffix"))
+    return sources.with_file_id(fx.manifest(spark, d)).select("seq", fn.hash_suffix("file_id").alias("suffix"), fn.suffixed_name("path", "file_id").alias("name"))
 
 
 @query("output_names", "SELECT seq, regexp_replace(path, '\\.[^.]*$', '') || CASE WHEN seq % 3 = 0 THEN '-HDR' ELSE '' END || '-output' AS name FROM manifest", "manifest")
@@ -292,6 +294,12 @@ def add_photos(spark: SparkSession, d: str) -> DataFrame:
     return sources.add_photos(fx.catalog_photos(spark, d), new, NOW, NOW).select("photo_id", "import_time", "rating", "thumb_written")
 
 
+@query("count_uses", "SELECT file_id, usage_count + coalesce(n, 0) AS usage_count FROM files LEFT JOIN (SELECT file_id, count(*) AS n FROM photos WHERE rating > 0 GROUP BY 1) USING (file_id)", "photos", "files")
+def count_uses(spark: SparkSession, d: str) -> DataFrame:
+    new = fx.catalog_photos(spark, d).where("rating > 0").select("photo_id", "file_id")
+    return sources.count_uses(fx.files(spark, d), new).select("file_id", "usage_count")
+
+
 # the queue
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,15 +9,14 @@ from pyspark.sql import functions as F
 
 from .. import fixtures as fx
 from .. import schema
+from ..operators.storage import shared_folder
 from ..sources.files import with_file_id
 from ..streaming import live
 from .registry import query
 
 
 def folder(spark: SparkSession) -> str:
-    context = spark.sparkContext
-    shared = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-flow-")
-    return f"{shared.rstrip('/')}/flow-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/flow-{uuid.uuid4().hex}"
 
 
 @query("catalog_round_trip", "SELECT photo_id, capture_time, filename, rating, last_processed_time FROM photos", "photos")
@@ -30,11 +28,11 @@ def catalog_round_trip(spark: SparkSession, d: str) -> DataFrame:
 
 @query("stream_import", "SELECT md5(content) AS file_id, count(*) OVER () AS files FROM manifest GROUP BY 1", "manifest")
 def stream_import(spark: SparkSession, d: str) -> DataFrame:
-    """Manifest rows in four files, one a batch, each of them delivered twice."""
+    """Manifest rows in four deliveries, two of them made twice; a batch is a file of a delivery."""
     at = folder(spark)
     m = fx.manifest(spark, d).select("seq", "path", "content")
     for k in (0, 1, 2, 3, 1, 3):
-        m.where(F.col("seq") % 4 == k).coalesce(1).write.mode("append").parquet(f"{at}/in")
+        m.where(F.col("seq") % 4 == k).write.mode("append").parquet(f"{at}/in")
     stream = spark.readStream.schema(m.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
     live.stream_import(stream, f"{at}/files", f"{at}/state").awaitTermination()
     files = live.latest_files(spark, f"{at}/files")

@@ -75,6 +75,12 @@ def upsert_files(files: DataFrame, batch: DataFrame) -> DataFrame:
     return files.join(new, "file_id", "full_outer").withColumns({"file_path": F.coalesce("_path", "file_path"), "usage_count": F.coalesce("usage_count", F.lit(0).cast("long"))}).drop("_path")
 
 
+def count_uses(files: DataFrame, new: DataFrame) -> DataFrame:
+    """Files whose ``usage_count`` has grown by the photos of ``new`` (column file_id) that are added for them."""
+    added = new.groupBy("file_id").agg(F.count("*").alias("_added"))
+    return files.join(added, "file_id", "left").withColumn("usage_count", F.coalesce("usage_count", F.lit(0)) + F.coalesce("_added", F.lit(0))).select(*files.columns)
+
+
 def add_photos(photos: DataFrame, new: DataFrame, now: int, started: int) -> DataFrame:
     """Photos with those of ``new`` (photo_id, file_id, filename, capture_time, rating) added, imported now."""
     rows = new.select(

@@ -30,7 +30,7 @@ def test_labels_and_fractions(spark):
     assert value(spark, fn.shutter_fraction(F.lit(0.0))) == "0/1" and value(spark, fn.shutter_fraction(F.lit(1 / 125))) == "1/125"
     assert value(spark, fn.gcd(F.lit(832040), F.lit(514229))) == 1 and value(spark, fn.gcd(F.lit(84), F.lit(0))) == 84
     assert value(spark, fn.photo_id_of(F.lit("a" * 32), F.lit(12345))) == "a" * 32 + "12345"
-    assert value(spark, fn.suffixed_name(F.lit("IMG_1.CR2"), F.lit("00" * 16))) == "IMG_1aaaaaaa.CR2"
+    assert value(spark, fn.suffixed_name(F.lit("IMG_1.CR2"), F.lit("00" * 16))) == "IMG_1_aaaaaaa.CR2"
     assert value(spark, fn.output_name(F.array(F.lit("a.b.CR2"), F.lit("c")))) == "a.b-HDR-output"
 
 
@@ -54,8 +54,10 @@ def test_organize_floor(spark):
 
 def test_dense_index(spark):
     df = spark.createDataFrame([(i * 7919 % 10007, i) for i in range(3000)] + [(5, -1), (5, -2), (None, 0)], "k long, t long")
-    got = [(r.k, r.t) for r in numbering.dense_index(df, "k", "n", "t").orderBy("n").collect()]
-    assert got == sorted([(r.k, r.t) for r in df.collect()], key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+    for range_rows in (1_000_000, 100):
+        got = numbering.dense_index(df, "k", "n", "t", range_rows=range_rows).orderBy("n").collect()
+        assert [r.n for r in got] == list(range(3003))
+        assert [(r.k, r.t) for r in got] == sorted([(r.k, r.t) for r in df.collect()], key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
     assert numbering.dense_index(df.limit(0), "k", "n").count() == 0
 
 

@@ -31,7 +31,7 @@ def comparable(rows, digits=6):
 
 
 #: A part of the queries, to keep the suite short; the driver compares all of them.
-CHOSEN = ["date_histogram_dense", "classify_import", "enqueue", "forget_queue", "effective_params", "resolve_lens", "white_level", "hist_heights", "smoothed", "film_curve", "stream_date_histogram"]
+CHOSEN = ["date_histogram_dense", "classify_import", "enqueue", "forget_queue", "effective_params", "resolve_lens", "white_level", "hist_heights", "smoothed", "film_curve", "stream_date_histogram", "stream_import", "hash_suffix", "labels", "count_uses", "queue_view", "dequeue", "queue_move", "queue_reset_order", "queue_position"]
 
 
 @pytest.mark.skipif(not os.path.isdir(SMALL), reason="the test tables aren't here")
