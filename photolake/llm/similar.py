@@ -2,8 +2,9 @@
 
 Two texts are near copies if the Jaccard likeness of their sets of shingles reaches a bound. At a likeness of 0.8,
 fingerprints differ by ten of 64 bits on average, which no blocks of bits can shard: so a shard is the texts that
-agree in a band of minimum hashes, and within it a BK-tree finds the pairs within a wide radius. Each candidate pair
-is verified on the whole sets, so no pair is linked wrongly; the bands and the radius decide how many are found.
+agree in a band of minimum hashes, and within it a BK-tree finds the pairs within a wide radius. Pairs go that can't
+reach the bound by the sizes of their sets in each of 64 parts of the hash space; each that is left is verified on
+the whole sets, so no pair is linked wrongly, and none is lost but by the bands and the radius.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ BAND_HASHES = 3
 RADIUS = 20
 ROWS_AT_ONCE = 200_000
 SHINGLES_AT_ONCE = 20_000
+PAIRS_AT_ONCE = 200_000
 
 _factors = np.random.default_rng(SEED).integers(0, 1 << 63, (BANDS * BAND_HASHES, 1), "uint64") * np.uint64(2) + np.uint64(1)
 
@@ -42,6 +44,29 @@ def bands(hashes: np.ndarray) -> list[int]:
     return np.array(made, "uint64").view("int64").tolist()
 
 
+#: Parts of the hash space whose shingles are counted by text, 16 bits each, packed in long columns.
+PARTS = 64
+COUNTS = [f"c{i}" for i in range(PARTS // 4)]
+
+
+def part_counts(hashes: np.ndarray) -> list[int]:
+    """Distinct shingles in each part of the hash space, at most 65535 each, packed."""
+    counts = np.bincount((hashes >> np.uint64(58)).astype("int64"), minlength=PARTS)
+    return np.minimum(counts, 65535).astype("<u2").view("<i8").tolist()
+
+
+def may_reach(c: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
+    """Pairs whose sets may reach the likeness: what both have in common is in each part at most what the smaller has."""
+    n, packed = c["n"], np.stack([c[x] for x in COUNTS], axis=1)
+    ok = np.minimum(n[a], n[b]) >= similarity * np.maximum(n[a], n[b])
+    for at in range(0, len(a), PAIRS_AT_ONCE):
+        own = at + np.flatnonzero(ok[at : at + PAIRS_AT_ONCE])
+        x, y = (packed[z[own]].view("<u2") for z in (a, b))
+        both = np.minimum(x, y).sum(axis=1, dtype="int64")
+        ok[own] = (both >= similarity * (n[a[own]] + n[b[own]] - both)) | ((x == 65535) & (y == 65535)).any(axis=1)
+    return ok
+
+
 def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     """Whether two sorted sets reach the likeness; two empty ones do."""
     both = len(np.intersect1d(a, b, assume_unique=True))
@@ -49,20 +74,21 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
 
 
 def sketches(docs: DataFrame, shingle_words: int) -> DataFrame:
-    """``doc_id, h`` (a hash of the text), ``fp``, ``n`` (distinct shingles) and ``bands`` of every whole text."""
+    """``doc_id, h`` (a hash of the text), ``fp``, ``n`` (distinct shingles), ``bands`` and ``counts`` of every whole text."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        fps, sizes, keys = [], [], []
+        fps, sizes, keys, counts = [], [], [], []
         for text in batch.column("text"):
             hashes = shingle_hashes(text.as_py(), shingle_words)
             fps.append(majority(hashes))
             distinct = np.unique(hashes)
             sizes.append(len(distinct))
             keys.append(bands(distinct))
-        made = [pa.array(np.array(fps, "uint64").view("int64")), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), *made], ["doc_id", "h", "fp", "n", "bands"])
+            counts.append(part_counts(distinct))
+        made = [pa.array(np.array(fps, "uint64").view("int64")), pa.array(sizes, pa.int64()), *(pa.array(x, pa.list_(pa.int64())) for x in (keys, counts))]
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), *made], ["doc_id", "h", "fp", "n", "bands", "counts"])
 
-    return map_batches(texts(docs).withColumn("h", F.xxhash64("text")), work, "doc_id long, h long, fp long, n long, bands array<long>")
+    return map_batches(texts(docs).withColumn("h", F.xxhash64("text")), work, "doc_id long, h long, fp long, n long, bands array<long>, counts array<long>")
 
 
 def by_shard(rows: DataFrame, work) -> DataFrame:
@@ -87,11 +113,6 @@ def by_shard(rows: DataFrame, work) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key", "fp", "h").mapInArrow(run, "a long, b long").distinct()
 
 
-def sizes_fit(n: np.ndarray, a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
-    """Pairs whose sizes allow the likeness at all."""
-    return np.minimum(n[a], n[b]) >= similarity * np.maximum(n[a], n[b])
-
-
 def to_heads(shards: DataFrame, similarity: float) -> DataFrame:
     """Each text beside its neighbour in its shard's order and beside the shard's first one: few pairs, that join most groups."""
 
@@ -101,7 +122,7 @@ def to_heads(shards: DataFrame, similarity: float) -> DataFrame:
         head = np.maximum.accumulate(np.where(fresh, np.arange(len(key)), 0))
         own = np.flatnonzero(~fresh)
         for other in (head[own], own - 1):
-            ok = sizes_fit(c["n"], own, other, similarity)
+            ok = may_reach(c, own, other, similarity)
             yield h[own[ok]], h[other[ok]]
 
     return by_shard(shards, work)
@@ -122,7 +143,8 @@ def apart(shards: DataFrame, similarity: float, radius: int) -> DataFrame:
         starts = np.flatnonzero(np.concatenate([[True], c["key"][1:] != c["key"][:-1]]))
         mixed = np.minimum.reduceat(c["root"], starts) != np.maximum.reduceat(c["root"], starts)
         stays = np.repeat(mixed, np.diff(np.concatenate([starts, [len(c["key"])]])))
-        key, fp, h, n, root = (c[x][stays] for x in ("key", "fp", "h", "n", "root"))
+        kept = {name: x[stays] for name, x in c.items()}
+        key, fp, h, root = (kept[x] for x in ("key", "fp", "h", "root"))
         if not len(key):
             return
         starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (fp[1:] != fp[:-1])]))
@@ -137,7 +159,9 @@ def apart(shards: DataFrame, similarity: float, radius: int) -> DataFrame:
         for x, y in hits():
             for at in range(0, len(x), 10_000):
                 a, b = product(starts, sizes, x[at : at + 10_000], y[at : at + 10_000])
-                ok = (root[a] != root[b]) & sizes_fit(n, a, b, similarity)
+                two = root[a] != root[b]
+                a, b = a[two], b[two]
+                ok = may_reach(kept, a, b, similarity)
                 if ok.any():
                     yield h[a[ok]], h[b[ok]]
 
@@ -172,15 +196,15 @@ def groups(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, similarity: floa
     """
     found = written(sketches(docs, shingle_words), "sketches")
     place = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id"), "h")
-    distinct = found.groupBy("h").agg(F.min(place).alias("place"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    distinct = found.groupBy("h").agg(F.min(place).alias("place"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("counts").alias("counts"))
     distinct = written(distinct, "distinct-texts")
-    keyed = distinct.select("h", "fp", "n", F.explode("bands").alias("key"))
+    keyed = distinct.select("h", "fp", "n", F.explode("bands").alias("key"), *[F.col("counts")[i].alias(x) for i, x in enumerate(COUNTS)])
     shared = keyed.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1").select("key")
-    shards = written(keyed.join(shared, "key", "left_semi").select("key", "h", "fp", "n"), "shards")
+    shards = written(keyed.join(shared, "key", "left_semi").select("key", "h", "fp", "n", *COUNTS), "shards")
     tried = written(to_heads(shards, similarity), "first-pairs")
     near = verified(tried, docs, shingle_words, similarity)
     roots = written(connected_components(near), "roots").select(F.col("node").alias("h"), "root")
-    rooted = shards.join(roots, "h", "left").select("key", "h", "fp", "n", F.coalesce("root", "h").alias("root"))
+    rooted = shards.join(roots, "h", "left").select("key", "h", "fp", "n", *COUNTS, F.coalesce("root", "h").alias("root"))
     more = written(apart(rooted, similarity, radius).join(tried, ["a", "b"], "left_anti"), "more-pairs")
     near = near.union(verified(more, docs, shingle_words, similarity))
     roots = connected_components(near).select(F.col("node").alias("h"), "root")
