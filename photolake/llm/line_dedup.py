@@ -3,8 +3,9 @@ they have in common go from the later one, short ones where very many documents
 
 Later means after in the order of (doc_id, text hash). A document is aligned with the first document that holds one
 of its lines, and, for rare lines, with the last one before it that does; with ``runs`` also with the first one that
-holds one of its shortest runs of lines of enough words. Every line of a common block lies in such a run, so no block
-that any earlier document holds is missed. The pairs are at most a few for each line of a document, however many
+holds one of its shortest runs of lines of enough words. Every line of a common block lies in such a run, and the run's
+first holder is earlier, so no block that any earlier document holds is missed: tests hold this against all earlier
+documents. The pairs are at most a few for each line of a document, however many
 documents hold it, and a frequent line costs one pair a document.
 """
 
@@ -238,6 +239,10 @@ def dedup_lines(docs: DataFrame, rare_documents: int = RARE_DOCUMENTS, block_wor
 
 
 def without_shared_lines(docs: DataFrame) -> DataFrame:
-    """The same rows and columns; ``text`` has the kept lines, and ``n_chars``, if there, their number of characters."""
+    """The same rows and columns; ``text`` has the kept lines, and ``n_chars``, if there, their number of characters.
+
+    Null or empty text: unchanged. Repeated rows are one document; a null id comes before all others. Columns whose
+    names clash with inner ones are kept as they are. Empty table: no rows.
+    """
     new = {"text": F.col("_kept"), "n_chars": F.length("_kept").cast("long")}
     return cut_texts(docs, runs=True).select(*row_columns(docs, **new))

@@ -134,7 +134,11 @@ def apply_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *also: Column)
 
 
 def kept_documents(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The rows of ``docs``, all their columns, that the rules keep."""
+    """The rows of ``docs``, all their columns, that the rules keep.
+
+    Null or empty text: too few words, so it goes. Very long texts: judged whole. Null ids and repeated rows: each
+    is judged by itself. Columns whose names clash with inner ones are kept as they are. Empty table: no rows.
+    """
     return apply_rules(docs, rules, whole_row(docs)).where("kept").select(*row_columns(docs))
 
 

@@ -101,7 +101,8 @@ def matches(text: Column, pattern: str, kind: int) -> Column:
 def scan(docs: DataFrame, table: list[float] | None = None, threshold: float = THRESHOLD, *also: Column) -> DataFrame:
     """``doc_id, text, base, added``: the secrets of each whole text as arrays of ``at, to, kind, found``.
 
-    ``base`` holds what the patterns find, ``added`` what only the models find, which never touches a base span. The
+    ``base`` holds what the patterns find, ``added`` what only the models find, which never touches a base span; they
+    judge strings of 20 characters or more (``CANDIDATE``). The
     models are trained first unless their ``table`` is given. Null or empty text: no spans. Null ids and repeated
     rows: rows of their own. Empty table: no rows. No shuffle but for the models' counts.
     """
@@ -136,6 +137,10 @@ def redacted() -> Column:
 
 
 def without_secrets(docs: DataFrame, table: list[float] | None = None) -> DataFrame:
-    """The rows of ``docs``, all their columns, with secrets in ``text`` replaced by a mark."""
+    """The rows of ``docs``, all their columns, with secrets in ``text`` replaced by a mark.
+
+    Null text: stays null. Empty and very long texts: as any other. Null ids and repeated rows: rows of their own.
+    Columns whose names clash with inner ones are kept as they are. Empty table: no rows.
+    """
     scanned = scan(docs, table, THRESHOLD, whole_row(docs))
     return scanned.select(*row_columns(docs, text=F.when(F.col("_doc.text").isNotNull(), redacted())))

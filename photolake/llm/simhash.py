@@ -203,7 +203,11 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> Data
 
 
 def one_of_each_group(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
-    """The rows of ``docs``, all their columns, that come first in their group; of repeated rows one."""
+    """The rows of ``docs``, all their columns, that come first in their group; of repeated rows one.
+
+    Null, empty and blank texts are one group. A null id comes after all others. Columns whose names clash with
+    inner ones are kept as they are. Empty table: no rows.
+    """
     firsts = near_duplicates(docs, shingle_words).where("first").select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("_id"), F.col("h").alias("_h")).distinct()
     keyed = docs.select(whole_row(docs), F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_h"))
     return keyed.join(firsts, ["_id", "_h"], "left_semi").dropDuplicates(["_id", "_h"]).select(*row_columns(docs))

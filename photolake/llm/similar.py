@@ -214,7 +214,11 @@ def groups(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, similarity: floa
 
 
 def one_of_each_group(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
-    """The rows of ``docs``, all their columns, that come first in their group; of repeated rows one."""
+    """The rows of ``docs``, all their columns, that come first in their group; of repeated rows one.
+
+    Null, empty and blank texts are one group. Very long texts: whole. Ties: the smaller text hash. A null id comes
+    after all others. Columns whose names clash with inner ones are kept as they are. Empty table: no rows.
+    """
     number = F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("_id")
     firsts = groups(docs, shingle_words, similarity, radius).where("first").select(number, F.col("h").alias("_h")).distinct()
     keyed = docs.select(whole_row(docs), number, F.xxhash64(F.coalesce("text", F.lit(""))).alias("_h"))
