@@ -31,6 +31,8 @@ RADIUS = 20
 ROWS_AT_ONCE = 200_000
 SHINGLES_AT_ONCE = 20_000
 PAIRS_AT_ONCE = 200_000
+#: Rows of shards whose sets a task holds at once, but for one larger shard.
+SETS_AT_ONCE = 20_000
 
 _factors = np.random.default_rng(SEED).integers(0, 1 << 63, (BANDS * BAND_HASHES, 1), "uint64") * np.uint64(2) + np.uint64(1)
 
@@ -136,21 +138,23 @@ def product(starts: np.ndarray, sizes: np.ndarray, a: np.ndarray, b: np.ndarray)
     return np.repeat(starts[a], n) + at // wide, np.repeat(starts[b], n) + at % wide
 
 
-def apart(shards: DataFrame, similarity: float, radius: int) -> DataFrame:
-    """All pairs of a shard within the radius whose groups (column ``root``) are still two."""
+def joining(rows: DataFrame, similarity: float, radius: int) -> DataFrame:
+    """Links ``a, b`` between groups (column ``root``) of a shard that are near somewhere within the radius.
 
-    def work(c: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        starts = np.flatnonzero(np.concatenate([[True], c["key"][1:] != c["key"][:-1]]))
-        mixed = np.minimum.reduceat(c["root"], starts) != np.maximum.reduceat(c["root"], starts)
-        stays = np.repeat(mixed, np.diff(np.concatenate([starts, [len(c["key"])]])))
-        kept = {name: x[stays] for name, x in c.items()}
-        key, fp, h, root = (kept[x] for x in ("key", "fp", "h", "root"))
-        if not len(key):
-            return
+    Candidates are verified on the whole sets (column ``shingles``) in the shard's task, and only while their groups
+    are still two: so a shard gives fewer links than it has groups, however many of its pairs are near.
+    """
+    longs = ["key", "fp", "h", "n", "root", *COUNTS]
+
+    def found(c: dict[str, np.ndarray], sets: list[np.ndarray]) -> pa.RecordBatch:
+        key, fp, h = c["key"], c["fp"], c["h"]
         starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (fp[1:] != fp[:-1])]))
         sizes = np.diff(np.concatenate([starts, [len(key)]]))
         own = np.arange(len(starts))
+        group = np.unique(c["root"], return_inverse=True)[1]
+        label = np.arange(group.max() + 1)
         forest = BKForest(key[starts], fp[starts].view("uint64"))
+        links: list[tuple[int, int]] = []
 
         def hits() -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield own, own
@@ -159,29 +163,50 @@ def apart(shards: DataFrame, similarity: float, radius: int) -> DataFrame:
         for x, y in hits():
             for at in range(0, len(x), 10_000):
                 a, b = product(starts, sizes, x[at : at + 10_000], y[at : at + 10_000])
-                two = root[a] != root[b]
+                two = label[group[a]] != label[group[b]]
                 a, b = a[two], b[two]
-                ok = may_reach(kept, a, b, similarity)
-                if ok.any():
-                    yield h[a[ok]], h[b[ok]]
+                ok = may_reach(c, a, b, similarity)
+                for i, j in zip(a[ok].tolist(), b[ok].tolist(), strict=True):
+                    one, other = label[group[i]], label[group[j]]
+                    if one != other and similar(sets[i], sets[j], similarity):
+                        label[label == max(one, other)] = min(one, other)
+                        links.append((min(h[i], h[j]), max(h[i], h[j])))
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["a", "b"])
 
-    return by_shard(shards, work)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, sets = [np.zeros(0, "int64") for _ in longs], []
+        for batch in batches:
+            held = [np.concatenate([x, batch.column(c).to_numpy()]) for x, c in zip(held, longs, strict=True)]
+            sets += [x.values.to_numpy() for x in batch.column("shingles")]
+            if len(sets) >= SETS_AT_ONCE and (cut := int(np.searchsorted(held[0], held[0][-1]))):
+                yield found(dict(zip(longs, [x[:cut] for x in held], strict=True)), sets[:cut])
+                held, sets = [x[cut:] for x in held], sets[cut:]
+        if sets:
+            yield found(dict(zip(longs, held, strict=True)), sets)
 
+    dealt = rows.select(*longs, "shingles").repartition("key").sortWithinPartitions("key", "fp", "h")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
-def verified(pairs: DataFrame, docs: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
-    """The pairs ``a, b`` of text hashes whose whole sets of shingles reach the likeness."""
+
+def shingle_sets(texts_of: DataFrame, docs: DataFrame, shingle_words: int) -> DataFrame:
+    """``h, shingles``: the whole sorted sets of the texts whose hashes are given."""
 
     def shingled(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [np.unique(shingle_hashes(x.as_py(), shingle_words)).view("int64") for x in batch.column("text")]
         return pa.RecordBatch.from_arrays([batch.column("h"), pa.array(sets, pa.list_(pa.int64()))], ["h", "shingles"])
 
+    own = texts(docs).select(F.xxhash64("text").alias("h"), "text").join(texts_of.distinct(), "h", "left_semi").dropDuplicates(["h"])
+    return written(map_batches(own, shingled, "h long, shingles array<long>"), "shingles")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
+    """The pairs ``a, b`` of text hashes whose whole sets of shingles reach the likeness."""
+
     def check(batch: pa.RecordBatch) -> pa.RecordBatch:
         ok = [similar(x.values.to_numpy(), y.values.to_numpy(), similarity) for x, y in zip(batch.column("x"), batch.column("y"), strict=True)]
         return batch.select(["a", "b"]).filter(pa.array(ok))
 
-    ends = pairs.select(F.col("a").alias("h")).union(pairs.select(F.col("b").alias("h"))).distinct()
-    own = texts(docs).select(F.xxhash64("text").alias("h"), "text").join(ends, "h", "left_semi").dropDuplicates(["h"])
-    sets = written(map_batches(own, shingled, "h long, shingles array<long>"), "shingles")
+    sets = shingle_sets(pairs.select(F.col("a").alias("h")).union(pairs.select(F.col("b").alias("h"))), docs, shingle_words)
     one = pairs.join(sets.select(F.col("h").alias("a"), F.col("shingles").alias("x")), "a")
     both = one.join(sets.select(F.col("h").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
     return written(map_batches(both, check, "a long, b long"), "near-pairs")
@@ -205,8 +230,10 @@ def groups(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, similarity: floa
     near = verified(tried, docs, shingle_words, similarity)
     roots = written(connected_components(near), "roots").select(F.col("node").alias("h"), "root")
     rooted = shards.join(roots, "h", "left").select("key", "h", "fp", "n", *COUNTS, F.coalesce("root", "h").alias("root"))
-    more = written(apart(rooted, similarity, radius).join(tried, ["a", "b"], "left_anti"), "more-pairs")
-    near = near.union(verified(more, docs, shingle_words, similarity))
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("_least"), F.max("root").alias("_most")).where("_least <> _most").select("key")
+    mixed = written(rooted.join(mixed, "key", "left_semi"), "mixed-shards")
+    sets = shingle_sets(mixed.select("h"), docs, shingle_words)
+    near = near.union(written(joining(mixed.join(sets, "h"), similarity, radius), "joining-links"))
     roots = connected_components(near).select(F.col("node").alias("h"), "root")
     named = distinct.select("h", "place").join(roots, "h", "left").select("h", "place", F.coalesce("root", "h").alias("root"))
     heads = named.groupBy("root").agg(F.min("place").alias("head"))
