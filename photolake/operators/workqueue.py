@@ -16,8 +16,8 @@ def queue_view(queue: DataFrame, photos: DataFrame) -> DataFrame:
     return queue.join(photos.select("photo_id", "rating"), "photo_id").select(*COLUMNS, "rating")
 
 
-def enqueue(queue: DataFrame, photos: DataFrame, ids: DataFrame, order: str) -> DataFrame:
-    """Appends the photos of ``ids`` (``photo_id`` and the numeric column ``order``) that aren't queued yet.
+def queue_additions(queue: DataFrame, photos: DataFrame, ids: DataFrame, order: str) -> DataFrame:
+    """Rows to append for the photos of ``ids`` (``photo_id`` and the numeric column ``order``) that aren't queued yet.
 
     A repeated request counts once, at its first place. Only the new rows are numbered; they follow on the queue's size.
     """
@@ -26,8 +26,12 @@ def enqueue(queue: DataFrame, photos: DataFrame, ids: DataFrame, order: str) ->
     size = queue.agg(F.count("*").alias("_size"))
     numbered = dense_index(known, "_order", "_at", "photo_id").join(F.broadcast(size))  # one row
     at = (F.col("_size") + F.col("_at")).cast("long")
-    new = numbered.select(at.alias("qt_index"), at.alias("sorted_index"), "processed", F.lit(False).alias("exported"), F.lit(False).alias("output"), "photo_id")
-    return queue.select(*COLUMNS).unionByName(new)
+    return numbered.select(at.alias("qt_index"), at.alias("sorted_index"), "processed", F.lit(False).alias("exported"), F.lit(False).alias("output"), "photo_id")
+
+
+def enqueue(queue: DataFrame, photos: DataFrame, ids: DataFrame, order: str) -> DataFrame:
+    """The queue with the photos of ``ids`` that aren't queued yet at its end, as ``queue_additions`` numbers them."""
+    return queue.select(*COLUMNS).unionByName(queue_additions(queue, photos, ids, order))
 
 
 def renumbered(queue: DataFrame) -> DataFrame:

@@ -26,17 +26,24 @@ def catalog_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return schema.read_catalog(spark, at, ("photos",))["photos"].select("photo_id", "capture_time", "filename", "rating", "last_processed_time")
 
 
-@query("stream_import", "SELECT md5(content) AS file_id, count(*) OVER () AS files FROM manifest GROUP BY 1", "manifest")
+@query(
+    "stream_import",
+    """SELECT *, count(*) OVER () AS files, count(*) OVER () - 1 AS last_index FROM (SELECT md5(content) AS file_id, md5(content) || '0001' AS photo_id, 1 AS usage_count, true AS queued,
+  '/card/' AS card FROM manifest GROUP BY content)""",
+    "manifest",
+)
 def stream_import(spark: SparkSession, d: str) -> DataFrame:
-    """Manifest rows in four deliveries, two of them made twice; a batch is a file of a delivery."""
+    """Manifest rows in four deliveries, two of them made twice: files, photos and queue after all of them."""
     at = folder(spark)
-    m = fx.manifest(spark, d).select("seq", "path", "content")
+    m = fx.manifest(spark, d).select("seq", "path", "content", F.col("seq").alias("capture_time"), (F.col("seq") % 6).cast("int").alias("rating"))
     for k in (0, 1, 2, 3, 1, 3):
         m.where(F.col("seq") % 4 == k).write.mode("append").parquet(f"{at}/in")
-    stream = spark.readStream.schema(m.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
-    live.stream_import(stream, f"{at}/files", f"{at}/state").awaitTermination()
-    files = live.latest_files(spark, f"{at}/files")
-    return files.select("file_id").join(files.agg(F.count("*").alias("files")), how="left")
+        stream = spark.readStream.schema(m.schema).parquet(f"{at}/in")
+        live.stream_import(stream, f"{at}/catalog", f"{at}/state").awaitTermination()
+    files, photos, queue = live.latest_files(spark, f"{at}/catalog"), live.imported(spark, f"{at}/catalog", "photos"), live.imported(spark, f"{at}/catalog", "queue")
+    sizes = files.agg(F.count("*").alias("files")).join(queue.agg(F.max("qt_index").alias("last_index")))  # one row
+    rows = files.join(photos.select("file_id", "photo_id"), "file_id", "left").join(queue.select("photo_id", F.lit(True).alias("queued")), "photo_id", "left")
+    return rows.select("file_id", "photo_id", "usage_count", "queued", F.substring("file_path", 1, 6).alias("card")).join(F.broadcast(sizes))
 
 
 @query("stream_date_histogram", "SELECT (DATE '1970-01-01' + ((capture_time + 7200) // 86400)::INTEGER) AS day, count(*) AS thecount FROM photos GROUP BY 1", "photos")
@@ -50,6 +57,31 @@ def stream_date_histogram(spark: SparkSession, d: str) -> DataFrame:
     return spark.table(name)
 
 
+@query(
+    "stream_histogram_changes",
+    """SELECT (DATE '1970-01-01' + ((t + 7200) // 86400)::INTEGER) AS day, count(*) AS thecount FROM (
+  SELECT capture_time + CASE WHEN event_id % 5 = 0 THEN 86400 ELSE 0 END AS t, CASE WHEN event_id % 5 = 0 THEN 3 ELSE rating END AS rating FROM photos WHERE event_id % 7 <> 0) WHERE rating >= 0 GROUP BY 1""",
+    "photos",
+)
+def stream_histogram_changes(spark: SparkSession, d: str) -> DataFrame:
+    """All photos are added, one in five then gets another day and rating, and one in seven is removed."""
+    at, name = folder(spark), f"hist_{uuid.uuid4().hex}"
+    p = fx.photos(spark, d)
+    edited = F.col("event_id") % 5 == 0
+    later, rated = F.col("capture_time") + F.when(edited, 86400).otherwise(0), F.when(edited, 3).otherwise(F.col("rating"))
+    none = F.lit(None)
+    rows = lambda *values: [v.cast(t).alias(n) for v, t, n in zip(values, ("long", "int") * 2, ("old_capture_time", "old_rating", "capture_time", "rating"), strict=True)]
+    added = p.select(*rows(none, none, F.col("capture_time"), F.col("rating")))
+    moved = p.where(edited).select(*rows(F.col("capture_time"), F.col("rating"), later, rated))
+    removed = p.where("event_id % 7 = 0").select(*rows(later, rated, none, none))
+    for changes in (added, moved, removed):
+        changes.write.mode("append").parquet(f"{at}/in")
+    stream = spark.readStream.schema(added.schema).option("maxFilesPerTrigger", 8).parquet(f"{at}/in")
+    days = live.stream_histogram_changes(stream, 2, 0, 5)
+    days.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name).where("thecount <> 0")
+
+
 @query("file_ids_of_batch", "SELECT md5(content) AS file_id, count(*) AS n FROM manifest GROUP BY 1", "manifest")
 def file_ids_of_batch(spark: SparkSession, d: str) -> DataFrame:
     return with_file_id(fx.manifest(spark, d)).groupBy("file_id").agg(F.count("*").alias("n"))

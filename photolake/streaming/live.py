@@ -2,49 +2,101 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import time
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from .. import schema
 from ..functions.catalog import local_day
-from ..sources.files import classify_import, upsert_files, with_file_id
+from ..operators.storage import written
+from ..operators.workqueue import assign_instances, queue_additions
+from ..sources.files import add_photos, classify_import, with_file_id
+
+#: What a batch adds to a file: a path that replaces the one before, and the photos that were added for it.
+FILE_CHANGES = "file_id string, file_path string, added long"
+TABLES = {"files": FILE_CHANGES, "photos": schema.PHOTOS, "queue": schema.QUEUE}
+
+
+def committed(spark: SparkSession, catalog_path: str, below: int | None = None) -> list[str]:
+    """Folders of the batches, below a number, whose last table was written to its end."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(catalog_path)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return []
+    names = sorted(x.getPath().getName() for x in fs.listStatus(path) if x.getPath().getName().startswith("batch="))
+    ended = [n for n in names if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{catalog_path}/{n}/queue/_SUCCESS"))]
+    return [f"{catalog_path}/{n}" for n in ended if below is None or int(n.split("=")[1]) < below]
+
+
+def imported(spark: SparkSession, catalog_path: str, table: str, below: int | None = None) -> DataFrame:
+    """``photos`` or ``queue`` of all committed batches, or the changes of ``files`` with their ``batch``."""
+    folders = committed(spark, catalog_path, below)
+    wanted = f"{TABLES[table]}, batch long"
+    if not folders:
+        found = spark.createDataFrame([], wanted)
+    else:
+        found = spark.read.schema(wanted).option("basePath", catalog_path).parquet(*[f"{x}/{table}" for x in folders])
+    return found if table == "files" else found.drop("batch")
+
+
+def files_of(changes: DataFrame) -> DataFrame:
+    """``file_id, file_path, usage_count``: the last path of each file and all photos that were added for it."""
+    return changes.groupBy("file_id").agg(F.max_by("file_path", "batch").alias("file_path"), F.sum("added").alias("usage_count"))
+
 
+def latest_files(spark: SparkSession, catalog_path: str, below: int | None = None) -> DataFrame:
+    """The files table after the last committed batch, or after the last below a number."""
+    return files_of(imported(spark, catalog_path, "files", below))
 
-def import_batch(batch: DataFrame, files: DataFrame) -> DataFrame:
-    """The files table after a batch of manifest rows (seq, path, content). A known file only takes its new path, so a
-    batch that comes again changes nothing."""
-    seen = classify_import(with_file_id(batch), files)
-    new = seen.where("action <> 'known'").groupBy("file_id").agg(F.min_by("path", "seq").alias("file_path"))
-    return upsert_files(files, new)
 
+def import_batch(batch: DataFrame, files: DataFrame, queue: DataFrame, now: int, started: int, enqueue: bool = True) -> dict[str, DataFrame]:
+    """What a batch of manifest rows (seq, path, content, capture_time, rating) adds to each table.
 
-def stream_import(stream: DataFrame, catalog_path: str, checkpoint: str) -> StreamingQuery:
+    A new file adds its row, its first photo and, if asked, the photo's place in the queue; a file that is known at
+    another path only takes the new one; all else changes nothing, so rows that come again are harmless.
+    """
+    spark = batch.sparkSession
+    seen = written(classify_import(with_file_id(batch), files), "import-batch")
+    new = assign_instances(seen.where("action = 'new'"), files, "seq").withColumn("filename", F.regexp_extract("path", "[^/]*$", 0))
+    photos = written(add_photos(spark.createDataFrame([], schema.PHOTOS), new, now, started), "import-photos")
+    changed = seen.where("action <> 'known'").groupBy("file_id").agg(F.min_by("path", "seq").alias("file_path"), F.sum((F.col("action") == "new").cast("long")).alias("added"))
+    asked = new.select("photo_id", "seq") if enqueue else new.select("photo_id", "seq").limit(0)
+    return {"files": changed, "photos": photos, "queue": queue_additions(queue, photos, asked, "seq")}
+
+
+def stream_import(stream: DataFrame, catalog_path: str, checkpoint: str, started: int = 0, enqueue: bool = True) -> StreamingQuery:
     """Runs imports over a stream of manifest rows into Parquet below ``catalog_path``.
 
-    Each batch writes the next version of the table under its own number, from the version before it; a batch that
-    is run again writes the same version again. Read the latest with ``latest_files``.
+    Each batch writes only what it adds, in a folder of its own number, the queue last. A batch counts once its queue
+    was written to the end; one that is run again replaces its folder, from the batches before it. Read the tables
+    with ``latest_files`` and ``imported``.
     """
 
     def step(batch: DataFrame, number: int) -> None:
-        before = latest_files(batch.sparkSession, catalog_path, number)
-        import_batch(batch, before).write.mode("overwrite").parquet(f"{catalog_path}/version={number:012d}")
+        spark = batch.sparkSession
+        ids = with_file_id(batch.select("content")).distinct()
+        files = files_of(imported(spark, catalog_path, "files", number).join(ids, "file_id", "left_semi"))
+        made = import_batch(batch, files, imported(spark, catalog_path, "queue", number), int(time.time()), started, enqueue)
+        for name in TABLES:
+            made[name].write.mode("overwrite").parquet(f"{catalog_path}/batch={number:012d}/{name}")
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def latest_files(spark, catalog_path: str, below: int | None = None) -> DataFrame:
-    """The last version of the streamed files table, or the last below a batch's number."""
-    schema = "file_id string, file_path string, usage_count long"
-    empty = spark.createDataFrame([], schema)
-    path = spark._jvm.org.apache.hadoop.fs.Path(catalog_path)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return empty
-    numbers = [int(x.getPath().getName().split("=")[1]) for x in fs.listStatus(path) if x.getPath().getName().startswith("version=")]
-    numbers = [n for n in numbers if below is None or n < below]
-    return spark.read.schema(schema).parquet(f"{catalog_path}/version={max(numbers):012d}") if numbers else empty
-
-
 def stream_date_histogram(stream: DataFrame, tz: int = 0) -> DataFrame:
     """Photos by local day over a stream of photos; use output mode ``complete`` or ``update``. State: one row a day."""
     return stream.groupBy(local_day("capture_time", tz).alias("day")).agg(F.count("*").alias("thecount"))
+
+
+def stream_histogram_changes(stream: DataFrame, tz: int = 0, low: int = -6, high: int = 5) -> DataFrame:
+    """Photos by local day over a stream of changes: each has a photo's values before it (old_capture_time, old_rating;
+    null if it was added) and after it (capture_time, rating; null if it was removed).
+
+    Photos count while their rating lies in low..high. A day that has lost all its photos stays with 0, so mode
+    ``update`` tells it. State: one row a day.
+    """
+    side = lambda at, rating, n: F.when(F.col(at).isNotNull() & F.col(rating).between(low, high), F.struct(local_day(at, tz).alias("day"), F.lit(n).cast("long").alias("n")))
+    both = F.array_compact(F.array(side("capture_time", "rating", 1), side("old_capture_time", "old_rating", -1)))
+    return stream.select(F.inline(both)).groupBy("day").agg(F.sum("n").alias("thecount"))

@@ -113,12 +113,29 @@ def test_stored_no_lens_keeps_auto_ca(spark):
 
 
 def test_stream_import_is_idempotent(spark, tmp_path):
-    m = spark.createDataFrame([(i, f"/p{i}", f"text {i % 5}") for i in range(20)], "seq long, path string, content string")
+    m = spark.createDataFrame([(i, f"/p{i}", f"text {i % 5}", 100 + i, 2) for i in range(20)], "seq long, path string, content string, capture_time long, rating int")
     for _ in range(2):
         m.repartition(3).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(m.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    live.stream_import(stream, str(tmp_path / "files"), str(tmp_path / "state")).awaitTermination()
-    assert live.latest_files(spark, str(tmp_path / "files")).count() == 5
+    at = str(tmp_path / "catalog")
+    live.stream_import(stream, at, str(tmp_path / "state"), 7).awaitTermination()
+    assert [r.usage_count for r in live.latest_files(spark, at).collect()] == [1] * 5
+    photos = live.imported(spark, at, "photos").collect()
+    assert len(photos) == 5 and all(p.photo_id == p.file_id + "0001" and p.import_start_time == 7 and p.rating == 2 for p in photos)
+    assert sorted(r.qt_index for r in live.imported(spark, at, "queue").collect()) == list(range(5))
+    before = len(live.committed(spark, at))
+    last = sorted((tmp_path / "catalog").iterdir())[-1]
+    (last / "queue" / "_SUCCESS").unlink()
+    assert len(live.committed(spark, at)) == before - 1
+
+
+def test_import_without_queue_and_at_another_path(spark):
+    columns = "seq long, path string, content string, capture_time long, rating int"
+    files = live.files_of(spark.createDataFrame([("900150983cd24fb0d6963f7d28e17f72", "/old.CR2", 1, 0)], live.FILE_CHANGES + ", batch long"))
+    batch = spark.createDataFrame([(0, "/d/new.CR2", "abc", 5, 0), (1, "/d/x.CR2", "x", 6, 1), (2, "/d/y.CR2", "x", 6, 1)], columns)
+    made = live.import_batch(batch, files, spark.createDataFrame([], schema.QUEUE), 9, 8, enqueue=False)
+    assert sorted((r.file_path, r.added) for r in made["files"].collect()) == [("/d/new.CR2", 0), ("/d/x.CR2", 1)]
+    assert [(r.filename, r.import_time, r.capture_time) for r in made["photos"].collect()] == [("x.CR2", 9, 6)] and made["queue"].count() == 0
 
 
 def test_forget_leaves_true_counts(spark):
