@@ -44,6 +44,18 @@ def normalise(v: Column | str, multipliers: Sequence[float], cfa: Sequence[Seque
     return col(v) * factor * (F.lit(TOP) / (F.lit(top) if isinstance(top, (int, float)) else top))
 
 
+def normalise_colour(rgb: Triple, top: Column | float, multipliers: Sequence[float] = (1.0, 1.0, 1.0)) -> Triple:
+    """Cells that have all three colours: each times its multiplier, scaled as a mosaic. Leave the multipliers out for
+    a table that has them applied already."""
+    scale = F.lit(TOP) / (F.lit(top) if isinstance(top, (int, float)) else top)
+    return tuple(v * scale * m for v, m in zip(rgb, multipliers, strict=True))
+
+
+def normalise_mono(v: Column | str, top: Column | float) -> Triple:
+    """A cell without colour as three equal channels, scaled as a mosaic but never multiplied."""
+    return normalise_colour((col(v),) * 3, top)
+
+
 def clip(v: Column | str) -> Column:
     return F.least(col(v), F.lit(TOP))
 

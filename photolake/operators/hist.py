@@ -52,11 +52,41 @@ def hist_float(cells: DataFrame, rects: DataFrame, top: float) -> DataFrame:
     return binned(inside, lambda v: F.least(F.lit(BINS - 1), F.greatest(F.lit(0), trunc(clamp((BINS - 1) * v / top, 0.0, 1e9)))))
 
 
+def turn_back(rects: DataFrame) -> DataFrame:
+    """Rectangles ``x0, y0, x1, y1`` (last ones included) of photos that are shown after ``turns`` quarter turns, in
+    places before the turn; ``width`` and ``height`` are those of the turned photo."""
+    low = lambda v: F.col("height") - 1 - F.col(v)
+    right = lambda v: F.col("width") - 1 - F.col(v)
+    by_turn = {
+        1: (low("y1"), F.col("x0"), low("y0"), F.col("x1")),
+        2: (right("x1"), low("y1"), right("x0"), low("y0")),
+        3: (F.col("y0"), right("x1"), F.col("y1"), right("x0")),
+    }
+    turn = F.pmod("turns", F.lit(4))
+    pick = lambda i, name: F.coalesce(*[F.when(turn == k, v[i]) for k, v in by_turn.items()], F.col(name)).cast("int").alias(name)
+    return rects.select("photo_id", *[pick(i, name) for i, name in enumerate(("x0", "y0", "x1", "y1"))])
+
+
+def raw_bin(v: Column | str, top: float) -> Column:
+    return F.least(F.lit(BINS - 1), trunc(clamp((BINS - 1) * (F.col(v) if isinstance(v, str) else v) / top, 0.0, 1e9)))
+
+
 def hist_raw(mosaic: DataFrame, cfa: Sequence[Sequence[int]], top: float) -> DataFrame:
     """Histogram of a mosaic by the colour that the pattern has at each cell."""
     channel = F.element_at(F.array(F.lit("r"), F.lit("g"), F.lit("b")), pattern_at(cfa) + 1)
-    place = F.least(F.lit(BINS - 1), trunc(clamp((BINS - 1) * F.col("v") / top, 0.0, 1e9)))
-    return mosaic.select("photo_id", channel.alias("channel"), place.alias("bin")).groupBy("photo_id", "channel", "bin").agg(F.count("*").alias("n"))
+    return mosaic.select("photo_id", channel.alias("channel"), raw_bin("v", top).alias("bin")).groupBy("photo_id", "channel", "bin").agg(F.count("*").alias("n"))
+
+
+def hist_raw_colour(cells: DataFrame, top: float) -> DataFrame:
+    """Histogram of a raw table that has all three colours in each cell."""
+    named = [x for c in "rgb" for x in (F.lit(c), raw_bin(c, top))]
+    return cells.select("photo_id", F.stack(F.lit(3), *named).alias("channel", "bin")).groupBy("photo_id", "channel", "bin").agg(F.count("*").alias("n"))
+
+
+def hist_raw_mono(mosaic: DataFrame, top: float) -> DataFrame:
+    """Histogram of a raw table without colours: each cell counts on all three channels. Counted before it is tripled."""
+    once = mosaic.select("photo_id", raw_bin("v", top).alias("bin")).groupBy("photo_id", "bin").agg(F.count("*").alias("n"))
+    return once.select("photo_id", F.explode(F.array(*map(F.lit, "rgb"))).alias("channel"), "bin", "n")
 
 
 def hist_peaks(hist: DataFrame) -> DataFrame:

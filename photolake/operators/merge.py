@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.pixels import illuminant_rgb, multipliers_of
 from .grid import extents
+from .storage import checkpointed
 
 UNCLIPPED = 60000
 
@@ -32,27 +33,52 @@ def wb_from_sample(sample: DataFrame) -> DataFrame:
     return sample.withColumns({f"{c}_gain": g / F.least(*gains) for c, g in zip("rgb", gains, strict=True)})
 
 
-def exposure_ratio(base: DataFrame, other: DataFrame) -> DataFrame:
-    """``photo_id, ratio``: sums of both frames over the cells that are unclipped in both."""
+def exposure_ratio(base: DataFrame, other: DataFrame, base_comp: float = 0.0) -> DataFrame:
+    """``photo_id, ratio``: sums of both frames over the cells that are unclipped in both. ``base_comp``: the exposure
+    compensation of the base, by which its values were divided out of the sensor's."""
     o = other.select("photo_id", "y", "x", *[F.col(c).alias(f"o{c}") for c in "rgb"])
-    both = base.join(o, ["photo_id", "y", "x"]).where(F.greatest("r", "g", "b", "or", "og", "ob") < UNCLIPPED)
+    both = base.join(o, ["photo_id", "y", "x"]).where((F.greatest("r", "g", "b") / 2.0**-base_comp < UNCLIPPED) & (F.greatest("or", "og", "ob") < UNCLIPPED))
     return both.groupBy("photo_id").agg((F.sum(F.col("r") + F.col("g") + F.col("b")) / F.sum(F.col("or") + F.col("og") + F.col("ob"))).alias("ratio"))
 
 
-def merge_exposures(base: DataFrame, frame: DataFrame, ratio: DataFrame, last_ratio: float = 1.0, weight: float = 1.0) -> DataFrame:
+def brighter(last_ratio: Column) -> Column:
+    """Whether a frame is taken: not more than five parts in a hundred darker than the last one."""
+    return F.col("ratio").isNotNull() & (F.col("ratio") <= last_ratio * 1.05)
+
+
+def merge_exposures(base: DataFrame, frame: DataFrame, ratio: DataFrame, last_ratio: Column | float = 1.0, weight: Column | float = 1.0, base_comp: float = 0.0) -> DataFrame:
     """Weighted mean of the base and the scaled frame; a clipped cell of the frame has no weight.
 
-    A frame that is more than five parts in a hundred darker than the last one is rejected: the photo stays as it is.
+    A frame that is darker than the last one is rejected: the photo stays as it is, as does a cell or photo that the
+    frame doesn't have. ``last_ratio`` and ``weight`` may be columns of ``ratio``.
     """
+    last_ratio, weight = (F.lit(v) if isinstance(v, (int, float)) else v for v in (last_ratio, weight))
     f = frame.select("photo_id", "y", "x", *[F.col(c).alias(f"o{c}") for c in "rgb"])
     r = F.col("ratio")
-    w = F.when(F.greatest("or", "og", "ob") <= UNCLIPPED, F.try_divide(F.lit(1.0), r)).otherwise(0.0)
-    joined = base.join(f, ["photo_id", "y", "x"]).join(ratio, "photo_id", "left")
+    w = F.when(F.greatest("or", "og", "ob") <= UNCLIPPED, F.try_divide(F.lit(2.0**-base_comp), r)).otherwise(0.0)
+    joined = base.join(f, ["photo_id", "y", "x"], "left").join(ratio, "photo_id", "left")
     mixed = lambda c: (F.col(c) * weight + F.col(f"o{c}") * r * w) / (weight + w)
-    use = r.isNotNull() & (r <= last_ratio * 1.05)
+    use = brighter(last_ratio) & F.col("or").isNotNull()
     return joined.select("photo_id", "y", "x", *[F.when(use, mixed(c)).otherwise(F.col(c)).alias(c) for c in "rgb"])
 
 
+def merge_chain(base: DataFrame, frames: Sequence[tuple[DataFrame, float]], base_comp: float = 0.0) -> tuple[DataFrame, DataFrame]:
+    """Frames (cells, exposure compensation) merged one after another into the base, and ``photo_id, weight, last``.
+
+    Each frame that is taken adds its weight to the photo's and sets the factor that the next one may not exceed.
+    Cells and state are stored after each frame, since the next one depends on them.
+    """
+    now = base
+    state = base.select("photo_id").distinct().select("photo_id", F.lit(1.0).alias("weight"), F.lit(1.0).alias("last"))
+    for frame, comp in frames:
+        rated = checkpointed(state.join(exposure_ratio(now, frame, base_comp), "photo_id", "left"))
+        now = checkpointed(merge_exposures(now, frame, rated, F.col("last"), F.col("weight"), base_comp))
+        use = brighter(F.col("last"))
+        weight = F.when(use, F.col("weight") + F.try_divide(F.lit(2.0**-base_comp), F.col("ratio"))).otherwise(F.col("weight"))
+        state = rated.select("photo_id", weight.alias("weight"), F.when(use, 2.0**-comp).otherwise(F.col("last")).alias("last"))
+    return now, state
+
+
 def lut_from(spark: SparkSession, curve: Callable[[Column], Column]) -> DataFrame:
     """``i, v``: a column function sampled at 0..65535."""
     return spark.range(65536).select(F.col("id").cast("int").alias("i"), curve(F.col("id")).alias("v"))

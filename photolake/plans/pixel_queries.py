@@ -54,6 +54,17 @@ def mosaic_normalised(spark: SparkSession, d: str) -> DataFrame:
     return m.select(*AT, F.round("s", 5).alias("black_off"), F.round(px.clip(px.normalise("s", MULTIPLIERS, mosaic.BAYER, 60000)), 5).alias("v"))
 
 
+@query(
+    "raw_normalised",
+    "SELECT photo_id, y, x, " + ", ".join(f"round({c} * {m}::DOUBLE * (65535.0::DOUBLE / 60000), 4) AS {c}" for c, m in zip("rgb", MULTIPLIERS, strict=True)) + ", round(r * (65535.0::DOUBLE / 60000), 4) AS plain, round(g * (65535.0::DOUBLE / 60000), 4) AS grey FROM cells",
+    "cells",
+)
+def raw_normalised(spark: SparkSession, d: str) -> DataFrame:
+    """Cells with three colours, with and without the camera's multipliers, and a channel taken for one without colour."""
+    whole, plain = px.normalise_colour(_rgb(), 60000, MULTIPLIERS), px.normalise_colour(_rgb(), 60000)
+    return _cells(spark, d).select(*AT, *_rounded("r g b plain grey", (*whole, plain[0], px.normalise_mono("g", 60000)[2]), 4))
+
+
 def _xyz_sql(t: str) -> str:
     k = f"(1000.0::DOUBLE / {t})"
     return f"""CASE WHEN {t} < 4000 THEN -0.2661239 * {k} ** 3 - 0.2343589 * {k} ** 2 + 0.8776956 * {k} + 0.17991 ELSE -3.0258469 * {k} ** 3 + 2.1070379 * {k} ** 2 + 0.2226347 * {k} + 0.24039 END"""
@@ -278,6 +289,16 @@ def hist_raw_six(spark: SparkSession, d: str) -> DataFrame:
     return hist.hist_raw(fx.mosaic(spark, d), XTRANS, 65535.0)
 
 
+@query("hist_raw_colour", F_SQL + "SELECT photo_id, channel, least(127, trunc(127 * v / 60000.0::DOUBLE))::INTEGER AS bin, count(*) AS n FROM flat WHERE channel <> 'l' GROUP BY ALL")
+def hist_raw_colour(spark: SparkSession, d: str) -> DataFrame:
+    return hist.hist_raw_colour(_cells(spark, d), 60000.0)
+
+
+@query("hist_raw_mono", "SELECT photo_id, channel, least(127, trunc(127 * v / 60000.0::DOUBLE))::INTEGER AS bin, count(*) AS n FROM mosaic, (VALUES ('r'), ('g'), ('b')) t(channel) GROUP BY ALL", "mosaic")
+def hist_raw_mono(spark: SparkSession, d: str) -> DataFrame:
+    return hist.hist_raw_mono(fx.mosaic(spark, d), 60000.0)
+
+
 @query("hist_peaks", f"{F_SQL}, {FINAL} SELECT photo_id, channel, round(peak, 6) AS peak FROM ({PEAK})")
 def hist_peaks(spark: SparkSession, d: str) -> DataFrame:
     return hist.hist_peaks(hist.hist_final(_cells(spark, d))).withColumn("peak", F.round("peak", 6))
@@ -338,6 +359,26 @@ def merge_exposures(spark: SparkSession, d: str) -> DataFrame:
     return merge.merge_exposures(c, b, merge.exposure_ratio(c, b)).select(*AT, *_rounded("r g b", _rgb()))
 
 
+def _chain_sql() -> str:
+    """Three frames: the base, twice as bright, and four times; each brighter one at its own compensation."""
+    step = lambda at, frame, ratio, w: f"(CASE WHEN top > 60000 THEN {at} ELSE ({at} * {w} + {frame} * {ratio} / {ratio}) / ({w} + 1 / {ratio}) END)"
+    frame = lambda k: f"SELECT photo_id, y, x, " + ", ".join(f"least(65535.0, {k} * {c}) AS {c}2" for c in "rgb") + " FROM cells"  # noqa: E731, F541
+    rate = lambda base, bright: f"SELECT photo_id, sum(r + g + b) / sum(r2 + g2 + b2) AS ratio FROM {base} JOIN {bright} USING (photo_id, y, x) WHERE greatest(r, g, b, r2, g2, b2) < 60000 GROUP BY 1"
+    merged = lambda base, bright, state: f"SELECT photo_id, y, x, " + ", ".join(f"CASE WHEN ratio IS NULL OR ratio > last * 1.05 THEN {c} ELSE {step(c, c + '2', 'ratio', 'weight')} END AS {c}" for c in "rgb") + f" FROM (SELECT *, greatest(r2, g2, b2) AS top FROM {base} JOIN {bright} USING (photo_id, y, x) JOIN {state} USING (photo_id))"  # noqa: E731, F541
+    return f"""{fx.sql('', 'cells')}, f2 AS ({frame(2)}), f4 AS ({frame(4)}), q2 AS ({rate('cells', 'f2')}),
+  s2 AS (SELECT photo_id, ratio, 1.0::DOUBLE AS weight, 1.0::DOUBLE AS last FROM (SELECT DISTINCT photo_id FROM cells) LEFT JOIN q2 USING (photo_id)), m2 AS ({merged('cells', 'f2', 's2')}), q4 AS ({rate('m2', 'f4')}),
+  s4 AS (SELECT a.photo_id, q4.ratio, CASE WHEN a.ratio <= 1.05 THEN 1 + 1 / a.ratio ELSE 1.0 END AS weight, CASE WHEN a.ratio <= 1.05 THEN 0.5::DOUBLE ELSE 1.0 END AS last FROM s2 a LEFT JOIN q4 USING (photo_id)), m4 AS ({merged('m2', 'f4', 's4')})
+  SELECT photo_id, y, x, round(r, 4) AS r, round(g, 4) AS g, round(b, 4) AS b, round(CASE WHEN ratio <= last * 1.05 THEN weight + 1 / ratio ELSE weight END, 6) AS weight FROM m4 JOIN s4 USING (photo_id)"""
+
+
+@query("merge_chain", _chain_sql())
+def merge_chain(spark: SparkSession, d: str) -> DataFrame:
+    c = _cells(spark, d)
+    times = lambda k: c.withColumns({n: F.least(F.lit(65535.0), k * F.col(n)) for n in "rgb"})
+    merged, state = merge.merge_chain(c, [(times(2), 1.0), (times(4), 2.0)])
+    return merged.join(state, "photo_id").select(*AT, *_rounded("r g b", _rgb(), 4), F.round("weight", 6).alias("weight"))
+
+
 # grids
 
 
@@ -366,6 +407,26 @@ def cropped(spark: SparkSession, d: str) -> DataFrame:
     return grid.crop(c, grid.crop_rect(asked)).select("photo_id", "y", "x", "g")
 
 
+TURNED = RECT.replace("SELECT photo_id, max(x)::DOUBLE + 1 AS w, max(y)::DOUBLE + 1 AS h FROM cells GROUP BY 1", "SELECT photo_id, w::DOUBLE AS w, h::DOUBLE AS h FROM turned")
+
+
+@query(
+    "hist_float_turned",
+    f"""{F_SQL}, turned AS (SELECT photo_id, photo_id % 4 AS k, CASE WHEN photo_id % 2 = 1 THEN max(y) ELSE max(x) END + 1 AS w, CASE WHEN photo_id % 2 = 1 THEN max(x) ELSE max(y) END + 1 AS h FROM cells GROUP BY 1), {TURNED},
+  back AS (SELECT photo_id, CASE k WHEN 1 THEN h - y0 - ch WHEN 2 THEN w - x0 - cw WHEN 3 THEN y0 ELSE x0 END AS ax, CASE k WHEN 1 THEN x0 WHEN 2 THEN h - y0 - ch WHEN 3 THEN w - x0 - cw ELSE y0 END AS ay,
+    CASE WHEN k % 2 = 1 THEN ch ELSE cw END AS across, CASE WHEN k % 2 = 1 THEN cw ELSE ch END AS down FROM rects JOIN turned USING (photo_id))
+  SELECT photo_id, channel, least(127, trunc(127 * v / 65535.0))::INTEGER AS bin, count(*) AS n FROM flat JOIN back USING (photo_id) WHERE x >= ax AND x < ax + across - 1 AND y >= ay AND y < ay + down - 1 GROUP BY ALL""",
+)
+def hist_float_turned(spark: SparkSession, d: str) -> DataFrame:
+    """The crop is asked for on the turned photo, and counted on the cells before the turn."""
+    c = _cells(spark, d)
+    odd = F.col("photo_id") % 2 == 1
+    sizes = grid.extents(c).select("photo_id", F.when(odd, F.col("height")).otherwise(F.col("width")).alias("width"), F.when(odd, F.col("width")).otherwise(F.col("height")).alias("height"))
+    asked = sizes.withColumns({"crop_height": F.lit(0.5), "crop_aspect": F.lit(0.4), "crop_x": F.lit(0.1), "crop_y": F.lit(-0.05)})
+    rects = grid.crop_rect(asked).join(sizes, "photo_id").withColumn("turns", F.col("photo_id") % 4)
+    return hist.hist_float(c, hist.turn_back(rects), 65535.0)
+
+
 def _smooth_sql() -> str:
     """Seven box means of radius 1 over a mirrored halo, along rows and then along columns."""
     body = "SELECT photo_id, y, x, r AS v FROM cells"

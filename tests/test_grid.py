@@ -179,6 +179,24 @@ def test_merge_weights_are_whole(spark):
     assert np.allclose(array_of(merge.merge_exposures(base, frame, dark)), 1000)
 
 
+def test_chain_rejects_a_darker_frame_and_keeps_photos_without_one(spark):
+    base = make(spark, np.full((1, 2, 3), 1000.0), np.full((1, 2, 3), 500.0))
+    bright, dark = make(spark, np.full((1, 2, 3), 4000.0)), make(spark, np.full((1, 2, 3), 3000.0))
+    got, state = merge.merge_chain(base, [(bright, 2.0), (dark, 1.5)])
+    assert np.allclose(array_of(got), 1000) and np.allclose(array_of(got, 1), 500)
+    assert {r.photo_id: (r.weight, r.last) for r in state.collect()} == {0: (5.0, 0.25), 1: (1.0, 1.0)}
+
+
+@pytest.mark.parametrize("turns", range(4))
+def test_rectangles_turn_back(spark, turns):
+    a = image(6, 9, 4)
+    shown = np.rot90(a, turns)  # counter-clockwise, as grid.rotate turns
+    h, w = shown.shape[:2]
+    rects = spark.createDataFrame([(0, 1, 2, 4, 3, w, h, turns)], "photo_id long, x0 int, y0 int, x1 int, y1 int, width int, height int, turns int")
+    r = hist.turn_back(rects).first()
+    assert np.allclose(np.sort(a[r.y0 : r.y1 + 1, r.x0 : r.x1 + 1, 0].ravel()), np.sort(shown[2:4, 1:5, 0].ravel()))
+
+
 def test_colour_round_trips(spark):
     cells = make(spark, np.round(image(5, 5, 9)))
     whole = cells.withColumns({c: F.col(c).cast("int") for c in "rgb"})
