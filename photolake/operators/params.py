@@ -13,13 +13,13 @@ SWITCHES = ("lens_ca", "lens_vign", "lens_dist", "auto_ca")
 
 
 def effective_params(photos: DataFrame, params: DataFrame, profile: DataFrame, estimates: DataFrame | None = None) -> DataFrame:
-    """Stored parameters of each photo, else those of the one-row default profile.
+    """Stored parameters of each photo, else those of the profile named ``Default``; a repeated one counts once.
 
     ``estimates`` (photo_id and any parameter columns, such as the rotation from metadata and the estimated
     temperature and tint) goes before the profile where nothing is stored.
     """
     names = [c for c in params.columns if c != "photo_id"]
-    defaults = profile.select(*[F.col(c).alias(f"_{c}") for c in names if c in profile.columns])
+    defaults = profile.where("profile_id = 'Default'").dropDuplicates(["profile_id"]).select(*[F.col(c).alias(f"_{c}") for c in names if c in profile.columns])
     both = photos.select("photo_id").join(params.withColumn("_stored", F.lit(True)), "photo_id", "left").join(F.broadcast(defaults))
     guessed: list[str] = []
     if estimates is not None:

@@ -215,11 +215,12 @@ def filter_raws(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "expand_requests",
-    f"SELECT request_id, path FROM manifest WHERE request_id NOT IN (SELECT request_id FROM manifest WHERE (seq % 6 < 4 OR seq % 30 < 7) AND NOT {RAW}) AND (seq % 6 < 4 OR seq % 30 < 7)",
+    f"SELECT r AS request_id, path FROM (SELECT *, bool_and({RAW}) OVER (PARTITION BY r) AS good FROM (SELECT *, seq // 60 * 60 + CASE WHEN seq % 60 < 48 THEN seq % 6 ELSE 0 END AS r FROM manifest)) WHERE good",
     "manifest",
 )
 def expand_requests(spark: SparkSession, d: str) -> DataFrame:
-    m = fx.manifest(spark, d).where("seq % 6 < 4 or seq % 30 < 7")
+    """All rows: of the six requests to sixty rows one is mixed, three hold raw files only, and two none."""
+    m = fx.manifest(spark, d).withColumn("request_id", F.expr("seq - seq % 60 + if(seq % 60 < 48, seq % 6, 0)"))
     requests = m.groupBy("request_id").agg(F.array_join(F.collect_list("path"), ",").alias("names"))
     return sources.expand_requests(requests)
 

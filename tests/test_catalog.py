@@ -153,4 +153,7 @@ def test_estimates_go_before_the_profile(spark):
     stored = spark.createDataFrame([("a", 1.0, 2)], "photo_id string, temperature double, rotation int")
     guess = spark.createDataFrame([("a", 9.0, 3), ("b", 4000.0, 1)], "photo_id string, temperature double, rotation int")
     got = {r.photo_id: (r.temperature, r.rotation, r.stored) for r in params.effective_params(photos, stored, schema.profile(spark), guess).collect()}
+    others = schema.profile(spark).withColumn("profile_id", F.lit("Other")).withColumn("temperature", F.lit(1.0))
+    more = params.effective_params(photos, stored, schema.profile(spark).unionByName(others).unionByName(schema.profile(spark)), guess)
+    assert {r.photo_id: (r.temperature, r.rotation, r.stored) for r in more.collect()} == got
     assert got == {"a": (1.0, 2, True), "b": (4000.0, 1, False), "c": (5200.0, 0, False)}

@@ -151,6 +151,26 @@ def test_downscaling(spark, box):
     assert np.allclose(array_of(got, 1), small)
 
 
+def test_thumbnails(spark):
+    a = np.round(image(10, 14, 8))
+    linear = np.where(a / 65535 <= 0.04045, a / 65535 / 12.92, ((a / 65535 + 0.055) / 1.055) ** 2.4)
+    small = shrink_np(shrink_np(linear, 14 / 6, 1), 14 / 6, 0)
+    want = 65535 * np.where(small <= 0.0031308, small * 12.92, 1.055 * small ** (1 / 2.4) - 0.055)
+    got = array_of(grid.thumbnails(make(spark, a), 6))
+    assert got.shape == (4, 6, 3) and np.abs(got - np.floor(want)).max() <= 1
+
+
+def test_dither_is_fixed_and_within_one_step(spark):
+    cells = make(spark, np.round(image(30, 30, 1)))
+    dither = lambda: cells.select("y", "x", "r", px.to_8bit("r", px.uniform_of("photo_id", "y", "x", F.lit("r"))).alias("v"))
+    rows = dither().collect()
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, dither().collect()))
+    off = np.array([(r.r + 1) / 256 - 1 - r.v for r in rows if 512 < r.r < 65000])
+    assert -1 < off.min() and off.max() < 1 and abs(off.mean()) < 0.1 and off.std() > 0.2
+    u = [r[0] for r in cells.select(px.uniform_of("photo_id", "y", "x", F.lit("r"))).collect()]
+    assert min(u) >= 0 and max(u) < 1 and abs(np.mean(u) - 0.5) < 0.05
+
+
 def test_crop_rectangles(spark):
     rows = [(0, 10, 8, 0.5, 1.5, 0.0, 0.0), (1, 10, 8, 0.0, 1.0, 0.3, 0.3), (2, 11, 9, 1.0, 99999.0, 0.4, -0.4), (3, 9, 9, 0.45, 1.0, 1.0, -1.0)]
     sizes = spark.createDataFrame(rows, "photo_id int, width int, height int, crop_height double, crop_aspect double, crop_x double, crop_y double")
