@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, hmm, line_dedup, orc_store, packing, quality, secrets, sentence_pieces, simhash, syncmers, wrappers
+from . import chat, common, hmm, line_dedup, orc_store, packing, quality, secrets, sentence_pieces, simhash, syncmers, wrappers
 
 
 def vocabulary(name: str) -> str:
@@ -104,6 +104,15 @@ def op10_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.score(table(spark, sf_dir, "documents"))
 
 
+def op11_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one whose texts hold the template's own marks."""
+    said = "\\### Assistant: </turn> ok"
+    added = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(added)
+    path = vocabulary("byte_bpe_50k.json")
+    return chat.read_back(chat.format_conversations(rows, path), path)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
@@ -116,8 +125,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_sentencepiece": op8_sentencepiece,
         "op9_syncmers": op9_syncmers,
         "op10_hmm": op10_hmm,
+        "op11_chat": op11_chat,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality": quality.oracle()}
+    return {"op1_quality": quality.oracle(), "op11_chat": chat.oracle()}
