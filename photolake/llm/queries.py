@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, common, hmm, line_dedup, orc_store, packing, quality, secrets, sentence_pieces, simhash, syncmers, wrappers
+from . import chat, common, hmm, line_dedup, orc_store, packing, prefix_trie, quality, secrets, sentence_pieces, simhash, syncmers, wrappers
 
 
 def vocabulary(name: str) -> str:
@@ -113,6 +113,10 @@ def op11_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(rows, path), path)
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
@@ -126,8 +130,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_syncmers": op9_syncmers,
         "op10_hmm": op10_hmm,
         "op11_chat": op11_chat,
+        "op13_prefix_trie": op13_prefix_trie,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality": quality.oracle(), "op11_chat": chat.oracle()}
+    return {"op1_quality": quality.oracle(), "op11_chat": chat.oracle(), "op13_prefix_trie": prefix_trie.oracle()}

@@ -50,7 +50,7 @@ def test_escapes_are_undone():
         assert template.turns(ids, mask)[0] == turns
         assert template.turns(ids, mask)[1] == [t for r, t in turns if r == "assistant" and t]
         assert chat.read_text("".join(forms)) == turns
-        assert (ids >= template.first).sum() == sum(3 if r in chat.HEADS else 5 for r, _ in turns)
+        assert (ids >= template.first).sum() == sum(2 if r in chat.HEADS else 3 for r, _ in turns)
 
 
 def test_odd_rows(spark):
