@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, common, hmm, line_dedup, orc_store, packing, prefix_trie, quality, secrets, sentence_pieces, simhash, syncmers, wrappers
+from . import chat, common, hmm, line_dedup, orc_store, packing, prefix_trie, quality, secrets, sentence_pieces, simhash, syncmers, whitening, wrappers
 
 
 def vocabulary(name: str) -> str:
@@ -113,6 +113,10 @@ def op11_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(rows, path), path)
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
 
@@ -130,6 +134,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_syncmers": op9_syncmers,
         "op10_hmm": op10_hmm,
         "op11_chat": op11_chat,
+        "op12_whitening": op12_whitening,
         "op13_prefix_trie": op13_prefix_trie,
     }
 
