@@ -16,15 +16,19 @@ def queue_view(queue: DataFrame, photos: DataFrame) -> DataFrame:
     return queue.join(photos.select("photo_id", "rating"), "photo_id").select(*COLUMNS, "rating")
 
 
-def queue_additions(queue: DataFrame, photos: DataFrame, ids: DataFrame, order: str) -> DataFrame:
+def queue_additions(queue: DataFrame, photos: DataFrame, ids: DataFrame, order: str, size: int | None = None) -> DataFrame:
     """Rows to append for the photos of ``ids`` (``photo_id`` and the numeric column ``order``) that aren't queued yet.
 
-    A repeated request counts once, at its first place. Only the new rows are numbered; they follow on the queue's size.
+    A repeated request counts once, at its first place. Only the new rows are numbered; they follow on the queue's
+    size, which is counted unless it is given (``queue`` may then hold the rows of these photos alone).
     """
     wanted = ids.groupBy("photo_id").agg(F.min(order).alias("_order")).join(queue, "photo_id", "left_anti")
     known = wanted.join(photos.select("photo_id", is_edited("import_time", "last_processed_time").alias("processed")), "photo_id")
-    size = queue.agg(F.count("*").alias("_size"))
-    numbered = dense_index(known, "_order", "_at", "photo_id").join(F.broadcast(size))  # one row
+    numbered = dense_index(known, "_order", "_at", "photo_id")
+    if size is None:
+        numbered = numbered.join(F.broadcast(queue.agg(F.count("*").alias("_size"))))  # one row
+    else:
+        numbered = numbered.withColumn("_size", F.lit(size))
     at = (F.col("_size") + F.col("_at")).cast("long")
     return numbered.select(at.alias("qt_index"), at.alias("sorted_index"), "processed", F.lit(False).alias("exported"), F.lit(False).alias("output"), "photo_id")
 

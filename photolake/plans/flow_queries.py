@@ -82,6 +82,30 @@ def stream_histogram_changes(spark: SparkSession, d: str) -> DataFrame:
     return spark.table(name).where("thecount <> 0")
 
 
+@query(
+    "stream_live_histogram",
+    """SELECT (DATE '1970-01-01' + ((t + 7200) // 86400)::INTEGER) AS day, count(*) AS thecount FROM (
+  SELECT capture_time + CASE WHEN event_id % 5 = 0 THEN 86400 ELSE 0 END AS t, CASE WHEN event_id % 5 = 0 THEN 3 ELSE rating END AS rating FROM photos WHERE event_id % 7 <> 0) WHERE rating >= 0 GROUP BY 1""",
+    "photos",
+)
+def stream_live_histogram(spark: SparkSession, d: str) -> DataFrame:
+    """The same edits and removals as bare new rows of the photos, in two runs of the stream with a restart between:
+    first all photos and some edits, then the other edits, the removals, and late copies of the first rows."""
+    at = folder(spark)
+    p = fx.photos(spark, d)
+    edited, removed = F.col("event_id") % 5 == 0, F.col("event_id") % 7 == 0
+    image = lambda rows, version, gone: rows.select("photo_id", F.lit(version).cast("long").alias("version"), "capture_time", "rating", F.lit(gone).alias("removed"))
+    moved = p.withColumns({"capture_time": F.col("capture_time") + 86400, "rating": F.lit(3)})
+    first = [image(p, 1, False), image(moved.where(edited & (F.col("event_id") % 2 == 0)), 2, False)]
+    second = [image(moved.where(edited), 2, False), image(p.where(removed), 3, True), image(p.where(edited | removed), 1, False)]
+    for images in (first, second):
+        for rows in images:
+            rows.write.mode("append").parquet(f"{at}/in")
+        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 64).parquet(f"{at}/in")
+        live.stream_live_histogram(stream, f"{at}/days", f"{at}/state", 2, 0, 5).awaitTermination()
+    return live.live_histogram(spark, f"{at}/days")
+
+
 @query("file_ids_of_batch", "SELECT md5(content) AS file_id, count(*) AS n FROM manifest GROUP BY 1", "manifest")
 def file_ids_of_batch(spark: SparkSession, d: str) -> DataFrame:
     return with_file_id(fx.manifest(spark, d)).groupBy("file_id").agg(F.count("*").alias("n"))

@@ -3,42 +3,40 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState
 
 from .. import schema
 from ..functions.catalog import local_day
 from ..operators.storage import written
 from ..operators.workqueue import assign_instances, queue_additions
 from ..sources.files import add_photos, classify_import, with_file_id
+from . import runs
 
 #: What a batch adds to a file: a path that replaces the one before, and the photos that were added for it.
 FILE_CHANGES = "file_id string, file_path string, added long"
-TABLES = {"files": FILE_CHANGES, "photos": schema.PHOTOS, "queue": schema.QUEUE}
 
 
-def committed(spark: SparkSession, catalog_path: str, below: int | None = None) -> list[str]:
-    """Folders of the batches, below a number, whose last table was written to its end."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(catalog_path)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return []
-    names = sorted(x.getPath().getName() for x in fs.listStatus(path) if x.getPath().getName().startswith("batch="))
-    ended = [n for n in names if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{catalog_path}/{n}/queue/_SUCCESS"))]
-    return [f"{catalog_path}/{n}" for n in ended if below is None or int(n.split("=")[1]) < below]
+def last_changes(rows: DataFrame) -> DataFrame:
+    """One row a file: its last path, all photos that were added, and the last batch."""
+    return rows.groupBy("file_id").agg(F.max_by("file_path", "batch").alias("file_path"), F.sum("added").alias("added"), F.max("batch").alias("batch"))
 
 
-def imported(spark: SparkSession, catalog_path: str, table: str, below: int | None = None) -> DataFrame:
+TABLES = {
+    "files": runs.Table("files", "file_id", FILE_CHANGES + ", batch long", last_changes),
+    "photos": runs.Table("photos", "photo_id", schema.PHOTOS),
+    "queue": runs.Table("queue", "photo_id", schema.QUEUE),
+}
+
+
+def imported(spark: SparkSession, catalog_path: str, table: str) -> DataFrame:
     """``photos`` or ``queue`` of all committed batches, or the changes of ``files`` with their ``batch``."""
-    folders = committed(spark, catalog_path, below)
-    wanted = f"{TABLES[table]}, batch long"
-    if not folders:
-        found = spark.createDataFrame([], wanted)
-    else:
-        found = spark.read.schema(wanted).option("basePath", catalog_path).parquet(*[f"{x}/{table}" for x in folders])
-    return found if table == "files" else found.drop("batch")
+    return runs.read_files(spark, TABLES[table], runs.last_commit(spark, catalog_path).files)
 
 
 def files_of(changes: DataFrame) -> DataFrame:
@@ -46,43 +44,53 @@ def files_of(changes: DataFrame) -> DataFrame:
     return changes.groupBy("file_id").agg(F.max_by("file_path", "batch").alias("file_path"), F.sum("added").alias("usage_count"))
 
 
-def latest_files(spark: SparkSession, catalog_path: str, below: int | None = None) -> DataFrame:
-    """The files table after the last committed batch, or after the last below a number."""
-    return files_of(imported(spark, catalog_path, "files", below))
+def latest_files(spark: SparkSession, catalog_path: str) -> DataFrame:
+    """The files table after the last committed batch."""
+    return files_of(imported(spark, catalog_path, "files"))
 
 
-def import_batch(batch: DataFrame, files: DataFrame, queue: DataFrame, now: int, started: int, enqueue: bool = True) -> dict[str, DataFrame]:
-    """What a batch of manifest rows (seq, path, content, capture_time, rating) adds to each table.
+def import_batch(batch: DataFrame, files: DataFrame, queue: DataFrame, now: int, started: int, enqueue: bool = True, queued: int | None = None) -> dict[str, DataFrame]:
+    """What a batch of manifest rows (seq, path, content or file_id, capture_time, rating) adds to each table.
 
-    A new file adds its row, its first photo and, if asked, the photo's place in the queue; a file that is known at
+    ``files`` and ``queue`` may be the part of each that the batch's files ask for; ``queued`` is then the whole
+    queue's size. A new file adds its row, its first photo and, if asked, the photo's place in the queue; a file that is known at
     another path only takes the new one; all else changes nothing, so rows that come again are harmless.
     """
     spark = batch.sparkSession
-    seen = written(classify_import(with_file_id(batch), files), "import-batch")
+    known = with_file_id(batch) if "content" in batch.columns else batch
+    seen = written(classify_import(known, files), "import-batch")
     new = assign_instances(seen.where("action = 'new'"), files, "seq").withColumn("filename", F.regexp_extract("path", "[^/]*$", 0))
     photos = written(add_photos(spark.createDataFrame([], schema.PHOTOS), new, now, started), "import-photos")
     changed = seen.where("action <> 'known'").groupBy("file_id").agg(F.min_by("path", "seq").alias("file_path"), F.sum((F.col("action") == "new").cast("long")).alias("added"))
     asked = new.select("photo_id", "seq") if enqueue else new.select("photo_id", "seq").limit(0)
-    return {"files": changed, "photos": photos, "queue": queue_additions(queue, photos, asked, "seq")}
+    return {"files": changed, "photos": photos, "queue": queue_additions(queue, photos, asked, "seq", queued)}
 
 
-def stream_import(stream: DataFrame, catalog_path: str, checkpoint: str, started: int = 0, enqueue: bool = True) -> StreamingQuery:
-    """Runs imports over a stream of manifest rows into Parquet below ``catalog_path``.
+def stream_import(stream: DataFrame, catalog_path: str, checkpoint: str, started: int = 0, enqueue: bool = True, fanout: int = runs.FANOUT) -> StreamingQuery:
+    """Runs imports over a stream of manifest rows into the sorted runs of a catalog (``runs``).
 
-    Each batch writes only what it adds, in a folder of its own number, the queue last. A batch counts once its queue
-    was written to the end; one that is run again replaces its folder, from the batches before it. Read the tables
-    with ``latest_files`` and ``imported``.
+    A batch opens only the runs' files that can hold one of its own ids, and knows the queue's size from the commit;
+    so its cost grows with the logarithm of the number of batches before it. A batch that is run again after its
+    commit is passed over, and one that was cut off before it left nothing that is read. Read the tables with
+    ``latest_files`` and ``imported``.
     """
+    return stream.writeStream.foreachBatch(import_step(stream.sparkSession, catalog_path, checkpoint, started, enqueue, fanout)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
 
-    def step(batch: DataFrame, number: int) -> None:
+def import_step(spark: SparkSession, catalog_path: str, writer: str, started: int = 0, enqueue: bool = True, fanout: int = runs.FANOUT):
+    """The step that ``stream_import`` takes for each batch."""
+
+    def make(batch: DataFrame, number: int, last: runs.Commit) -> dict[str, DataFrame]:
         spark = batch.sparkSession
-        ids = with_file_id(batch.select("content")).distinct()
-        files = files_of(imported(spark, catalog_path, "files", number).join(ids, "file_id", "left_semi"))
-        made = import_batch(batch, files, imported(spark, catalog_path, "queue", number), int(time.time()), started, enqueue)
-        for name in TABLES:
-            made[name].write.mode("overwrite").parquet(f"{catalog_path}/batch={number:012d}/{name}")
+        rows = written(with_file_id(batch), "import-ids")
+        ids = rows.select("file_id").distinct()
+        files = files_of(runs.lookup(spark, last.files, TABLES["files"], ids))
+        near = runs.read_files(spark, TABLES["queue"], runs.files_for(last.files, TABLES["queue"], ids.withColumnRenamed("file_id", "photo_id")))
+        queue = near.join(ids, F.substring("photo_id", 1, 32) == F.col("file_id"), "left_semi")
+        made = import_batch(rows, files, queue, int(time.time()), started, enqueue, runs.count_of(last.files, TABLES["queue"]))
+        return made | {"files": made["files"].withColumn("batch", F.lit(last.version + 1).cast("long"))}
 
-    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return runs.keep_appending(spark, catalog_path, TABLES, writer, make, fanout)
 
 
 def stream_date_histogram(stream: DataFrame, tz: int = 0) -> DataFrame:
@@ -100,3 +108,56 @@ def stream_histogram_changes(stream: DataFrame, tz: int = 0, low: int = -6, high
     side = lambda at, rating, n: F.when(F.col(at).isNotNull() & F.col(rating).between(low, high), F.struct(local_day(at, tz).alias("day"), F.lit(n).cast("long").alias("n")))
     both = F.array_compact(F.array(side("capture_time", "rating", 1), side("old_capture_time", "old_rating", -1)))
     return stream.select(F.inline(both)).groupBy("day").agg(F.sum("n").alias("thecount"))
+
+
+#: A histogram is kept as changes of days; the changes of one day add up.
+DAYS = {"days": runs.Table("days", "day", "day string, n long", lambda rows: rows.groupBy("day").agg(F.sum("n").alias("n")))}
+
+
+def day_changes(images: DataFrame, tz: int = 0, low: int = -6, high: int = 5) -> DataFrame:
+    """``day, n`` (+1 or -1) for a stream of photos as they are now: photo_id, version, capture_time, rating, removed.
+
+    Keyed state remembers each photo's version and the day on which it counts, so nothing but its new row is asked for.
+    Rows may come late, twice or in any order: an image whose version isn't beyond the remembered one changes nothing,
+    and of one version's images the one with the last day holds. A removed photo's version stays in the state, so that
+    an older image doesn't bring it back. A photo counts while its rating lies in low..high; rows without photo_id or
+    version are left out; without capture time a photo counts on no day.
+    """
+    counts = F.col("capture_time").isNotNull() & F.col("rating").between(low, high) & ~F.coalesce("removed", F.lit(False))
+    day = F.when(counts, F.unix_date(local_day("capture_time", tz))).cast("long")
+    rows = images.where("photo_id IS NOT NULL AND version IS NOT NULL").select("photo_id", "version", F.coalesce(day, F.lit(NO_DAY)).alias("day"))
+
+    def remember(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        version, day = max(max(zip(p["version"], p["day"], strict=True)) for p in parts)
+        known, before = state.get if state.exists else (None, NO_DAY)
+        if known is None or version > known:
+            state.update((int(version), int(day)))
+            if day != before:
+                found = [(int(d), n) for d, n in ((day, 1), (before, -1)) if d != NO_DAY]
+                yield pd.DataFrame(found, columns=["day", "n"])
+
+    changes = rows.groupBy("photo_id").applyInPandasWithState(remember, "day long, n long", "version long, day long", "append", "NoTimeout")
+    return changes.select(F.date_from_unix_date(F.col("day").cast("int")).alias("day"), "n")
+
+
+#: Stands for "on no day" where a number is asked for.
+NO_DAY = -(2**40)
+
+
+def stream_live_histogram(images: DataFrame, path: str, checkpoint: str, tz: int = 0, low: int = -6, high: int = 5, fanout: int = runs.FANOUT) -> StreamingQuery:
+    """Keeps the date histogram of a stream of photos' new rows and removals (``day_changes``) below ``path``.
+
+    A batch adds only its days' changes as a sorted run; ``live_histogram`` reads the sums.
+    """
+
+    def make(batch: DataFrame, number: int, last: runs.Commit) -> dict[str, DataFrame]:
+        return {"days": DAYS["days"].merged(batch.select(F.col("day").cast("string").alias("day"), "n"))}
+
+    step = runs.keep_appending(images.sparkSession, path, DAYS, checkpoint, make, fanout)
+    return day_changes(images, tz, low, high).writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def live_histogram(spark: SparkSession, path: str) -> DataFrame:
+    """``day, thecount`` after the last committed batch; days without photos have no row."""
+    rows = runs.read_files(spark, DAYS["days"], runs.last_commit(spark, path).files)
+    return DAYS["days"].merged(rows).where("n <> 0").select(F.col("day").cast("date").alias("day"), F.col("n").alias("thecount"))
