@@ -94,8 +94,8 @@ def illuminant_rgb(t: Column | str) -> Triple:
     return dot(XYZ_TO_SRGB, temp_to_xyz(t))
 
 
-def _base_rgb(t: float) -> list[float]:
-    """The same for one number of 4000 or more."""
+def base_rgb(t: float) -> list[float]:
+    """The illuminant in sRGB of one number of 4000 or more."""
     k = 1000.0 / t
     x = ((-3.0258469 * k + 2.1070379) * k + 0.2226347) * k + 0.24039
     y = ((3.08175800 * x - 5.87338670) * x + 3.75112997) * x - 0.37001483
@@ -110,11 +110,11 @@ def multipliers_of(light: Triple, tint: Column | str, cam_to_rgb: Sequence[Seque
     """
     cam, pre = ([x / min(m) for x in m] for m in (cam_mul, pre_mul))
     if all(cam_to_rgb[i][i] == 1 for i in range(3)) or all(x == 1 for x in pre):
-        base, base_tint, offset = _base_rgb(5200.0), 1.0, (1.0, 1.0, 1.0)
+        base, base_tint, offset = base_rgb(5200.0), 1.0, (1.0, 1.0, 1.0)
     else:
         ratio = [p / c for p, c in zip(pre, cam, strict=True)]
         offset = [sum(m * x / min(ratio) for m, x in zip(row, ratio, strict=True)) for row in cam_to_rgb]
-        base, base_tint = _base_rgb(BASE_TEMPERATURE), BASE_TINT
+        base, base_tint = base_rgb(BASE_TEMPERATURE), BASE_TINT
     tinted = (light[0], light[1] / col(tint), light[2])
     over = (base[0], base[1] / base_tint, base[2])
     found = [F.greatest(F.lit(b) / x, F.lit(0.0)) * o for b, x, o in zip(over, tinted, offset, strict=True)]

@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.pixels import illuminant_rgb, multipliers_of
+from ..functions.pixels import BASE_TEMPERATURE, BASE_TINT, XYZ_TO_SRGB, base_rgb, dot, illuminant_rgb, multipliers_of, temp_to_xyz
 from .grid import extents
 from .storage import checkpointed
 
@@ -35,7 +35,8 @@ def wb_from_sample(sample: DataFrame) -> DataFrame:
 
 def exposure_ratio(base: DataFrame, other: DataFrame, base_comp: float = 0.0) -> DataFrame:
     """``photo_id, ratio``: sums of both frames over the cells that are unclipped in both. ``base_comp``: the exposure
-    compensation of the base, by which its values were divided out of the sensor's."""
+    compensation of the base, by which its values were divided out of the sensor's. All cells count, where the original
+    rule samples them at random and starts its sum with one factor that all but vanishes in it."""
     o = other.select("photo_id", "y", "x", *[F.col(c).alias(f"o{c}") for c in "rgb"])
     both = base.join(o, ["photo_id", "y", "x"]).where((F.greatest("r", "g", "b") / 2.0**-base_comp < UNCLIPPED) & (F.greatest("or", "og", "ob") < UNCLIPPED))
     return both.groupBy("photo_id").agg((F.sum(F.col("r") + F.col("g") + F.col("b")) / F.sum(F.col("or") + F.col("og") + F.col("ob"))).alias("ratio"))
@@ -48,6 +49,7 @@ def brighter(last_ratio: Column) -> Column:
 
 def merge_exposures(base: DataFrame, frame: DataFrame, ratio: DataFrame, last_ratio: Column | float = 1.0, weight: Column | float = 1.0, base_comp: float = 0.0) -> DataFrame:
     """Weighted mean of the base and the scaled frame; a clipped cell of the frame has no weight.
+    Cells are clipped by the whole part of their brightest channel.
 
     A frame that is darker than the last one is rejected: the photo stays as it is, as does a cell or photo that the
     frame doesn't have. ``last_ratio`` and ``weight`` may be columns of ``ratio``.
@@ -55,7 +57,7 @@ def merge_exposures(base: DataFrame, frame: DataFrame, ratio: DataFrame, last_ra
     last_ratio, weight = (F.lit(v) if isinstance(v, (int, float)) else v for v in (last_ratio, weight))
     f = frame.select("photo_id", "y", "x", *[F.col(c).alias(f"o{c}") for c in "rgb"])
     r = F.col("ratio")
-    w = F.when(F.greatest("or", "og", "ob") <= UNCLIPPED, F.try_divide(F.lit(2.0**-base_comp), r)).otherwise(0.0)
+    w = F.when(F.floor(F.greatest("or", "og", "ob")) <= UNCLIPPED, F.try_divide(F.lit(2.0**-base_comp), r)).otherwise(0.0)
     joined = base.join(f, ["photo_id", "y", "x"], "left").join(ratio, "photo_id", "left")
     mixed = lambda c: (F.col(c) * weight + F.col(f"o{c}") * r * w) / (weight + w)
     use = brighter(last_ratio) & F.col("or").isNotNull()
@@ -112,3 +114,57 @@ def estimate_wb(photos: DataFrame, cam_to_rgb, cam_mul: Sequence[float], pre_mul
     fine = best(F.transform(steps(10), lambda i: F.col("c.t") * F.pow(F.lit(10.0), i / 600.0)), F.transform(steps(10), lambda i: F.col("c.m") + i * 0.003))
     limited = one.select("photo_id", fine.alias("f"))
     return limited.select("photo_id", F.greatest(F.lit(2000.0), F.least(F.lit(20000.0), F.col("f.t"))).alias("temperature"), F.col("f.m").alias("tint"))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, inside expressions of array functions."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def estimate_wb_by_camera(photos: DataFrame, rounds: int = 80) -> DataFrame:
+    """``photo_id, temperature, tint`` whose multipliers are nearest to ones for each photo's own camera.
+
+    ``photos``: photo_id, matrix (array of three arrays: camera to RGB), cam_mul and pre_mul (arrays of three). A simplex
+    of three points (logarithm of the temperature, tint) is reflected, stretched, drawn in or shrunk for so many
+    rounds, as a fold inside the row; photos aren't joined or shuffled. Temperatures are limited to 2000..20000.
+    """
+    least = lambda a: F.array_min(a)
+    over_least = lambda c: F.transform(c, lambda x: x / least(F.col(c)))
+    cam, pre = over_least("cam_mul"), over_least("pre_mul")
+    known = ~((F.get(F.get("matrix", 0), 0) == 1) & (F.get(F.get("matrix", 1), 1) == 1) & (F.get(F.get("matrix", 2), 2) == 1)) & ~F.forall(pre, lambda x: x == 1)
+    ratio = F.zip_with(pre, cam, lambda p, c: p / c)
+    offset = F.transform("matrix", lambda row: F.aggregate(F.zip_with(row, F.col("_ratio"), lambda m, x: m * x / least(F.col("_ratio"))), F.lit(0.0), lambda a, v: a + v))
+    ones = F.array(*[F.lit(1.0)] * 3)
+    base = lambda t, tint: F.array(*[F.lit(v / d) for v, d in zip(base_rgb(t), (1.0, tint, 1.0), strict=True)])
+    rows = photos.select("photo_id", "matrix", known.alias("_known"), ratio.alias("_ratio"))
+    rows = rows.select("photo_id", F.when(F.col("_known"), offset).otherwise(ones).alias("_offset"), F.when(F.col("_known"), base(BASE_TEMPERATURE, BASE_TINT)).otherwise(base(5200.0, 1.0)).alias("_base"))
+    part = lambda c, i: F.get(F.col(c), i)
+
+    def point(u: Column, m: Column) -> Column:
+        """(distance, u, m)."""
+
+        def far(v: Column) -> Column:
+            found = F.array(*[F.greatest(part("_base", i) / x, F.lit(0.0)) * part("_offset", i) for i, x in enumerate((v["r"], v["g"] / m, v["b"]))])
+            return let(found, lambda f: let(least(f) + 1e-5, lambda low: F.aggregate(f, F.lit(0.0), lambda a, x: a + (x / low - 1) * (x / low - 1))))
+
+        light = let(F.exp(u), lambda t: let(F.struct(*[x.alias(c) for x, c in zip(temp_to_xyz(t), "xyz", strict=True)]), lambda v: F.struct(*[x.alias(c) for x, c in zip(dot(XYZ_TO_SRGB, (v["x"], v["y"], v["z"])), "rgb", strict=True)])))
+        return F.struct(let(light, far).alias("f"), u.alias("u"), m.alias("m"))
+
+    def step(s: Column, _: Column) -> Column:
+        a, b, worst = (F.get(s, i) for i in range(3))
+        along = lambda by: lambda c: point(c["u"] + (c["u"] - worst["u"]) * by, c["m"] + (c["m"] - worst["m"]) * by)
+        middle = F.struct(((a["u"] + b["u"]) / 2).alias("u"), ((a["m"] + b["m"]) / 2).alias("m"))
+        half = lambda p: point((a["u"] + p["u"]) / 2, (a["m"] + p["m"]) / 2)
+        shrunk = F.array(a, half(b), half(worst))
+
+        def moved(c: Column, r: Column) -> Column:
+            stretched = let(along(2.0)(c), lambda e: F.array(a, b, F.when(e["f"] < r["f"], e).otherwise(r)))
+            drawn = let(F.when(r["f"] < worst["f"], along(0.5)(c)).otherwise(along(-0.5)(c)), lambda k: F.when(k["f"] < F.least(r["f"], worst["f"]), F.array(a, b, k)).otherwise(shrunk))
+            return F.when(r["f"] < a["f"], stretched).when(r["f"] < b["f"], F.array(a, b, r)).otherwise(drawn)
+
+        return F.array_sort(let(middle, lambda c: let(along(1.0)(c), lambda r: moved(c, r))))
+
+    first = F.array_sort(F.array(*[point(F.log(F.lit(t)), F.lit(m)) for t, m in ((5200.0, 1.0), (7000.0, 1.0), (5200.0, 1.25))]))
+    best = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), first, step, lambda s: F.get(s, 0))
+    found = rows.select("photo_id", best.alias("s"))
+    return found.select("photo_id", F.greatest(F.lit(2000.0), F.least(F.lit(20000.0), F.exp("s.u"))).alias("temperature"), F.col("s.m").alias("tint"))

@@ -15,19 +15,19 @@ SWITCHES = ("lens_ca", "lens_vign", "lens_dist", "auto_ca")
 def effective_params(photos: DataFrame, params: DataFrame, profile: DataFrame, estimates: DataFrame | None = None) -> DataFrame:
     """Stored parameters of each photo, else those of the profile named ``Default``; a repeated one counts once.
 
-    ``estimates`` (photo_id and any parameter columns, such as the rotation from metadata and the estimated
+    Without such a profile the values of ``schema.PROFILE`` hold. ``estimates`` (photo_id and any parameter columns, such as the rotation from metadata and the estimated
     temperature and tint) goes before the profile where nothing is stored.
     """
     names = [c for c in params.columns if c != "photo_id"]
     defaults = profile.where("profile_id = 'Default'").dropDuplicates(["profile_id"]).select(*[F.col(c).alias(f"_{c}") for c in names if c in profile.columns])
-    both = photos.select("photo_id").join(params.withColumn("_stored", F.lit(True)), "photo_id", "left").join(F.broadcast(defaults))
+    both = photos.select("photo_id").join(params.withColumn("_stored", F.lit(True)), "photo_id", "left").join(F.broadcast(defaults), how="left")  # one row, or none
     guessed: list[str] = []
     if estimates is not None:
         guessed = [c for c in estimates.columns if c in names]
         both = both.join(estimates.select("photo_id", *[F.col(c).alias(f"e_{c}") for c in guessed]), "photo_id", "left")
 
     def value(c: str) -> Column:
-        fallback = F.col(f"_{c}") if c in profile.columns else F.lit(schema.CROP.get(c))
+        fallback = F.coalesce(F.col(f"_{c}"), F.lit(schema.PROFILE.get(c))) if c in profile.columns else F.lit(schema.CROP.get(c))
         if c in guessed:
             fallback = F.coalesce(F.col(f"e_{c}"), fallback)
         return F.when(F.col("_stored"), F.col(c)).otherwise(fallback).alias(c)
@@ -142,24 +142,63 @@ def max_value(df: DataFrame) -> DataFrame:
     return df.withColumn("max_value", level - F.col("black"))
 
 
+def first_above(steps: Column, x: Column, strict: bool) -> Column:
+    """The value of the first step whose limit is at or above ``x`` (``strict``: above it), null without one.
+
+    ``steps``: an array of (limit, value) with rising limits, looked up by halving its range inside the row.
+    """
+    rounds = F.sequence(F.lit(0), F.ceil(F.log2(F.size(steps) + 1.0)).cast("int"))
+
+    def halve(s: Column, _: Column) -> Column:
+        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        limit = F.get(steps, mid)["limit"]
+        below = limit <= x if strict else limit < x
+        return F.when(s["lo"] >= s["hi"], s).when(below, F.struct((mid + 1).alias("lo"), s["hi"].alias("hi"))).otherwise(F.struct(s["lo"].alias("lo"), mid.alias("hi")))
+
+    ends = F.struct(F.lit(0).alias("lo"), F.size(steps).alias("hi"))
+    return F.when(x.isNotNull(), F.get(steps, F.aggregate(rounds, ends, halve, lambda s: s["lo"]))["value"])
+
+
+def step_array(order: Column, limit: Column, value: Column) -> Column:
+    """An aggregate: steps in an order as an array of (limit, value). A step that isn't above all before it is never the
+    first above anything, so it is left out, and limits rise."""
+    sorted_steps = F.array_sort(F.collect_list(F.struct(order.alias("o"), limit.alias("limit"), value.alias("value"))))
+    start = F.slice(F.transform(sorted_steps, lambda s: F.struct(s["limit"].alias("limit"), s["value"].alias("value"))), 1, 0)
+    keep = lambda a, s: F.when((F.size(a) == 0) | (s["limit"] > F.element_at(F.concat(a, F.array(F.struct(s["limit"].alias("limit"), s["value"].alias("value")))), F.greatest(F.size(a), F.lit(1)))["limit"]), F.array_append(a, F.struct(s["limit"].alias("limit"), s["value"].alias("value")))).otherwise(a)
+    return F.aggregate(F.filter(sorted_steps, lambda s: s["limit"].isNotNull()), start, keep)
+
+
 def aperture_scale(files: DataFrame, scaling: DataFrame) -> DataFrame:
-    """``file_id, scale``: the first entry of a step table (``make_model, pos, aperture, scale``) above the f-number."""
-    model = files.where("aperture > 0.7").select("file_id", F.concat_ws(" ", "camera_make", "camera_model").alias("make_model"), F.col("aperture").alias("_f"))
-    hit = model.join(scaling, "make_model").where(F.col("aperture") > F.col("_f")).groupBy("file_id").agg(F.min_by("scale", "pos").alias("scale"))
-    return files.select("file_id").join(hit, "file_id", "left")
+    """``file_id, scale``: the first entry of a step table (``make_model, pos, aperture, scale``) above the f-number.
+
+    Each model's steps become one sorted array, joined by model and looked up inside the row.
+    """
+    steps = scaling.groupBy("make_model").agg(step_array(F.col("pos"), F.col("aperture"), F.col("scale")).alias("steps"))
+    model = files.select("file_id", F.concat_ws(" ", "camera_make", "camera_model").alias("make_model"), F.when(F.col("aperture") > 0.7, F.col("aperture")).alias("_f"))
+    return model.join(steps, "make_model", "left").select("file_id", first_above(F.col("steps"), F.col("_f"), True).alias("scale"))
+
+
+#: Steps of one table at most.
+MOST_STEPS = 65536
 
 
 def decode_lens_code(df: DataFrame, steps: DataFrame, code: str, missing) -> DataFrame:
     """``value``: that of the first threshold at or above the code in a step table (``threshold, value``), else ``missing``.
 
-    The table has a few rows and is broadcast; each code meets only the steps at or above it.
+    The table becomes one row with one sorted array, which every row is given; a table of more than ``MOST_STEPS``
+    rows is refused. Of equal thresholds the one with the lowest value holds.
     """
-    found = df.select(code).distinct().join(F.broadcast(steps), F.col("threshold") >= F.col(code)).groupBy(code).agg(F.min_by("value", "threshold").alias("value"))
-    return df.join(found, code, "left").withColumn("value", F.coalesce("value", F.lit(missing)))
+    one = steps.agg(step_array(F.struct("threshold", "value"), F.col("threshold"), F.col("value")).alias("_steps"), F.count("*").alias("_n"))
+    one = one.select(F.when(F.col("_n") > MOST_STEPS, F.raise_error(F.lit("too many steps"))).otherwise(F.col("_steps")).alias("_steps"))
+    found = df.join(F.broadcast(one), how="left")  # one row
+    return found.withColumn("value", F.coalesce(first_above(F.col("_steps"), F.col(code), False), F.lit(missing))).drop("_steps")
 
 
 def lens_candidates(scored: DataFrame, k: int) -> DataFrame:
-    """The ``k`` best candidates of each photo by score, ties by lens name."""
+    """The ``k`` best candidates of each photo by score, ties by lens name.
+
+    Spark limits each photo's rows to ``k`` in every task before the shuffle, so what meets is bounded by ``k`` a task.
+    """
     rank = F.row_number().over(Window.partitionBy("photo_id").orderBy(F.desc("score"), "lens"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
@@ -173,7 +212,8 @@ def best_lens(queries: DataFrame, scored: DataFrame) -> DataFrame:
     s = scored.where("score > 25").withColumnRenamed("mount", "_mount")
     hit = queries.join(s, "photo_id").where(F.col("query").startswith("\\") | (F.col("mount") == F.col("_mount")))
     mark = F.when(F.col("query").startswith("\\"), F.lit("\\")).otherwise(F.lit(""))
-    return lens_candidates(hit, 1).select("photo_id", F.concat(mark, "lens").alias("lens"), "score")
+    best = hit.groupBy("photo_id", mark.alias("_mark")).agg(F.min(F.struct((-F.col("score")).alias("s"), "lens")).alias("b"))
+    return best.select("photo_id", F.concat("_mark", "b.lens").alias("lens"), (-F.col("b.s")).alias("score"))
 
 
 def lens_availability(files: DataFrame, calibrations: DataFrame) -> DataFrame:

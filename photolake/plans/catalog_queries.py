@@ -591,3 +591,41 @@ def lens_availability(spark: SparkSession, d: str) -> DataFrame:
     f = fx.files(spark, d).select("file_id", F.col("exif_lens").alias("lens"), F.when(k % 3 == 0, 1.6).when(k % 3 == 1, 1.0).otherwise(0.0).alias("crop"), (k % 2 == 0).alias("color"))
     c = spark.createDataFrame([("LENS_3", 0, 1.0, True, False, False), ("LENS_3", 1, 1.6, True, True, True), ("LENS_3", 2, 2.0, False, True, True)], "lens string, pos int, crop_factor double, has_ca boolean, has_vign boolean, has_dist boolean")
     return params.lens_availability(f, c.where("pos < 2").unionByName(c.where("pos = 2").withColumn("crop_factor", F.lit(9.0)))).select("file_id", "ca", "vign", "dist")
+
+
+@query(
+    "camera_wb_upsert",
+    """WITH cams AS (SELECT DISTINCT CASE WHEN c_nationkey % 2 = 0 THEN 'Canon' ELSE 'Nikon' END AS camera_make, c_mktsegment AS camera_model FROM customer)
+  SELECT camera_make, camera_model, CASE WHEN camera_make = 'Nikon' THEN 4000.0::DOUBLE ELSE 5000.0::DOUBLE END AS temperature, CASE WHEN camera_make = 'Nikon' THEN 1.5::DOUBLE ELSE 1.0::DOUBLE END AS tint FROM cams""",
+)
+def camera_wb_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """The white balance remembered for each make and model: one maker's are set anew, some of them for the first time."""
+    cams = fx.files(spark, d).select("camera_make", "camera_model").distinct()
+    wb = lambda rows, t, m: rows.select("camera_make", "camera_model", F.lit(t).alias("temperature"), F.lit(m).alias("tint"))
+    known = wb(cams.where("camera_make = 'Canon' OR camera_model < 'F'"), 5000.0, 1.0)
+    return params.upsert_params(known, wb(cams.where("camera_make = 'Nikon'"), 4000.0, 1.5), ("camera_make", "camera_model"))
+
+
+@query(
+    "upgrade_params",
+    "SELECT photo_id, temperature, 0 AS monochrome, 0.21::DOUBLE AS bw_r, 'NoLens' AS lens, lens_ca, -1 AS lens_vign, 0.0::DOUBLE AS crop_height, 0.0::DOUBLE AS rotation_angle FROM params",
+    "params",
+)
+def upgrade_params(spark: SparkSession, d: str) -> DataFrame:
+    """Parameters of an older catalog: columns that it lacks come with the profile's values, null ones are filled, others stay."""
+    old = fx.params(spark, d).drop("monochrome", "bw_r", "crop_height", "rotation_angle", "lens").withColumn("lens_vign", F.lit(None).cast("int"))
+    return params.upgrade(old, "params", 5).select("photo_id", "temperature", "monochrome", "bw_r", "lens", "lens_ca", "lens_vign", "crop_height", "rotation_angle")
+
+
+@query(
+    "effective_estimates",
+    "SELECT a.photo_id, coalesce(p.temperature, 3000.0 + event_id % 7) AS temperature, coalesce(p.tint, 1.0) AS tint, p.photo_id IS NOT NULL AS stored FROM photos a LEFT JOIN params p ON a.photo_id = p.photo_id",
+    "photos",
+    "params",
+)
+def effective_estimates(spark: SparkSession, d: str) -> DataFrame:
+    """Estimated temperatures go before the profile where nothing is stored, and no profile is there at all."""
+    p = fx.photos(spark, d)
+    guess = p.select("photo_id", (3000.0 + F.col("event_id") % 7).alias("temperature"))
+    e = params.effective_params(p, fx.params(spark, d), schema.profile(spark).where("profile_id <> 'Default'"), guess)
+    return e.select("photo_id", "temperature", "tint", "stored")

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import fixtures as fx
 from .. import schema
+from ..operators import stored
 from ..operators.storage import shared_folder
-from ..sources.files import with_file_id
+from ..sources.files import discover_raws, with_file_id
 from ..streaming import live
 from .registry import query
 
@@ -26,6 +28,57 @@ def catalog_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return schema.read_catalog(spark, at, ("photos",))["photos"].select("photo_id", "capture_time", "filename", "rating", "last_processed_time")
 
 
+@query(
+    "catalog_tables",
+    """SELECT 'photos' AS name, count(*) AS n, count(DISTINCT photo_id) AS keys, sum(capture_time + rating)::DOUBLE AS total FROM photos
+  UNION ALL SELECT 'files', count(*), count(DISTINCT file_id), round(sum(aperture + usage_count), 3) FROM files UNION ALL SELECT 'queue', count(*), count(DISTINCT photo_id), sum(qt_index + 2 * sorted_index)::DOUBLE FROM queue
+  UNION ALL SELECT 'params', count(*), count(DISTINCT photo_id), round(sum(temperature + exposure_comp + lens_ca), 3) FROM params UNION ALL SELECT 'lens_prefs', count(*), count(DISTINCT exif_camera || exif_lens), sum(switch)::DOUBLE FROM lens_prefs""",
+    "photos", "files", "queue", "params", "lens_prefs",
+)
+def catalog_tables(spark: SparkSession, d: str) -> DataFrame:
+    """All five tables written and read back: rows, keys and a sum of each."""
+    at = folder(spark)
+    made = {"photos": fx.catalog_photos(spark, d), "files": fx.files(spark, d), "queue": fx.queue(spark, d), "params": fx.params(spark, d), "lens_prefs": fx.lens_prefs(spark, d)}
+    schema.write_catalog(made, at)
+    key = {"photos": "photo_id", "files": "file_id", "queue": "photo_id", "params": "photo_id", "lens_prefs": "concat(exif_camera, exif_lens)"}
+    total = {"photos": "capture_time + rating", "files": "aperture + usage_count", "queue": "qt_index + 2 * sorted_index", "params": "temperature + exposure_comp + lens_ca", "lens_prefs": "lens_ca"}
+    sums = [t.selectExpr(f"'{n}' AS name", f"{key[n]} AS k", f"cast({total[n]} AS double) AS v").groupBy("name").agg(F.count("*").alias("n"), F.countDistinct("k").alias("keys"), F.round(F.sum("v"), 3).alias("total")) for n, t in schema.read_catalog(spark, at).items()]
+    return reduce(DataFrame.unionByName, sums)
+
+
+@query(
+    "organize_stored",
+    """SELECT photo_id, capture_time, rating FROM (SELECT photo_id, capture_time + CASE WHEN event_id % 5 = 0 THEN 86400 ELSE 0 END AS capture_time,
+    CASE WHEN event_id % 5 = 0 THEN 3 ELSE rating END AS rating FROM photos WHERE event_id % 7 <> 0), (SELECT min(capture_time) AS a, max(capture_time) AS b FROM photos)
+  WHERE capture_time BETWEEN a + (b - a) // 4 AND b - (b - a) // 4 AND rating BETWEEN 0 AND 4""",
+    "photos",
+)
+def organize_stored(spark: SparkSession, d: str) -> DataFrame:
+    """Photos stored by day; one in five moves to the next day, one in seven goes, each in a version that rewrites only
+    its days; then the middle half of the time is read."""
+    at, p = folder(spark), fx.photos(spark, d)
+    stored.write_photos(p, at)
+    edited = p.where("event_id % 5 = 0").withColumn("old_capture_time", F.col("capture_time")).withColumns({"capture_time": F.col("capture_time") + 86400, "rating": F.lit(3)})
+    stored.change_photos(spark, at, edited)
+    later = F.when(F.col("event_id") % 5 == 0, 86400).otherwise(0)
+    none = edited.limit(0)
+    stored.change_photos(spark, at, none, p.where("event_id % 7 = 0").withColumn("capture_time", F.col("capture_time") + later))
+    a, b = p.agg(F.min("capture_time"), F.max("capture_time")).first()
+    quarter = (b - a) // 4
+    return stored.organize_stored(spark, at, a + quarter, b - quarter, 0, 4).select("photo_id", "capture_time", "rating")
+
+
+@query("discover_raws", "SELECT source, count(*) * 33 AS bytes FROM documents WHERE doc_id % 2 = 0 GROUP BY 1")
+def found_raws(spark: SparkSession, d: str) -> DataFrame:
+    """Content ids of the documents written as files in a folder for each source, raw and other ones; the raw ones found below."""
+    at = folder(spark)
+    docs = fx.manifest(spark, d).select("seq", F.md5(F.col("content").cast("binary")).alias("id")).join(fx.table(spark, d, "documents").select(F.col("doc_id").alias("seq"), "source"), "seq")
+    for kind, rows in (("nef", docs.where("seq % 2 = 0")), ("jpg", docs.where("seq % 2 = 1"))):
+        rows.select("source", F.coalesce("id", F.md5(F.lit(b""))).alias("id")).write.partitionBy("source").mode("append").option("extension", kind).csv(f"{at}/card")
+    found = discover_raws(spark, f"{at}/card")
+    return found.groupBy(F.regexp_extract("path", "source=([^/]*)/", 1).alias("source")).agg(F.sum("length").alias("bytes"))
+
+
 @query(
     "stream_import",
     """SELECT *, count(*) OVER () AS files, count(*) OVER () - 1 AS last_index FROM (SELECT md5(content) AS file_id, md5(content) || '0001' AS photo_id, 1 AS usage_count, true AS queued,

@@ -351,7 +351,7 @@ def exposure_ratio(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "merge_exposures",
-    f"{fx.sql('', 'cells')}, {BRIGHT}, {RATIO} SELECT photo_id, y, x, " + ", ".join(f"round(CASE WHEN ratio IS NULL THEN {c} ELSE ({c} + {c}2 * ratio * w) / (1 + w) END, 5) AS {c}" for c in "rgb") + " FROM (SELECT *, CASE WHEN greatest(r2, g2, b2) <= 60000 THEN 1 / ratio ELSE 0.0 END AS w FROM cells JOIN bright USING (photo_id, y, x) LEFT JOIN ratio USING (photo_id))",
+    f"{fx.sql('', 'cells')}, {BRIGHT}, {RATIO} SELECT photo_id, y, x, " + ", ".join(f"round(CASE WHEN ratio IS NULL THEN {c} ELSE ({c} + {c}2 * ratio * w) / (1 + w) END, 5) AS {c}" for c in "rgb") + " FROM (SELECT *, CASE WHEN floor(greatest(r2, g2, b2)) <= 60000 THEN 1 / ratio ELSE 0.0 END AS w FROM cells JOIN bright USING (photo_id, y, x) LEFT JOIN ratio USING (photo_id))",
 )
 def merge_exposures(spark: SparkSession, d: str) -> DataFrame:
     c = _cells(spark, d)
@@ -361,7 +361,7 @@ def merge_exposures(spark: SparkSession, d: str) -> DataFrame:
 
 def _chain_sql() -> str:
     """Three frames: the base, twice as bright, and four times; each brighter one at its own compensation."""
-    step = lambda at, frame, ratio, w: f"(CASE WHEN top > 60000 THEN {at} ELSE ({at} * {w} + {frame} * {ratio} / {ratio}) / ({w} + 1 / {ratio}) END)"
+    step = lambda at, frame, ratio, w: f"(CASE WHEN floor(top) > 60000 THEN {at} ELSE ({at} * {w} + {frame} * {ratio} / {ratio}) / ({w} + 1 / {ratio}) END)"
     frame = lambda k: f"SELECT photo_id, y, x, " + ", ".join(f"least(65535.0, {k} * {c}) AS {c}2" for c in "rgb") + " FROM cells"  # noqa: E731, F541
     rate = lambda base, bright: f"SELECT photo_id, sum(r + g + b) / sum(r2 + g2 + b2) AS ratio FROM {base} JOIN {bright} USING (photo_id, y, x) WHERE greatest(r, g, b, r2, g2, b2) < 60000 GROUP BY 1"
     merged = lambda base, bright, state: f"SELECT photo_id, y, x, " + ", ".join(f"CASE WHEN ratio IS NULL OR ratio > last * 1.05 THEN {c} ELSE {step(c, c + '2', 'ratio', 'weight')} END AS {c}" for c in "rgb") + f" FROM (SELECT *, greatest(r2, g2, b2) AS top FROM {base} JOIN {bright} USING (photo_id, y, x) JOIN {state} USING (photo_id))"  # noqa: E731, F541
@@ -542,3 +542,33 @@ def estimate_wb(spark: SparkSession, d: str) -> DataFrame:
     """A grid search; the tests hold it against a finer one."""
     photos = _cells(spark, d).select("photo_id").distinct()
     return merge.estimate_wb(photos, MATRIX, CAM, PRE)
+
+
+@query("estimate_wb_by_camera")
+def estimate_wb_by_camera(spark: SparkSession, d: str) -> DataFrame:
+    """Each file's estimate, by the matrix of its camera and its own multipliers; the tests hold it against a fine grid."""
+    f = fx.files(spark, d)
+    k, model = F.col("cust_key"), F.length("camera_model") / 100.0
+    matrix = F.array(*[F.array(*[F.lit(v) + (model if i == j else -model / 2) for j, v in enumerate(row)]) for i, row in enumerate(MATRIX)])
+    mults = F.array(CAM[0] + (k % 10) / 20.0, F.lit(float(CAM[1])), CAM[2] + (k % 7) / 20.0)
+    photos = f.select(k.alias("photo_id"), matrix.alias("matrix"), mults.alias("cam_mul"), F.array(*[F.lit(float(v)) for v in PRE]).alias("pre_mul"))
+    return merge.estimate_wb_by_camera(photos)
+
+
+@query(
+    "thumb_states",
+    "SELECT n_nationkey AS photo_id, CASE WHEN h IS NULL THEN -1 WHEN n_regionkey = 1 THEN 0 ELSE 1 END AS status FROM nation LEFT JOIN (SELECT photo_id, max(y) + 1 AS h FROM cells GROUP BY 1) ON photo_id = n_nationkey",
+    "cells",
+)
+def thumb_states(spark: SparkSession, d: str) -> DataFrame:
+    """All three states: photos without cells have no thumbnail, edited ones a stale one, others theirs."""
+    from ..functions.catalog import thumb_status as status
+    from ..operators.params import mark_edited
+
+    n = fx.table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("photo_id"), "n_regionkey")
+    sized = n.join(grid.extents(_cells(spark, d)).select("photo_id", "height", "width"), "photo_id", "left")
+    fresh = sized.select("photo_id", "n_regionkey", status(F.coalesce("height", F.lit(0)), F.coalesce("width", F.lit(0))).alias("thumb_written"))
+    photos = fresh.withColumns({"big_thumb_written": F.col("thumb_written"), "last_processed_time": F.lit(0).cast("long")})
+    queue = photos.select("photo_id", F.lit(False).alias("processed"), F.lit(False).alias("exported"))
+    edited, _ = mark_edited(photos, queue, photos.where("n_regionkey = 1 AND thumb_written = 1"), 9)
+    return edited.select("photo_id", F.col("thumb_written").alias("status"))

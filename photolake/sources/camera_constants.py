@@ -11,12 +11,21 @@ def many(field: Column) -> Column:
     return F.when(field.startswith("["), F.from_json(field, "array<string>")).when(field.isNotNull(), F.array(field))
 
 
+#: A string of JSON, which is kept, or a comment, which isn't: whichever begins first, so neither is looked for inside the other.
+STRING_OR_COMMENT = r'(?s)("[^"\\]*+(?:\\.[^"\\]*+)*+")|/\*.*?\*/|//[^\r\n]*+'
+
+
+def without_comments(text: Column | str) -> Column:
+    """JSON without its comments of both kinds; what looks like one inside a string stays."""
+    return F.regexp_replace(text, STRING_OR_COMMENT, "$1")
+
+
 def parse_constants(texts: DataFrame, column: str = "value") -> DataFrame:
     """One row for each (make_model, iso, entry, white) of constants held as whole texts.
 
     ``entry`` is the place in the file. A scalar white level holds for every ISO (null).
     """
-    plain = F.regexp_replace(F.regexp_replace(column, r"(?s)/\*.*?\*/", ""), r"(?m)(^|\s)//.*$", "")
+    plain = without_comments(column)
     entries = texts.select(F.posexplode(F.from_json(F.get_json_object(plain, "$.camera_constants"), "array<string>")).alias("entry", "e"))
     get = lambda p: F.get_json_object("e", p)
     models = entries.select("entry", "e", F.explode(many(get("$.make_model"))).alias("make_model"))
