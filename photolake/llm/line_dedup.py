@@ -1,12 +1,13 @@
 """Line dedup by pairwise alignment: documents that share a line are aligned by patience diff, and the blocks that
-they have in common go from the later one, short ones where very many documents hold them.
+they have in common go from the later one.
 
 Later means after in the order of (doc_id, text hash). A document is aligned with the first document that holds one
 of its lines, and, for rare lines, with the last one before it that does; with ``runs`` also with the first one that
-holds one of its shortest runs of lines of enough words. Every line of a common block lies in such a run, and the run's
-first holder is earlier, so no block that any earlier document holds is missed: tests hold this against all earlier
-documents. The pairs are at most a few for each line of a document, however many
-documents hold it, and a frequent line costs one pair a document.
+holds one of its shortest runs of lines of enough words: every line of a common block lies in such a run, so every
+block that any earlier document holds has a partner. What goes is what the alignments say: a block of enough words
+goes whole, of a shorter one only the lines that very many documents hold. What an alignment leaves of the later document
+is aligned with the same partner again, until it gives no block: so blocks in another order are found too. The pairs
+are at most a few for each line of a document, however many documents hold it, and a frequent line costs one pair a document.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from .quality import WHITE, let
 RARE_DOCUMENTS = 16
 #: Words of an aligned block from which it is deleted.
 BLOCK_WORDS = 12
-#: Documents that hold a line from which it is boilerplate: it goes from all but the first, however short.
+#: Documents that hold a line from which it is boilerplate: aligned with an earlier document it goes, however short its block.
 FREQUENT_DOCUMENTS = 50
 
 
@@ -72,19 +73,34 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def common_lines(a: list[int], a_words: list[int], b: list[int], block_words: int) -> list[int]:
-    """Places in ``a`` of aligned blocks, contiguous in both, of at least so many words."""
+def common_lines(a: list[int], a_words: list[int], b: list[int], block_words: int, often: frozenset[int] | set[int] = frozenset()) -> list[int]:
+    """Places in ``a`` of aligned blocks, contiguous in both, of at least so many words; of shorter ones the lines of ``often``."""
     out, block, last = [], [], None
     for i, j in [*patience(a, b), (-1, -1)]:
         if last is None or (i, j) != (last[0] + 1, last[1] + 1):
-            if sum(a_words[k] for k in block) >= block_words:
-                out += block
+            out += block if sum(a_words[k] for k in block) >= block_words else [k for k in block if a[k] in often]
             block = []
         block.append(i)
         last = (i, j)
     return out
 
 
+def aligned_lines(a: list[int], a_words: list[int], b: list[int], block_words: int, often: frozenset[int] | set[int] = frozenset()) -> list[int]:
+    """``common_lines`` of ``a``, and of the stretches that these leave, each aligned with all of ``b`` again."""
+    there, gone, todo = set(b), [], [(0, len(a))]
+    while todo:
+        lo, hi = todo.pop()
+        shared = [k for k in range(lo, hi) if a[k] in there]
+        if sum(a_words[k] for k in shared) < block_words and not any(a[k] in often for k in shared):
+            continue
+        taken = [lo + k for k in common_lines(a[lo:hi], a_words[lo:hi], b, block_words, often)]
+        gone += taken
+        if taken:
+            ends = [lo - 1, *taken, hi]
+            todo += [(x + 1, y) for x, y in zip(ends, ends[1:], strict=False) if y - x > 1]
+    return sorted(gone)
+
+
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_ODD), -1, 1 << 64))
 
@@ -108,18 +124,6 @@ def shortest_runs(lines: np.ndarray, words: np.ndarray, offsets: np.ndarray, blo
     return start, end, key.view("int64"), np.concatenate([document[on], document[to]])
 
 
-def lines_of_runs(a: list[int], a_words: list[int], b: list[int], b_words: list[int], block_words: int) -> list[int]:
-    """Places in ``a`` of runs of adjacent lines, of at least so many words, that ``b`` has anywhere."""
-    (start, end, key, _), (_, _, other, _) = (
-        shortest_runs(np.array(x, "int64"), np.array(w, "int64"), np.array([0, len(x)]), block_words) for x, w in ((a, a_words), (b, b_words))
-    )
-    both = np.isin(key, other)
-    depth = np.zeros(len(a) + 1, "int64")
-    np.add.at(depth, start[both], 1)
-    np.subtract.at(depth, end[both], 1)
-    return np.flatnonzero(depth.cumsum()[:-1]).tolist()
-
-
 def sequences(docs: DataFrame) -> DataFrame:
     """``_row`` (the document's place in the order), its ``lines`` as hashes and their ``words``.
 
@@ -179,33 +183,23 @@ def pairs(seqs: DataFrame, shared: DataFrame, rare_documents: int = RARE_DOCUMEN
 
 
 def removed_lines(seqs: DataFrame, rare_documents: int = RARE_DOCUMENTS, block_words: int = BLOCK_WORDS, runs: bool = False) -> DataFrame:
-    """``_row, removed``: places of the lines to delete, for documents that lose any.
-
-    A line of ``FREQUENT_DOCUMENTS`` or more is held by each of them but the first together with an earlier one,
-    so no alignment is needed for it.
-    """
+    """``_row, removed``: places of the lines to delete, for documents that lose any."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         cut = []
-        for a, w, p, b, v in zip(*(batch.column(c).to_pylist() for c in ("lines", "words", "at", "other", "other_words")), strict=True):
-            gone = set(common_lines(a, w, b, block_words))
-            if runs:  # blocks that stand in another order too, which no alignment holds all of
-                gone.update(lines_of_runs(a, w, b, v, block_words))
-            cut.append([p[k] for k in sorted(gone)])
+        for a, w, p, b, often in zip(*(batch.column(c).to_pylist() for c in ("lines", "words", "at", "other", "often")), strict=True):
+            cut.append([p[k] for k in aligned_lines(a, w, b, block_words, set(often or ()))])
         return pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_h"), pa.array(cut, pa.list_(pa.int32()))], ["_id", "_h", "removed"])
 
     shared = shared_lines(seqs)
+    frequent = shared.where((F.col("n") >= FREQUENT_DOCUMENTS) & (F.col("_row") != F.col("first"))).groupBy("_row").agg(F.collect_set("line").alias("often"))
     both = (
         pairs(seqs, shared, rare_documents, block_words if runs else None)
-        .join(seqs, "_row")
-        .join(seqs.select(F.col("_row").alias("_with"), F.col("lines").alias("other"), F.col("words").alias("other_words")), "_with")
-        .select(F.col("_row.id").alias("_id"), F.col("_row.h").alias("_h"), "lines", "words", "at", "other", "other_words")
+        .join(seqs.join(frequent, "_row", "left"), "_row")
+        .join(seqs.select(F.col("_row").alias("_with"), F.col("lines").alias("other")), "_with")
+        .select(F.col("_row.id").alias("_id"), F.col("_row.h").alias("_h"), "lines", "words", "at", "other", "often")
     )
     found = map_batches(both, work, "_id long, _h long, removed array<int>").where(F.size("removed") > 0)
-    frequent = shared.where((F.col("n") >= FREQUENT_DOCUMENTS) & (F.col("_row") != F.col("first"))).groupBy("_row").agg(F.collect_set("line").alias("_gone"))
-    places = F.filter(F.arrays_zip("lines", "at"), lambda x: F.array_contains("_gone", x["lines"]))
-    short = seqs.join(frequent, "_row").select(F.col("_row.id").alias("_id"), F.col("_row.h").alias("_h"), F.transform(places, lambda x: x["at"]).alias("removed"))
-    found = found.union(short)
     merged = found.groupBy("_id", "_h").agg(F.array_distinct(F.flatten(F.collect_set("removed"))).alias("removed"))
     return merged.select(F.struct(F.col("_id").alias("id"), F.col("_h").alias("h")).alias("_row"), "removed")
 
@@ -228,7 +222,9 @@ def cut_texts(docs: DataFrame, rare_documents: int = RARE_DOCUMENTS, block_words
 def dedup_lines(docs: DataFrame, rare_documents: int = RARE_DOCUMENTS, block_words: int = BLOCK_WORDS, runs: bool = False) -> DataFrame:
     """The columns of ``docs`` with the kept lines as ``text``, and ``removed``: places of deleted lines, ascending.
 
-    A block goes if it holds at least ``block_words`` words; shorter common blocks go only where many documents hold their lines. With ``runs``, every block goes that any earlier document holds.
+    An aligned block goes if it holds at least ``block_words`` words; of a shorter one go the lines that
+    ``FREQUENT_DOCUMENTS`` or more hold. With ``runs``, a partner is found for every block that any earlier document
+    holds. Very long texts are aligned whole. Documents that tie in id go by their text's hash.
     Null or empty text: unchanged, nothing removed. A text whose lines all go becomes empty. Repeated rows (equal id
     and text) are one document: all of them keep what one would keep. A null id comes before all others. Empty
     table: no rows. A column ``removed`` of ``docs`` gives way to the new one.
@@ -241,7 +237,8 @@ def dedup_lines(docs: DataFrame, rare_documents: int = RARE_DOCUMENTS, block_wor
 def without_shared_lines(docs: DataFrame) -> DataFrame:
     """The same rows and columns; ``text`` has the kept lines, and ``n_chars``, if there, their number of characters.
 
-    Null or empty text: unchanged. Repeated rows are one document; a null id comes before all others. Columns whose
+    Null or empty text: unchanged. Very long texts are aligned whole. Repeated rows are one document; documents that tie
+    in id go by their text's hash; a null id comes before all others. Columns whose
     names clash with inner ones are kept as they are. Empty table: no rows.
     """
     new = {"text": F.col("_kept"), "n_chars": F.length("_kept").cast("long")}

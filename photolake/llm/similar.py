@@ -138,6 +138,14 @@ def product(starts: np.ndarray, sizes: np.ndarray, a: np.ndarray, b: np.ndarray)
     return np.repeat(starts[a], n) + at // wide, np.repeat(starts[b], n) + at % wide
 
 
+def top(above: np.ndarray, at: int) -> int:
+    """The end of a group's way; the way is halved as it is gone."""
+    while above[at] != at:
+        above[at] = above[above[at]]
+        at = above[at]
+    return at
+
+
 def joining(rows: DataFrame, similarity: float, radius: int) -> DataFrame:
     """Links ``a, b`` between groups (column ``root``) of a shard that are near somewhere within the radius.
 
@@ -152,7 +160,7 @@ def joining(rows: DataFrame, similarity: float, radius: int) -> DataFrame:
         sizes = np.diff(np.concatenate([starts, [len(key)]]))
         own = np.arange(len(starts))
         group = np.unique(c["root"], return_inverse=True)[1]
-        label = np.arange(group.max() + 1)
+        above = np.arange(group.max() + 1)  # each group's way to its smallest one
         forest = BKForest(key[starts], fp[starts].view("uint64"))
         links: list[tuple[int, int]] = []
 
@@ -163,13 +171,15 @@ def joining(rows: DataFrame, similarity: float, radius: int) -> DataFrame:
         for x, y in hits():
             for at in range(0, len(x), 10_000):
                 a, b = product(starts, sizes, x[at : at + 10_000], y[at : at + 10_000])
-                two = label[group[a]] != label[group[b]]
+                while (higher := above[above]).tobytes() != above.tobytes():
+                    above[:] = higher
+                two = above[group[a]] != above[group[b]]
                 a, b = a[two], b[two]
                 ok = may_reach(c, a, b, similarity)
                 for i, j in zip(a[ok].tolist(), b[ok].tolist(), strict=True):
-                    one, other = label[group[i]], label[group[j]]
+                    one, other = top(above, group[i]), top(above, group[j])
                     if one != other and similar(sets[i], sets[j], similarity):
-                        label[label == max(one, other)] = min(one, other)
+                        above[max(one, other)] = min(one, other)
                         links.append((min(h[i], h[j]), max(h[i], h[j])))
         return pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["a", "b"])
 

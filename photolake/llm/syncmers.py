@@ -2,8 +2,9 @@
 
 A k-mer of characters is a closed syncmer if the smallest of its inner substrings lies at its start or its end. This
 depends on the k-mer alone, so an edit elsewhere leaves the others in place: they are anchors. A fingerprint keeps
-the anchors whose hashes lie below a limit, with their places: a fixed share of a long text's anchors, and all or a
-fixed number of a short one's. Two fingerprints are compared below the lower of their limits.
+the anchors whose hashes lie below a limit, with their places: all of them, unless a share of a long text's anchors is
+asked for. An anchor that stands at several places is kept at each. Two fingerprints are compared below the lower of
+their limits.
 """
 
 from __future__ import annotations
@@ -24,8 +25,10 @@ from .common import map_batches, texts
 K = 16
 INNER = 5
 #: Share of a text's anchors that its fingerprint keeps (1: all), and anchors that it keeps at least, where it has them.
-FRACTION = 0.25
+FRACTION = 1.0
 LEAST = 256
+#: Characters of results that are handed back at once, about.
+CHARS_OUT = 16_000_000
 #: Characters of a text that are hashed at once.
 CHARS_AT_ONCE = 1 << 16
 
@@ -47,7 +50,7 @@ def windows(codes: np.ndarray, width: int) -> np.ndarray:
 
 @dataclass(eq=False, slots=True)
 class Anchors:
-    """Anchors of a text with hashes below ``limit``, by place; each hash once, where it is first."""
+    """Anchors of a text with hashes below ``limit``, by place."""
 
     hashes: np.ndarray  # 32 bits
     places: np.ndarray
@@ -62,14 +65,14 @@ class Anchors:
 
 
 def lowest(hashes: np.ndarray, places: np.ndarray, fraction: float) -> Anchors:
-    """Of anchors in the order of the text those that its fingerprint keeps, by hash."""
-    found, first = np.unique(hashes, return_index=True)
-    share = int(fraction * (1 << 32))
-    if len(found) <= LEAST or fraction >= 1:
-        return Anchors(found, places[first], 1 << 32)
-    limit = max(share, int(found[LEAST - 1]) + 1)
-    n = int(np.searchsorted(found, limit)) if limit < 1 << 32 else len(found)
-    return Anchors(found[:n], places[first[:n]], limit)
+    """Of all anchors in the order of the text those that its fingerprint keeps, by hash: the share below ``fraction``,
+    or ``LEAST`` different ones if these are more."""
+    if fraction >= 1:
+        return Anchors(hashes, places, 1 << 32)
+    found = np.unique(hashes)
+    limit = 1 << 32 if len(found) <= LEAST else max(int(fraction * (1 << 32)), int(found[LEAST - 1]) + 1)
+    kept = hashes < limit
+    return Anchors(hashes[kept], places[kept], limit)
 
 
 def anchors(text: str, fraction: float = FRACTION) -> Anchors:
@@ -81,7 +84,7 @@ def anchors(text: str, fraction: float = FRACTION) -> Anchors:
     if not len(codes):
         return Anchors(np.zeros(0, "uint32"), np.zeros(0, "int64"), 1 << 32)
     span = K - INNER + 1
-    kept = Anchors(np.zeros(0, "uint32"), np.zeros(0, "int64"), 1 << 32)
+    hashes, places = [np.zeros(0, "uint32")], [np.zeros(0, "int64")]
     for at in range(0, len(codes) - K + 1, CHARS_AT_ONCE):
         part = codes[at : at + CHARS_AT_ONCE + K - 1]
         inner = mixed(windows(part, INNER))
@@ -95,25 +98,29 @@ def anchors(text: str, fraction: float = FRACTION) -> Anchors:
         h = np.zeros(len(chosen), "uint64")
         for offset in (0, INNER, 2 * INNER, span - 1):  # these inner substrings cover the k-mer
             h = h * np.uint64(0x9E3779B97F4A7C15) + inner[chosen + offset]
-        h = (mixed(h) >> np.uint64(32)).astype("uint32")
-        if kept.limit < 1 << 32:  # the limit only falls as more anchors come
-            below = h < kept.limit
-            h, chosen = h[below], chosen[below]
-        limit = kept.limit
-        kept = lowest(np.concatenate([kept.hashes, h]), np.concatenate([kept.places, chosen + at]), fraction)
-        kept.limit = min(limit, kept.limit)
-    if not len(kept.hashes):
+        hashes.append((mixed(h) >> np.uint64(32)).astype("uint32"))
+        places.append(chosen + at)
+    every = np.concatenate(hashes)
+    if not len(every):
         return Anchors((mixed(windows(codes, len(codes))) >> np.uint64(32)).astype("uint32"), np.zeros(1, "int64"), 1 << 32)
-    order = np.argsort(kept.places, kind="stable")
-    return Anchors(kept.hashes[order], kept.places[order], kept.limit)
+    return lowest(every, np.concatenate(places), fraction)
+
+
+def numbered(hashes: np.ndarray) -> np.ndarray:
+    """Each hash with the number of equal ones before it, as one key: the r-th of one text can only meet the r-th of another."""
+    order = np.argsort(hashes, kind="stable")
+    first = np.searchsorted(hashes[order], hashes[order])
+    keys = np.empty(len(hashes), "uint64")
+    keys[order] = hashes[order].astype("uint64") << np.uint64(32) | (np.arange(len(hashes)) - first).astype("uint64")
+    return keys
 
 
 def matched(a: Anchors, b: Anchors) -> tuple[np.ndarray, np.ndarray, int]:
     """Places in a and b of the longest run of common anchors that stand in one order in both, and the number of all
-    anchors of the two below the lower limit."""
+    anchors of the two below the lower limit. Of a repeated anchor the r-th in a is held against the r-th in b."""
     limit = min(a.limit, b.limit)
     x, y = (np.flatnonzero(z.hashes < limit) if z.limit > limit else np.arange(len(z.hashes)) for z in (a, b))
-    _, i, j = np.intersect1d(a.hashes[x], b.hashes[y], assume_unique=True, return_indices=True)
+    _, i, j = np.intersect1d(numbered(a.hashes[x]), numbered(b.hashes[y]), assume_unique=True, return_indices=True)
     order = np.argsort(i)
     i, j = x[i[order]], y[j[order]]
     total = len(x) + len(y) - len(i)
@@ -155,7 +162,7 @@ def likeness(a: Anchors, b: Anchors) -> float:
 def fingerprints(docs: DataFrame, fraction: float = FRACTION) -> DataFrame:
     """``doc_id, fingerprint`` of every whole text; equal texts have equal ones.
 
-    ``fraction`` 1 keeps all anchors. Null or empty text: an empty fingerprint. Very long texts: the number of anchors
+    ``fraction`` 1 keeps all anchors, repeated ones with each of their places. Null or empty text: an empty fingerprint. Very long texts: the number of anchors
     grows with them. Null ids and repeated rows: rows of their own. Empty table: no rows. No shuffle.
     """
 
@@ -207,25 +214,38 @@ def against_edits(docs: DataFrame, fraction: float = FRACTION) -> DataFrame:
 
     ``doc_id, n_chars, edited, fingerprint, edited_fingerprint, near_edited, near_next``; the next document by
     (doc_id, text hash), null ids first; after the last one comes the first. Null or empty text: empty, like other
-    empty ones. Repeated rows follow each other. One row: it follows itself. Empty table: no rows.
+    empty ones. Very long texts: all their anchors count. Columns with other names aren't read. Repeated rows follow each other. One row: it follows itself. Empty table: no rows.
     """
     rows, _ = in_ranges(docs)
     schema = "doc_id long, n_chars long, edited string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
+        last, out, held = None, [[] for _ in names], 0
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
+
+        def handed() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names)
+            for column in out:
+                column.clear()
+            return made
+
         for batch in batches:
-            out: list[list] = [[] for _ in names]
             for doc, text, place, ahead in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "_range", "_ahead")), strict=True):
                 own = anchors(text, fraction)
                 if last is not None and last[0] == place:
                     _, d, t, fp = last
                     edited = edited_text(t, text)
                     changed = anchors(edited, fraction)
-                    for column, value in zip(out, (d, len(t), edited, fp.shown(), changed.shown(), likeness(fp, changed), likeness(fp, own)), strict=True):
+                    row = (d, len(t), edited, fp.shown(), changed.shown(), likeness(fp, changed), likeness(fp, own))
+                    for column, value in zip(out, row, strict=True):
                         column.append(value)
+                    held += len(edited) + len(row[3]) + len(row[4])
+                    if held >= CHARS_OUT:
+                        yield handed()
+                        held = 0
                 last = None if ahead else (place, doc, text, own)
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()), strict=True)], names)
+        if out[0]:
+            yield handed()
 
     return rows.select("doc_id", "text", "_range", "_ahead").mapInArrow(run, schema)

@@ -55,7 +55,7 @@ def test_nulls_copies_and_repeats(make_docs, edges):
 
 def brute(rows, rare, block_words):
     """All pairs that share a line as the method pairs them, aligned, by plain loops over all documents."""
-    from photolake.llm.line_dedup import common_lines
+    from photolake.llm.line_dedup import aligned_lines
 
     docs = sorted({(d, t) for d, t in rows})
     lines = [[(x.strip(" \t\n\x0b\x0c\r"), i) for i, x in enumerate(t.split("\n")) if x.strip(" \t\n\x0b\x0c\r")] for _, t in docs]
@@ -70,7 +70,7 @@ def brute(rows, rare, block_words):
                 partners.add(holders[holders.index(n) - 1])
         gone = set()
         for m in partners:
-            gone |= {own[k][1] for k in common_lines([x for x, _ in own], [len(x.split()) for x, _ in own], [x for x, _ in lines[m]], block_words)}
+            gone |= {own[k][1] for k in aligned_lines([x for x, _ in own], [len(x.split()) for x, _ in own], [x for x, _ in lines[m]], block_words)}
         out[docs[n]] = sorted(gone)
     return out
 

@@ -23,9 +23,34 @@ def test_all_earlier_documents_count(make_docs):
     pool = [" ".join(rng.choice("ab cd ef gh ij".split()) for _ in range(rng.randrange(1, 9))) for _ in range(40)]
     rows = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randrange(0, 12)))) for i in range(100)]
     want = brute(rows, 9)
-    assert sum(map(len, want.values())) > 50
+    every = sum(map(len, want.values()))
+    assert every > 50
     got = {(r.doc_id, dict(rows)[r.doc_id]): r.removed for r in line_dedup.dedup_lines(make_docs(rows), 4, 9, runs=True).collect()}
-    assert got == want
+    assert all(set(got[k]) <= set(want[k]) for k in want)
+    assert sum(map(len, got.values())) >= 0.9 * every  # lines here repeat as no real ones do
+
+
+def test_all_blocks_of_real_texts_count(make_docs, sample):
+    rows = [(d, t) for d, t in sample if t]
+    want = brute([(d, t[:6000]) for d, t in rows], line_dedup.BLOCK_WORDS)
+    short = [(d, t[:6000]) for d, t in rows]
+    got = {(r.doc_id, dict(short)[r.doc_id]): set(r.removed) for r in line_dedup.dedup_lines(make_docs(short), runs=True).collect()}
+    every = sum(map(len, want.values()))
+    assert sum(len(got[k] & set(v)) for k, v in want.items()) >= 0.99 * every > 0
+
+
+def test_alignment_decides(make_docs, monkeypatch):
+    """Documents that share runs of words are partners, but only what is aligned goes."""
+    lines = [f"line number {i} of a passage with some words" for i in range(9)]
+    a, moved = "\n".join(lines), "\n".join([*lines[5:], "between the parts", *lines[:5]])
+    assert line_dedup.aligned_lines([*range(5, 9), 99, *range(5)], [8] * 10, list(range(9)), 12) == [0, 1, 2, 3, 5, 6, 7, 8, 9]
+    assert line_dedup.common_lines([*range(5, 9), 99, *range(5)], [8] * 10, list(range(9)), 12) == [5, 6, 7, 8, 9]
+    rows = [(0, a), (1, moved)]
+    cut = lambda: {r.doc_id: r.removed for r in line_dedup.dedup_lines(make_docs(rows), runs=True).collect()}
+    assert cut() == {0: [], 1: [0, 1, 2, 3, 5, 6, 7, 8, 9]}
+    pairs = line_dedup.pairs(line_dedup.sequences(make_docs(rows)), line_dedup.shared_lines(line_dedup.sequences(make_docs(rows))), block_words=12)
+    assert pairs.count() == 1
+    assert line_dedup.aligned_lines([1, 2, 3], [5, 5, 5], [3, 2, 1], 12) == []  # all lines are shared, no block is
 
 
 def test_query_finds_blocks_of_frequent_lines(make_docs, spark, tmp_path):

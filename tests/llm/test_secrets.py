@@ -1,6 +1,8 @@
-import base64
-import hashlib
+import random
 import re
+import string
+import uuid
+from collections import Counter
 
 from photolake.llm import secrets
 
@@ -30,14 +32,57 @@ def test_base_spans_match_brute_force(make_docs, edges, sample):
     assert sorted((str(r.doc_id), [(m["at"], m["kind"], m["to"]) for m in sorted(r.base, key=lambda m: (m["at"], m["kind"]))]) for r in got) == sorted((str(d), brute(t)) for d, t in rows)
 
 
-def test_models_tell_random_strings_from_names(make_docs, sample):
-    table = secrets.train(secrets.labelled_samples(make_docs(sample)))
-    drawn = [base64.b64encode(hashlib.sha256(bytes([i])).digest()).decode()[:36] for i in range(60)]
-    plain = [w for _, t in sample for w in re.findall(r"[A-Za-z]{20,}", t or "")] + ["read_configuration_from_file", "theoldhouseontheriverthatishere"]
-    docs = make_docs([(i, f"the {x} is") for i, x in enumerate(drawn + plain)])
-    caught = {r.doc_id for r in secrets.scan(docs, table).collect() if r.added}
-    assert len(caught & set(range(60))) >= 57
-    assert len(caught - set(range(60))) <= 0.02 * len(plain)
+ENGLISH = "get abstract bean factory post processor registry configuration reader default handler user account session manager payment gateway internal external service client request response buffer stream python numpy include local share system kernel driver network interface version release document archive image thumbnail".split()
+
+
+def ordinary_strings():
+    """A thousand strings of each kind that is no secret."""
+    draw = random.Random(11)
+    words = lambda n: [draw.choice(ENGLISH) for _ in range(n)]
+    digits = lambda n: "".join(draw.choice("0123456789") for _ in range(n))
+    kinds = {
+        "camel": lambda: "".join([words(1)[0], *(w.title() for w in words(4))]),
+        "snake": lambda: "_".join(words(4)),
+        "kebab": lambda: "-".join(words(4)),
+        "loud": lambda: "_".join(words(4)).upper(),
+        "path": lambda: "/" + "/".join(words(3)) + f"{draw.randrange(9)}/" + "/".join(words(2)),
+        "uuid": lambda: str(uuid.UUID(int=draw.getrandbits(128))),
+        "loud uuid": lambda: str(uuid.UUID(int=draw.getrandbits(128))).upper(),
+        "number": lambda: digits(draw.randrange(20, 40)),
+        "dated": lambda: f"{'_'.join(words(2))}_{digits(8)}_{digits(6)}",
+        "ruler": lambda: draw.choice("=-_/+aXx0") * draw.randrange(20, 90),
+    }
+    return {k: [x for x in (f() for _ in range(1000)) if len(x) >= 20] for k, f in kinds.items()}
+
+
+def secrets_of(n):
+    draw = random.Random(5)
+    alphabets = [string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/", string.ascii_letters + string.digits + "-_", string.digits + "ABCDEF"]
+    return ["".join(draw.choice(alphabets[i % 4]) for _ in range(draw.randrange(32, 65))) for i in range(n)]
+
+
+#: Strings that an earlier model took for secrets.
+PLAIN = ["getAbstractBeanFactoryPostProcessorRegistry", "/usr/local/lib/python3/dist-packages/numpy/core/include", "=" * 30, "A" * 40, "12345678901234567890123", "550e8400-e29b-41d4-a716-446655440000"]
+
+
+def test_models_tell_random_strings_from_ordinary_ones(make_docs, sample):
+    models = secrets.fit(make_docs(sample))
+    drawn = secrets_of(400)
+    kinds = ordinary_strings() | {"words": [w for _, t in sample for w in re.findall(r"[A-Za-z]{20,}", t or "")], "plain": PLAIN}
+    rows, place = [], {}
+    for kind, strings in {"random": drawn, **kinds}.items():
+        for x in strings:
+            place[len(rows)] = kind
+            rows.append((len(rows), f"the {x} is"))
+    caught = Counter(place[r.doc_id] for r in secrets.scan(make_docs(rows), models).select("doc_id", "base", "added").collect() if r.added)
+    assert caught["random"] >= 0.95 * len(drawn), caught
+    assert all(caught[k] <= 0.01 * len(v) for k, v in kinds.items()), caught
+
+
+def test_rulers_stay(make_docs, sample):
+    rows = [(1, "title\n" + "=" * 40 + "\nbody " + "-" * 30), (2, f"key {secrets_of(1)[0]} end")]
+    got = {r.doc_id: r.text for r in secrets.without_secrets(make_docs(rows), secrets.fit(make_docs(sample))).collect()}
+    assert got == {1: rows[0][1], 2: "key <secret> end"}
 
 
 def test_redact(make_docs, edges):

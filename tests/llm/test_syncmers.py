@@ -14,26 +14,25 @@ def brute_chosen(text):
 
 
 def brute_anchors(text):
-    """(hash, place) of kept anchors in the order of the text, and the limit, by loops."""
-    first = {}
-    for i in brute_chosen(text) if len(text) >= syncmers.K else []:
-        first.setdefault(int(syncmers.anchors(text[i : i + syncmers.K]).hashes[0]), i)
-    found = sorted(first)
-    limit = 1 << 32 if len(found) <= syncmers.LEAST else max(int(syncmers.FRACTION * 2**32), found[syncmers.LEAST - 1] + 1)
-    return sorted([(h, first[h]) for h in found if h < limit], key=lambda x: x[1]), limit
+    """(hash, place) of all anchors in the order of the text, by loops."""
+    return [(int(syncmers.anchors(text[i : i + syncmers.K]).hashes[0]), i) for i in (brute_chosen(text) if len(text) >= syncmers.K else [])]
 
 
 def brute_likeness(a, b):
-    """By the longest common run in order, by a table."""
-    (x, low), (y, other) = brute_anchors(a), brute_anchors(b)
+    """By the longest common run in order, by a table; the r-th of equal anchors meets the r-th."""
+    def named(text):
+        seen = {}
+        return [(h, seen.setdefault(h, []).append(0) or len(seen[h])) for h, _ in brute_anchors(text)]
+
+    x, y = named(a), named(b)
     if not x or not y:
         return syncmers.likeness(syncmers.anchors(a), syncmers.anchors(b)) if (a and b) else float(not a and not b)
-    x, y = ([h for h, _ in z if h < min(low, other)] for z in (x, y))
-    common = [h for h in x if h in set(y)]
-    place, best = {h: k for k, h in enumerate(y)}, []
+    place = {h: k for k, h in enumerate(y)}
+    common = [place[h] for h in x if h in place]
+    best = []
     for n, h in enumerate(common):
-        best.append(1 + max([best[m] for m in range(n) if place[common[m]] < place[h]], default=0))
-    j = max(best, default=0) / len(set(x) | set(y))
+        best.append(1 + max([best[m] for m in range(n) if common[m] < h], default=0))
+    j = max(best, default=0) / (len(x) + len(y) - len(common))
     return 2 * j / (1 + j)
 
 
@@ -59,16 +58,25 @@ def test_anchors_by_definition():
     rng = random.Random(3)
     for n in (0, 1, 15, 16, 17, 60, 400, 3000, 9000):
         text = "".join(rng.choice("abcdé 😀") for _ in range(n))
-        kept, limit = brute_anchors(text)
+        kept = brute_anchors(text)
         got = syncmers.anchors(text)
         if kept:
-            assert list(zip(got.hashes.tolist(), got.places.tolist(), strict=True)) == kept and got.limit == limit
-            every = syncmers.anchors(text, 1)
-            assert len(every.hashes) >= len(kept) and every.limit == 1 << 32 and set(got.hashes.tolist()) == {h for h in every.hashes.tolist() if h < limit}
+            assert list(zip(got.hashes.tolist(), got.places.tolist(), strict=True)) == kept and got.limit == 1 << 32
+            some = syncmers.anchors(text, 0.25)
+            assert [x for x in kept if x[0] < some.limit] == list(zip(some.hashes.tolist(), some.places.tolist(), strict=True))
+            assert len(set(some.hashes.tolist())) >= min(syncmers.LEAST, len({h for h, _ in kept}))
         else:
             assert len(got.hashes) == min(1, n)
 
 
+def test_a_text_against_its_fivefold():
+    rng = random.Random(8)
+    text = "".join(rng.choice("abcdefgh ") for _ in range(2000))
+    assert abs(syncmers.likeness(syncmers.anchors(text), syncmers.anchors(text * 5)) - 1 / 3) < 0.01
+    assert syncmers.likeness(syncmers.anchors(text * 5), syncmers.anchors(text * 5)) == 1
+
+
+
 def test_long_texts_are_cut_without_a_seam(monkeypatch):
     rng = random.Random(4)
     text = "".join(rng.choice("abcdefgh ") for _ in range(20_000))
