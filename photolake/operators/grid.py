@@ -1,18 +1,12 @@
-"""Neighbourhood work on cell tables: smoothing, film development, rotation, cropping and resampling.
-
-A line of a photo is the unit of work of the windows, so a photo of any size is spread over its lines.
-"""
+"""Steps of film development, quarter turns and crops on cell tables, cell by cell; ``tiles`` has what needs neighbours."""
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.pixels import density, expose, to_linear, to_srgb
-from .storage import checkpointed
-
 PASSES = 7
 
 
@@ -28,31 +22,6 @@ def extents(cells: DataFrame) -> DataFrame:
     return cells.groupBy("photo_id").agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"))
 
 
-def _smooth_axis(cells: DataFrame, value: str, radius: int, along: str, line: str) -> DataFrame:
-    """Seven box means along an axis, borders mirrored about the last cell. All passes share one exchange and sort."""
-    pad = PASSES * radius
-    sizes = extents(cells).select("photo_id", F.col("width" if along == "x" else "height").alias("_n"))
-    joined = cells.join(sizes, "photo_id")
-    at, n = F.col(along), F.col("_n")
-    period = F.greatest(F.lit(1), 2 * (n - 1))
-    turns = F.sequence(-F.ceil(pad / period) - 1, F.ceil(pad / period) + 1)
-    images = F.array_distinct(F.flatten(F.transform(turns, lambda k: F.array(at + k * period, -at + k * period))))
-    kept = F.when(n == 1, F.array(at.cast("long"))).otherwise(F.filter(images, lambda p: (p >= -pad) & (p < n + pad)))
-    padded = joined.withColumn("_at", F.explode(kept))
-    w = Window.partitionBy("photo_id", line).orderBy("_at").rowsBetween(-radius, radius)
-    for _ in range(PASSES):
-        padded = padded.withColumn(value, F.avg(value).over(w))
-    return padded.where(F.col("_at") == at).drop("_at", "_n")
-
-
-def smooth(cells: DataFrame, value: str, radius: int) -> DataFrame:
-    """``cells`` with one column smoothed along both axes."""
-    if radius <= 0:
-        return cells
-    across = _smooth_axis(cells, value, radius, "x", "y")
-    return _smooth_axis(across, value, radius, "y", "x")
-
-
 def develop_step(cells: DataFrame, growth: float, consumption: float, salt_consumption: float, thickness: float, dt: float) -> DataFrame:
     """One step of the reaction, cell by cell, on radius ``c_rad``, crystals ``c_cry`` and salt ``c_salt`` of each
     channel c and the shared developer ``dev``. Volumes are taken with the radius before it grows."""
@@ -82,40 +51,6 @@ def pool_equalise(cells: DataFrame, pools: DataFrame, thickness: float) -> tuple
     return cells.drop("dev").join(new.select("photo_id", F.col("pool").alias("dev")), "photo_id"), new
 
 
-def develop_photos(cells: DataFrame, p: dict, steps: int | None = None) -> DataFrame:
-    """Film development of all photos: ``r, g, b`` become densities.
-
-    ``p`` holds the parameters by the names of the default profile. Steps run from 0 to ``steps`` inclusive. Cells
-    and pools are stored after each step, since each depends on the one before.
-    """
-    steps = p["development_steps"] if steps is None else steps
-    dt = p["development_time"] / steps
-    period = steps // p["agitate_count"] if p["agitate_count"] > 0 else 3 * steps
-    exposed = {f"{c}_cry": expose(c, p["crystals_per_pixel"], p["rolloff_boundary"], p["toe_boundary"]) for c in "rgb"}
-    start = {f"{c}_rad": F.lit(p["crystal_radius"]) for c in "rgb"} | {f"{c}_salt": F.lit(p["salt_density"]) for c in "rgb"} | {"dev": F.lit(p["developer_concentration"])}
-    now = cells.withColumns(exposed | start).drop("r", "g", "b")
-    size = cells.groupBy("photo_id").agg(F.count("*").alias("_n"))
-    pools = size.select("photo_id", F.lit(p["developer_concentration"]).alias("pool"), F.lit(p["reservoir_thickness"] * p["film_area"] / 864).alias("volume"), F.sqrt(F.col("_n") / p["film_area"]).alias("ppm"))
-    now, pools = checkpointed(now), checkpointed(pools)
-    # one radius for photos of one size: sizes are few, and each is smoothed by itself
-    scales = [r["ppm"] for r in pools.select("ppm").distinct().collect()]
-    radii: dict[int, list[float]] = {}
-    for ppm in scales:
-        radii.setdefault(box_radius(p["sigma_const"], ppm, dt), []).append(ppm)
-    for i in range(steps + 1):
-        now = develop_step(now, p["crystal_growth"], p["developer_consumption"], p["salt_consumption"], p["layer_thickness"], dt)
-        if list(radii) != [0]:
-            parts = [smooth(now.join(pools.where(F.col("ppm").isin(own)).select("photo_id"), "photo_id", "left_semi"), "dev", r) for r, own in radii.items()]
-            now = parts[0]
-            for x in parts[1:]:
-                now = now.unionByName(x)
-        now, pools = pool_exchange(now, pools, p["layer_mix_const"], dt, p["layer_time_divisor"], p["layer_thickness"])
-        if (i + period // 2) % period == 0:
-            now, pools = pool_equalise(now, pools, p["layer_thickness"])
-        now, pools = checkpointed(now), checkpointed(pools)
-    return now.select("photo_id", "y", "x", *[density(f"{c}_rad", f"{c}_cry").alias(c) for c in "rgb"])
-
-
 def rotate(cells: DataFrame, turns: int) -> DataFrame:
     """Quarter turns counter-clockwise as a change of coordinates."""
     turns %= 4
@@ -156,67 +91,3 @@ def crop(cells: DataFrame, rects: DataFrame) -> DataFrame:
     """The cells inside each photo's rectangle, counted from its corner."""
     inside = cells.join(rects, "photo_id").where("x between x0 and x1 and y between y0 and y1")
     return inside.withColumns({"x": F.col("x") - F.col("x0"), "y": F.col("y") - F.col("y0")}).drop("x0", "y0", "x1", "y1")
-
-
-def _taps(point: Column, last: Column) -> Column:
-    """The two neighbours of a point on an axis, kept inside, with their weights."""
-    low = F.floor(point)
-    share = F.when(point >= 0, point - low).otherwise(point - F.ceil(point))
-    keep = lambda v: F.greatest(F.lit(0), F.least(last.cast("long"), v.cast("long"))).cast("int")
-    return F.array(F.struct(keep(low).alias("at"), (1 - share).alias("w")), F.struct(keep(F.ceil(point)).alias("at"), share.alias("w")))
-
-
-def level(cells: DataFrame, degrees: float) -> DataFrame:
-    """Fine rotation about the centre, shrunk by the largest overshoot of a corner; bilinear, kept at the edges.
-
-    Each new cell asks for four cells; these are joined on their place and added up.
-    """
-    if degrees <= -49:
-        return cells
-    a = math.radians(degrees)
-    cos, sin = F.lit(math.cos(a)), F.lit(math.sin(a))
-    sized = cells.select("photo_id", "y", "x").join(extents(cells), "photo_id")
-    sw, sh = (F.col("width") - 1) / 2.0, (F.col("height") - 1) / 2.0
-    over = lambda u, v, half: F.abs(u * cos - v * sin) / F.nullif(half, F.lit(0.0))
-    turned = [over(sw, sh, sw), over(sw, -sh, sw)] + [F.abs(u * sin + v * cos) / F.nullif(sh, F.lit(0.0)) for u, v in ((sw, sh), (sw, -sh))]
-    shrink = F.greatest(F.lit(1.0), *[F.coalesce(x, F.lit(1.0)) for x in turned])
-    u, v = F.col("x") - sw, F.col("y") - sh
-    px, py = (u * cos - v * sin) / shrink + sw, (u * sin + v * cos) / shrink + sh
-    asked = sized.select("photo_id", "y", "x", F.explode(_taps(px, F.col("width") - 1)).alias("tx"), py.alias("_py"), "height")
-    asked = asked.select("photo_id", F.col("y").alias("_y"), F.col("x").alias("_x"), "tx", F.explode(_taps(F.col("_py"), F.col("height") - 1)).alias("ty"))
-    wanted = asked.select("photo_id", "_y", "_x", F.col("tx.at").alias("x"), F.col("ty.at").alias("y"), (F.col("tx.w") * F.col("ty.w")).alias("_w"))
-    got = wanted.join(cells, ["photo_id", "y", "x"]).groupBy("photo_id", "_y", "_x").agg(*[F.sum(F.col(c) * F.col("_w")).alias(c) for c in "rgb"])
-    return got.select("photo_id", F.col("_y").alias("y"), F.col("_x").alias("x"), *"rgb")
-
-
-def _shrink_axis(cells: DataFrame, axis: str, other: str, size: str) -> DataFrame:
-    """One axis scaled by ``_factor``: bilinear to a whole multiple of the end size, then means of whole blocks."""
-    n = F.col(size).cast("double")
-    end = F.greatest(F.lit(1.0), F.round(n / F.col("_factor")))
-    whole = F.greatest(F.lit(1.0), F.floor(n / end)).cast("double")
-    scale = n / end / whole
-    line = cells.select("photo_id", other, size, "_factor").distinct()
-    asked = line.select("photo_id", other, F.col(size).alias("_n"), whole.alias("_k"), F.explode(F.sequence(F.lit(0), (end * whole - 1).cast("int"))).alias("_j"), scale.alias("_s"))
-    point = (F.col("_j") + 0.5) * F.col("_s") - 0.5
-    taps = asked.select("photo_id", other, F.floor(F.col("_j") / F.col("_k")).cast("int").alias("_to"), "_k", F.explode(_taps(point, F.col("_n") - 1)).alias("t"))
-    wanted = taps.select("photo_id", other, "_to", "_k", F.col("t.at").alias(axis), F.col("t.w").alias("_w")).where("_w <> 0")
-    rest = [c for c in cells.columns if c not in ("photo_id", "y", "x", "r", "g", "b", size, "_factor")]
-    got = wanted.join(cells, ["photo_id", "y", "x"]).groupBy("photo_id", other, "_to", "_factor", *rest).agg(*[F.sum(F.col(c) * F.col("_w") / F.col("_k")).alias(c) for c in "rgb"])
-    return got.withColumnRenamed("_to", axis)
-
-
-def downscale(cells: DataFrame, most_x: int, most_y: int) -> DataFrame:
-    """Photos scaled down to fit a box; those that fit stay as they are."""
-    sizes = extents(cells)
-    factor = F.greatest(F.col("width") / F.least(F.col("width"), F.lit(most_x)), F.col("height") / F.least(F.col("height"), F.lit(most_y)))
-    sized = cells.join(sizes.withColumn("_factor", factor), "photo_id").select("photo_id", "y", "x", "r", "g", "b", "width", "height", "_factor")
-    fit = sized.where("_factor = 1").select("photo_id", "y", "x", "r", "g", "b")
-    thin = _shrink_axis(sized.where("_factor > 1"), "x", "y", "width")
-    small = _shrink_axis(thin, "y", "x", "height")
-    return fit.unionByName(small.select("photo_id", "y", "x", "r", "g", "b"))
-
-
-def thumbnails(cells: DataFrame, most: int = 600) -> DataFrame:
-    """Linear light, scaled down to a square box, and gamma again: whole values 0..65535."""
-    linear = cells.withColumns({c: to_linear(F.col(c) / 65535.0) for c in "rgb"})
-    return downscale(linear, most, most).withColumns({c: (65535 * to_srgb(c)).cast("int") for c in "rgb"})

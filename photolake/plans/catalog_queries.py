@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 from .. import fixtures as fx
 from .. import schema
 from ..functions import catalog as fn
-from ..operators import days, organize, params, workqueue
+from ..operators import days, orderkeys, organize, params, workqueue
+from ..operators.storage import shared_folder
 from ..sources import camera_constants, files as sources
 from .registry import query
 
@@ -504,6 +506,23 @@ def upgrade_photos(spark: SparkSession, d: str) -> DataFrame:
     return params.upgrade(old, "photos", 3).select("photo_id", "import_start_time", "rating", "thumb_written")
 
 
+@query(
+    "queue_moved_keyed",
+    """SELECT photo_id, row_number() OVER (ORDER BY i) - 1 AS sorted_index FROM (SELECT photo_id, qt_index, CASE WHEN sorted_index = 5 THEN n // 2 WHEN sorted_index > 5 AND sorted_index <= n // 2 THEN sorted_index - 1 ELSE sorted_index END AS i
+  FROM queue, (SELECT count(*) AS n FROM queue)) WHERE qt_index % 11 <> 0""",
+    "queue",
+)
+def queue_moved_keyed(spark: SparkSession, d: str) -> DataFrame:
+    """The queue in zones of ordered keys: one photo moves to the middle, one in eleven goes; the dense places after that."""
+    at = f"{shared_folder(spark)}/queue-{uuid.uuid4().hex}"
+    q = fx.queue(spark, d)
+    orderkeys.create(q, at, zone_rows=500)
+    photo, n = q.where("sorted_index = 5").first().photo_id, q.count()
+    orderkeys.move(spark, at, photo, n // 2, zone_rows=500)
+    orderkeys.remove(spark, at, q.where("qt_index % 11 = 0"))
+    return orderkeys.ranked(spark, at).select("photo_id", "sorted_index")
+
+
 @query("upgrade_queue", "SELECT photo_id, qt_index AS sorted_index FROM queue", "queue")
 def upgrade_queue(spark: SparkSession, d: str) -> DataFrame:
     return params.upgrade(fx.queue(spark, d).drop("sorted_index"), "queue", 5).select("photo_id", "sorted_index")

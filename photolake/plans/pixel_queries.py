@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import fixtures as fx
 from .. import schema
 from ..functions import pixels as px
-from ..operators import grid, hist, merge, mosaic, tone
+from ..operators import grid, hist, merge, mosaic, tiles, tone
 from .registry import query
 
 BLOCK = ((3.0, 5.0), (7.0, 11.0))
@@ -441,7 +441,7 @@ def _smooth_sql() -> str:
 
 @query("smoothed", _smooth_sql(), "cells")
 def smoothed(spark: SparkSession, d: str) -> DataFrame:
-    return grid.smooth(_cells(spark, d), "r", 1).select(*AT, F.round("r", 4).alias("r"))
+    return tiles.smooth(_cells(spark, d), "r", 1).select(*AT, F.round("r", 4).alias("r"))
 
 
 @query(
@@ -478,22 +478,22 @@ def pool_equalised(spark: SparkSession, d: str) -> DataFrame:
 @query("developed")
 def developed(spark: SparkSession, d: str) -> DataFrame:
     """Steps depend on each other, so there is no twin in SQL; a NumPy twin is in the tests."""
-    return grid.develop_photos(_cells(spark, d), schema.PROFILE)
+    return tiles.develop_photos(_cells(spark, d), schema.PROFILE)
 
 
 @query("levelled")
 def levelled(spark: SparkSession, d: str) -> DataFrame:
-    return grid.level(_cells(spark, d), 7.0)
+    return tiles.level(_cells(spark, d), 7.0)
 
 
 @query("downscaled")
 def downscaled(spark: SparkSession, d: str) -> DataFrame:
-    return grid.downscale(_cells(spark, d), 9, 20)
+    return tiles.downscale(_cells(spark, d), 9, 20)
 
 
 @query("thumbnails")
 def thumbnails(spark: SparkSession, d: str) -> DataFrame:
-    return grid.thumbnails(_cells(spark, d), 12)
+    return tiles.thumbnails(_cells(spark, d), 12)
 
 
 @query("thumb_status", "SELECT photo_id, CASE WHEN count(*) = 0 THEN -1 ELSE 1 END AS status FROM cells GROUP BY 1", "cells")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from photolake import schema
 from photolake.functions import pixels as px
-from photolake.operators import grid, hist, merge, mosaic, tone
+from photolake.operators import grid, hist, merge, mosaic, tiles, tone
 
 
 def make(spark, *photos):
@@ -44,10 +44,10 @@ def test_box_radius_uses_whole_division():
 
 def test_smoothing(spark):
     a = image(20, 17)
-    got = array_of(grid.smooth(make(spark, a), "r", 2), columns="r")[:, :, 0]
+    got = array_of(tiles.smooth(make(spark, a), "r", 2), columns="r")[:, :, 0]
     assert np.allclose(got, smooth_np(a[:, :, 0], 2))
     flat = make(spark, np.full((9, 9, 3), 7.0), image(1, 3))
-    assert {round(r.r, 9) for r in grid.smooth(flat, "r", 3).where("photo_id = 0").collect()} == {7.0}
+    assert {round(r.r, 9) for r in tiles.smooth(flat, "r", 3).where("photo_id = 0").collect()} == {7.0}
 
 
 def develop_np(a, p, steps):
@@ -81,7 +81,7 @@ def develop_np(a, p, steps):
 def test_development(spark):
     a = image(16, 18, 3)
     p = schema.PROFILE | {"film_area": 3.0, "toe_boundary": 500.0, "sigma_const": 0.05}
-    got = array_of(grid.develop_photos(make(spark, a), p, steps=2))
+    got = array_of(tiles.develop_photos(make(spark, a), p, steps=2))
     assert np.allclose(got, develop_np(a, p, 2), rtol=1e-9)
 
 
@@ -123,8 +123,10 @@ def level_np(a, degrees):
 
 def test_levelling(spark):
     a = image(9, 13, 5)
-    assert np.allclose(array_of(grid.level(make(spark, a), 11.0)), level_np(a, 11.0))
-    assert grid.level(make(spark, a), -50.0).count() == 9 * 13
+    for side in (4, 128):
+        assert np.allclose(array_of(tiles.level(make(spark, a), 11.0, side)), level_np(a, 11.0))
+    assert np.allclose(array_of(tiles.level(make(spark, a), -38.0, 3)), level_np(a, -38.0))
+    assert tiles.level(make(spark, a), -50.0).count() == 9 * 13
 
 
 def shrink_np(a, factor, axis):
@@ -145,7 +147,7 @@ def shrink_np(a, factor, axis):
 @pytest.mark.parametrize("box", [(9, 20), (5, 5), (4, 30)])
 def test_downscaling(spark, box):
     a, small = image(23, 19, 6), image(4, 3, 7)
-    got = grid.downscale(make(spark, a, small), *box)
+    got = tiles.downscale(make(spark, a, small), *box, side=6)
     factor = max(19 / min(19, box[0]), 23 / min(23, box[1]))
     assert np.allclose(array_of(got), shrink_np(shrink_np(a, factor, 1), factor, 0))
     assert np.allclose(array_of(got, 1), small)
@@ -156,7 +158,7 @@ def test_thumbnails(spark):
     linear = np.where(a / 65535 <= 0.04045, a / 65535 / 12.92, ((a / 65535 + 0.055) / 1.055) ** 2.4)
     small = shrink_np(shrink_np(linear, 14 / 6, 1), 14 / 6, 0)
     want = 65535 * np.where(small <= 0.0031308, small * 12.92, 1.055 * small ** (1 / 2.4) - 0.055)
-    got = array_of(grid.thumbnails(make(spark, a), 6))
+    got = array_of(tiles.thumbnails(make(spark, a), 6))
     assert got.shape == (4, 6, 3) and np.abs(got - np.floor(want)).max() <= 1
 
 
