@@ -27,6 +27,10 @@ BOILER_WORDS = frozenset(
     "signup social sponsor sponsored subscribe subscription teaser toolbar topbar widget widgets".split()
 )
 ARTICLE = frozenset(["article", "main"])
+#: Elements of running text. A name rules one out only as a whole word of its class, not as a part of one.
+FLOW = frozenset("p blockquote pre h1 h2 h3 h4 h5 h6 li dd dt td th tr figure figcaption".split())
+#: Words among these that name what readers add.
+REMARKS = frozenset("comment comments disqus replies reply respond".split())
 
 _tag = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)"
@@ -65,7 +69,7 @@ class Node:
 def _new(tag: str, attributes: str, in_article: bool) -> Node:
     words = [w for m in _named.finditer(attributes) for w in (m[1] or m[2] or m[3] or "").lower().split()] if "=" in attributes else []
     boiler = tag in BOILER_TAGS and not (tag == "header" and in_article)  # an article's own header has its heading
-    boiler = boiler or any(p in BOILER_WORDS for w in words for p in _parts.split(w))
+    boiler = boiler or any(p in BOILER_WORDS for w in words for p in ([w] if tag in FLOW else _parts.split(w)))
     return Node(tag, tuple(sorted({w for w in words if not any(c.isdigit() for c in w)})), boiler)
 
 

@@ -21,7 +21,7 @@ from .common import texts
 MARK = "▁"
 #: A worker keeps up to twice so many words.
 KEPT_WORDS = 300_000
-ROW = "doc_id long, n_tokens long, ids binary, decoded string"
+ROW = "doc_id long, n_tokens long, ids binary, decoded string, by_library boolean"
 
 _words = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
@@ -41,6 +41,7 @@ class AgendaEncoder:
         self.whole = any(MARK in p.lstrip(MARK) for p in self.ids)  # then words can't be cut apart
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.odd: set[str] = set()  # words on which agenda and library differ
 
     def merge(self, word: str) -> list[int]:
         """Ids of one word, its spaces already marks."""
@@ -78,21 +79,25 @@ class AgendaEncoder:
             return [marked] if self.whole else _words.findall(marked)
         return [MARK + x for x in text.split(" ")]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text, begin and end included, as little-endian unsigned 32-bit integers.
+    def encode(self, texts: list[str]) -> tuple[list[bytes], list[bool]]:
+        """Ids of each text, begin and end included, as little-endian unsigned 32-bit integers, and whether some of
+        them are the library's because the agenda gave others.
 
-        Each new word is held against the library, and so is the first text as a whole.
+        Each new word is held against the library, and so is the first text as a whole; where that differs, all texts
+        are the library's.
         """
         begin, end = (array("I", [x]).tobytes() for x in (self.library.bos_id(), self.library.eos_id()))
-        out = []
+        out, odd = [], []
         for at in range(0, len(texts), 200):
             words = [self.cut(x) for x in texts[at : at + 200]]
             self.learn(set().union(*words))
             known = self.known
             out += [b"".join([begin, *[known[x] for x in own], end]) for own in words]
+            odd += [bool(self.odd) and not self.odd.isdisjoint(own) for own in words]
         if texts and self.library.encode(texts[0], add_bos=True, add_eos=True) != np.frombuffer(out[0], "<u4").tolist():
-            raise ValueError("the agenda and the sentencepiece library differ on a text")
-        return out
+            said = self.library.encode(texts, add_bos=True, add_eos=True, num_threads=1)
+            return [array("I", x).tobytes() for x in said], [True] * len(texts)
+        return out, odd
 
     def learn(self, words: set[str]) -> None:
         if len(self.known) > KEPT_WORDS:
@@ -105,7 +110,8 @@ class AgendaEncoder:
         for word, ids in zip(new, said, strict=True):
             own = self.merge(word)
             if own != ids and word[0] == MARK != word:  # the library puts a mark before what it is given
-                raise ValueError(f"the agenda and the sentencepiece library differ on {word!r}")
+                own = ids
+                self.odd.add(word)
             self.known[word] = array("I", own).tobytes()
 
 
@@ -113,10 +119,13 @@ _encoders: dict[str, AgendaEncoder] = {}
 
 
 def encode_decode(docs: DataFrame, model: str) -> DataFrame:
-    """``doc_id, n_tokens, ids, decoded`` for every document, encoded whole and decoded again by the library.
+    """``doc_id, n_tokens, ids, decoded, by_library`` for every document, encoded whole and decoded again by the library.
+
+    The agenda's ids are held against the library's; where they differ the library's hold, and ``by_library`` tells so.
 
-    Null or empty text: begin and end ids, decoded to an empty text. Null ids and repeated rows are kept as they
-    are. Empty table: no rows. No shuffle.
+    Null or empty text: begin and end ids, decoded to an empty text. Very long texts: whole. Pairs that tie in score go
+    from left to right. Null ids and repeated rows are kept as they are; other columns aren't read. Empty table: no
+    rows. No shuffle.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,11 +134,11 @@ def encode_decode(docs: DataFrame, model: str) -> DataFrame:
         coder = _encoders[model]
         for batch in batches:
             for part in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
-                ids = coder.encode(part.column("text").to_pylist())
-                decoded = [coder.library.decode(np.frombuffer(x, "<u4").tolist()) for x in ids]
+                ids, odd = coder.encode(part.column("text").to_pylist())
+                decoded = coder.library.decode([np.frombuffer(x, "<u4").tolist() for x in ids], num_threads=1)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(decoded, pa.string())],
-                    ["doc_id", "n_tokens", "ids", "decoded"],
+                    [part.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(decoded, pa.string()), pa.array(odd)],
+                    ["doc_id", "n_tokens", "ids", "decoded", "by_library"],
                 )
 
     return texts(docs).mapInArrow(run, ROW)

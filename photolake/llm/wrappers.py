@@ -12,15 +12,15 @@ places hold in a page is its main text.
 from __future__ import annotations
 
 import uuid
-import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import scratch_path, written
-from .html_tree import ARTICLE, Matcher, Node, Slot, Text, read, slots
+from .html_tree import ARTICLE, FLOW, REMARKS, Matcher, Node, Slot, Text, read, slots
 from .quality import let
 
 #: Reference pages of a host, drawn by hash: so many layouts can be told apart.
@@ -31,8 +31,8 @@ TEMPLATE_SHARE = 0.8
 REGION_SHARE = 0.6
 #: Share of the region from which a place's name can't rule it out, and weight of a named place when the region is sought.
 NAMED_SHARE = 0.5
-NAMED_WEIGHT = 0.3
-#: Share of a place's text in links from which it is a menu.
+NAMED_WEIGHT = 0.1
+#: Share of a place's text in links from which it is a menu, outside of an article element and of running text.
 LINK_SHARE = 0.7
 HEADINGS = frozenset(["h1", "h2"])
 #: Bytes of reference pages, or of wrappers, up to which they are broadcast; beyond, pages are dealt by host and salt.
@@ -47,7 +47,8 @@ ALIGNED = f"page_id long, url string, host string, layout int, slots array<int>,
 
 
 def key(text: str) -> int:
-    return zlib.crc32(text.encode("utf-8", "surrogatepass"))
+    """64 bits of a text."""
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
 def wrapper(order: list[Slot], plain: dict[int, int], linked: dict[int, int]) -> tuple[set[int], set[int]]:
@@ -80,17 +81,24 @@ def wrapper(order: list[Slot], plain: dict[int, int], linked: dict[int, int]) ->
     # headings beside the path to the region belong to it
     heads = [k for at in path[:-1] for c in order[at].children if c.tag in HEADINGS and not c.boiler and below[k := number[id(c)]]]
     total = sum([below[k] for k in chosen])
-    out, waiting = set(heads), list(chosen)
+    out, waiting = set(heads), [(k, order[k].tag in ARTICLE) for k in chosen]
     while waiting:
-        at = waiting.pop()
-        menu = links[at] and links[at] >= LINK_SHARE * (links[at] + below[at])
-        if at not in chosen and (menu or order[at].boiler) and below[at] < NAMED_SHARE * total:
+        at, article = waiting.pop()
+        slot, article = order[at], article or order[at].tag in ARTICLE
+        menu = links[at] and links[at] >= LINK_SHARE * (links[at] + below[at]) and not article and slot.tag not in FLOW
+        if at not in chosen and ((menu or slot.boiler) and below[at] < NAMED_SHARE * total or remarks(slot) and below[at] < total):
             continue
         out.add(at)
-        waiting += [number[id(c)] for c in order[at].children]
+        waiting += [(number[id(c)], article) for c in slot.children]
     return out, set(chosen)
 
 
+def remarks(slot: Slot) -> bool:
+    """Whether a place is a run of readers' comments: so named, and repeated or of repeated parts."""
+    named = slot.boiler and any(part in REMARKS for n in slot.names for part in n.replace("_", "-").split("-"))
+    return named and (len(slot.nodes) > 1 or any(len(c.nodes) > 1 for c in slot.children))
+
+
 def articles(order: list[Slot], number: dict[int, int], top: int) -> list[int]:
     """The outermost article or main elements below a place."""
     found, waiting = [], [order[top]]

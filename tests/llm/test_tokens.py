@@ -142,7 +142,7 @@ def test_sentence_pieces_equal_the_library(make_docs, edges, sample, odd_texts):
     name = vocabulary("piece_bpe_32k.model")
     coder = sentence_pieces.AgendaEncoder(name)
     for t in odd_texts:
-        assert np.frombuffer(coder.encode([t])[0], "<u4").tolist() == coder.library.encode(t, add_bos=True, add_eos=True)
+        assert np.frombuffer(coder.encode([t])[0][0], "<u4").tolist() == coder.library.encode(t, add_bos=True, add_eos=True)
     rows = edges + sample
     got = sentence_pieces.encode_decode(make_docs(rows), name).withColumn("crc", F.crc32("ids")).collect()
     lib = coder.library

@@ -41,6 +41,19 @@ def test_a_notice_goes_from_two_pages_on(make_pages):
     assert alone == want(0) + "\nRead our terms of use."  # nothing tells that it is no part of the only article
 
 
+def test_running_text_of_an_article_stays(make_pages):
+    """Names and links rule out no paragraph, quote or list of an article, and comments no page that has no article element."""
+    inside = "<p class='social-history'>A history of {n}.</p><blockquote class='related-quote'>Quoted {n}</blockquote><p>See <a href='/x'>a very long link that is most of it {n}</a> ok</p><ul><li><a href='/y'>first {n}</a></li><li><a href='/z'>second {n}</a></li></ul><p>End {n}.</p>"
+    rows = [(i, f"http://a.example.com/{i}", f"<body><nav><a href='/'>home</a></nav><article><h1>Head {i}</h1>{inside.format(n=i)}<div class='ad-box'>buy</div></article></body>") for i in range(6)]
+    got = texts(wrappers.extract(make_pages(rows)))
+    assert got == {i: f"Head {i}\nA history of {i}.\nQuoted {i}\nSee a very long link that is most of it {i} ok\nfirst {i}\nsecond {i}\nEnd {i}." for i in range(6)}
+    body = lambda i: "".join(f"<p>Paragraph {k} of text {i} with its own words.</p>" for k in range(4))
+    said = lambda i: "".join(f"<div class='comment'><p>Reader {k} of {i} says so and so, at length, and so on and on.</p></div>" for k in range(10))
+    rows = [(i, f"http://b.example.com/{i}", f"<body><div class='post'><h1>Head {i}</h1>{body(i)}</div><div class='comments'>{said(i)}</div></body>") for i in range(6)]
+    got = texts(wrappers.extract(make_pages(rows)))
+    assert got == {i: "\n".join([f"Head {i}", *(f"Paragraph {k} of text {i} with its own words." for k in range(4))]) for i in range(6)}
+
+
 def test_copies_of_a_page_keep_their_text(make_pages):
     rows = [(i, f"http://a.example.com/{i}", PAGE.format(n=7)) for i in range(30)]
     got = texts(wrappers.extract(make_pages(rows)))
