@@ -481,14 +481,35 @@ def developed(spark: SparkSession, d: str) -> DataFrame:
     return tiles.develop_photos(_cells(spark, d), schema.PROFILE)
 
 
-@query("levelled")
+_TAPS = "(SELECT *, unnest([{'at': greatest(0, least(n - 1, floor(p))), 'w': 1 - (p - trunc(p))}, {'at': greatest(0, least(n - 1, ceil(p))), 'w': p - trunc(p)}]) AS t FROM {src})"
+
+
+def _level_sql(degrees: float) -> str:
+    a, b = f"cos(radians({degrees}))", f"sin(radians({degrees}))"
+    return f"""{fx.sql('', 'cells')}, ext AS (SELECT photo_id, max(x) + 1 AS w, max(y) + 1 AS h, max(x) / 2.0::DOUBLE AS sw, max(y) / 2.0::DOUBLE AS sh FROM cells GROUP BY 1),
+  z AS (SELECT *, greatest(1.0, abs(sw * {a} - sh * {b}) / sw, abs(sw * {a} + sh * {b}) / sw, abs(sw * {b} + sh * {a}) / sh, abs(sw * {b} - sh * {a}) / sh) AS k FROM ext),
+  pts AS (SELECT photo_id, y, x, w, h, ((x - sw) * {a} - (y - sh) * {b}) / k + sw AS px, ((x - sw) * {b} + (y - sh) * {a}) / k + sh AS py FROM cells JOIN z USING (photo_id)),
+  tx AS {_TAPS.replace("{src}", "(SELECT *, w AS n, px AS p FROM pts)")}, ty AS {_TAPS.replace("{src}", "(SELECT photo_id, y, x, t.at AS ax, t.w AS wx, h AS n, py AS p FROM tx)")}
+  SELECT q.photo_id, q.y, q.x, """ + ", ".join(f"round(sum(c.{v} * wx * t.w), 4) AS {v}" for v in "rgb") + " FROM ty q JOIN cells c ON c.photo_id = q.photo_id AND c.x = ax AND c.y = t.at GROUP BY 1, 2, 3"
+
+
+def _downscale_sql(most_x: int, most_y: int) -> str:
+    axis = lambda n: f"""SELECT photo_id, j // whole AS too, whole, n, (j + 0.5) * n / last / whole - 0.5 AS p FROM (
+    SELECT *, unnest(range(0, (last * whole)::BIGINT)) AS j FROM (SELECT *, greatest(1, floor(n / last))::BIGINT AS whole FROM (SELECT photo_id, {n} AS n, greatest(1, round({n} / k))::BIGINT AS last FROM f)))"""
+    part = lambda name, n: f"{name}0 AS ({axis(n)}), {name}1 AS {_TAPS.replace('{src}', name + '0')}, {name} AS (SELECT photo_id, too, t.at AS at, sum(t.w / whole) AS w FROM {name}1 GROUP BY 1, 2, 3)"
+    return f"""{fx.sql('', 'cells')}, ext AS (SELECT photo_id, max(x) + 1 AS w, max(y) + 1 AS h FROM cells GROUP BY 1), f AS (SELECT *, greatest(w / least(w, {most_x}), h / least(h, {most_y}))::DOUBLE AS k FROM ext),
+  {part("ax", "w")}, {part("ay", "h")}
+  SELECT c.photo_id, ay.too::INTEGER AS y, ax.too::INTEGER AS x, """ + ", ".join(f"round(sum(c.{v} * ax.w * ay.w), 4) AS {v}" for v in "rgb") + " FROM cells c JOIN ax ON ax.photo_id = c.photo_id AND ax.at = c.x JOIN ay ON ay.photo_id = c.photo_id AND ay.at = c.y GROUP BY 1, 2, 3"
+
+
+@query("levelled", _level_sql(7.0))
 def levelled(spark: SparkSession, d: str) -> DataFrame:
-    return tiles.level(_cells(spark, d), 7.0)
+    return tiles.level(_cells(spark, d), 7.0).select(*AT, *_rounded("r g b", _rgb(), 4))
 
 
-@query("downscaled")
+@query("downscaled", _downscale_sql(9, 20))
 def downscaled(spark: SparkSession, d: str) -> DataFrame:
-    return tiles.downscale(_cells(spark, d), 9, 20)
+    return tiles.downscale(_cells(spark, d), 9, 20).select(*AT, *_rounded("r g b", _rgb(), 4))
 
 
 @query("thumbnails")
