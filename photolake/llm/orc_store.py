@@ -33,7 +33,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int, space
     Parts are ranges of (doc_id, text hash), numbered in their order; each row holds its part's number and its place
     there, so no file name or number of files matters. Rows in a part are sorted. Null ids come first. Null or empty
     text: the end id alone. Very long texts: a row of their own like any other. Repeated rows are all written; those
-    with one id are ordered by their text's hash. Empty table: an empty folder of files.
+    with one id are ordered by their text's hash. Columns with other names aren't read. Empty table: an empty folder of files.
     """
     rows = texts(docs)
     chars = rows.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0

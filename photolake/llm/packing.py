@@ -124,6 +124,7 @@ def pack_documents(
     sequence; the rest is padding).
 
     Null or empty text: one piece, the end id alone. Null ``doc_id``: kept as null. Repeated rows: each is packed.
+    Documents of one length go by their hash. Columns with other names aren't read.
     Empty table: no rows. The hash that deals documents out takes id and text, so no source or key is a hot spot;
     rows that are equal in both are packed in bounded groups too.
     """

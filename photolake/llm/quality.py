@@ -126,7 +126,8 @@ def apply_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *also: Column)
     """``doc_id, text``, the counts, ``base_failed``, ``failed`` (names of broken rules) and ``kept``.
 
     One projection over the scan: no shuffle, no user function. Null or empty text: no words, so base_failed.
-    Null ids, repeated rows: kept as rows. Empty table: no rows.
+    Very long texts: judged whole. A value that equals a threshold passes. Null ids, repeated rows: kept as rows. Other
+    columns aren't read. Empty table: no rows.
     """
     base, failed = verdict(rules)
     judged = measure(docs, *also).withColumns({"base_failed": base, "failed": failed})

@@ -189,7 +189,8 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> Data
 
     ``first``: the row is the component's smallest by (doc_id, text hash), nulls last. Null or empty text, or one of
     white space: fingerprint zero, linked like any other. Null ids: rows of their own, with the smallest id of their
-    component that isn't null. Repeated rows stay. Empty table: no rows. Equal texts are one fingerprint from the
+    component that isn't null. Very long texts: all their shingles count. A bit that half of them have is 0. Repeated rows
+    stay. Columns with other names aren't read. Empty table: no rows. Equal texts are one fingerprint from the
     first step on, so groups of copies of any size cost one row.
     """
     found = written(fingerprints(docs, shingle_words), "fingerprints")
@@ -205,8 +206,8 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> Data
 def one_of_each_group(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
     """The rows of ``docs``, all their columns, that come first in their group; of repeated rows one.
 
-    Null, empty and blank texts are one group. A null id comes after all others. Columns whose names clash with
-    inner ones are kept as they are. Empty table: no rows.
+    Null, empty and blank texts are one group. Very long texts: whole. Ties: the smaller text hash. A null id comes after
+    all others. Columns whose names clash with inner ones are kept as they are. Empty table: no rows.
     """
     firsts = near_duplicates(docs, shingle_words).where("first").select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("_id"), F.col("h").alias("_h")).distinct()
     keyed = docs.select(whole_row(docs), F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_h"))

@@ -152,3 +152,18 @@ def test_sentence_pieces_equal_the_library(make_docs, edges, sample, odd_texts):
         want.append((str(d), len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), lib.decode(ids)))
     assert sorted((str(r.doc_id), r.n_tokens, r.crc, r.decoded) for r in got) == sorted(want)
     assert sentence_pieces.encode_decode(make_docs([]), name).count() == 0
+
+
+def test_the_library_holds_where_the_agenda_differs():
+    import public_tokenizers
+    from photolake.llm.sentence_pieces import AgendaEncoder
+
+    coder = AgendaEncoder(public_tokenizers.path("piece_bpe_32k.model"))
+    texts = ["a plain text of words", "another text here"]
+    want = [coder.library.encode(t, add_bos=True, add_eos=True) for t in texts]
+    for worse in ("another", "plain"):  # a word of a later text, and one of the first
+        bad = AgendaEncoder(public_tokenizers.path("piece_bpe_32k.model"))
+        good = bad.merge
+        bad.merge = lambda word, good=good, worse=worse: [0, 0] if worse in word else good(word)
+        got, odd = bad.encode(texts)
+        assert [np.frombuffer(x, "<u4").tolist() for x in got] == want and odd == [worse in t for t in texts]
