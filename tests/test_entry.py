@@ -31,7 +31,7 @@ def comparable(rows, digits=6):
 
 
 #: A part of the queries, to keep the suite short; the driver compares all of them.
-CHOSEN = ["date_histogram_dense", "classify_import", "expand_requests", "enqueue", "forget_queue", "effective_params", "resolve_lens", "white_level", "hist_heights", "smoothed", "film_curve", "stream_date_histogram", "stream_import", "stream_histogram_changes", "hist_float_turned", "hist_raw_colour", "hist_raw_mono", "raw_normalised", "merge_chain", "merge_exposures", "exposure_ratio", "hash_suffix", "labels", "count_uses", "queue_view", "dequeue", "queue_move", "queue_reset_order", "queue_position"]
+CHOSEN = ["date_histogram_dense", "classify_import", "expand_requests", "enqueue", "forget_queue", "effective_params", "resolve_lens", "white_level", "hist_heights", "smoothed", "film_curve", "stream_date_histogram", "stream_import", "stream_histogram_changes", "hist_float_turned", "hist_raw_colour", "hist_raw_mono", "raw_normalised", "merge_chain", "merge_exposures", "exposure_ratio", "hash_suffix", "labels", "count_uses", "queue_view", "dequeue", "queue_move", "queue_reset_order", "queue_position", "levelled", "downscaled", "thumb_states", "camera_wb_upsert", "upgrade_params", "effective_estimates", "queue_moved_keyed", "organize_stored", "discover_raws", "stream_live_histogram"]
 
 
 @pytest.mark.skipif(not os.path.isdir(SMALL), reason="the test tables aren't here")
