@@ -10,11 +10,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .storage import written
+from .storage import numbers_in, written
 
 #: Rows of a new zone, and the distance of keys.
 ZONE_ROWS = 100_000
@@ -34,14 +33,11 @@ class Zone:
     n: int
 
 
-def zones(spark: SparkSession, path: str, version: int | None = None) -> list[Zone]:
+def zones(spark: SparkSession, path: str) -> list[Zone]:
     """The live zones by their keys; a zone stands for many rows, so the list is short."""
-    try:
-        lists = spark.read.schema(ZONES + ", list long").option("basePath", f"{path}/lists").parquet(f"{path}/lists")
-    except AnalysisException:
-        return []
-    last = lists.agg(F.max("list")).first()[0] if version is None else version
-    return sorted((Zone(r.low, r.version, r.n) for r in lists.where(F.col("list") == last).drop("list").collect()), key=lambda z: z.low)
+    known = numbers_in(spark, f"{path}/lists", "list")
+    rows = spark.read.schema(ZONES).parquet(f"{path}/lists/list={known[-1]}").collect() if known else []
+    return sorted((Zone(*r) for r in rows), key=lambda z: z.low)
 
 
 def _read(spark: SparkSession, path: str, chosen: list[Zone]) -> DataFrame:
@@ -52,13 +48,16 @@ def _read(spark: SparkSession, path: str, chosen: list[Zone]) -> DataFrame:
     return spark.read.schema(ROWS + ", low long").option("basePath", f"{path}/zones").parquet(*folders).select(*NAMES, "low")
 
 
-def _write(spark: SparkSession, path: str, rows: DataFrame, keep: list[Zone], version: int) -> None:
+def _write(spark: SparkSession, path: str, rows: DataFrame, keep: list[Zone]) -> None:
     """Writes whole zones (rows with their ``low``) as a new version beside those that stay as they are."""
+    known = numbers_in(spark, f"{path}/lists", "list")
+    version = known[-1] + 1 if known else 0
     at = f"{path}/zones/version={version}"
     rows.repartition("low").sortWithinPartitions("low", "order_key").write.mode("overwrite").partitionBy("low").parquet(at)
-    made = rows.groupBy("low").agg(F.count("*").alias("n")).select("low", F.lit(version).cast("long").alias("version"), "n")
+    made = spark.read.schema(ROWS + ", low long").parquet(at).groupBy("low").agg(F.count("*").alias("n"))
     kept = spark.createDataFrame([(z.low, z.version, z.n) for z in keep], ZONES)
-    kept.unionByName(made).coalesce(1).write.mode("overwrite").parquet(f"{path}/lists/list={version}")
+    listed = kept.unionByName(made.select("low", F.lit(version).cast("long").alias("version"), "n"))
+    listed.coalesce(1).write.mode("overwrite").parquet(f"{path}/lists/list={version}")
 
 
 def create(queue: DataFrame, path: str, zone_rows: int = ZONE_ROWS, gap: int = GAP) -> None:
@@ -66,7 +65,7 @@ def create(queue: DataFrame, path: str, zone_rows: int = ZONE_ROWS, gap: int = G
     i = F.col("sorted_index")
     low = (i - F.pmod(i, F.lit(zone_rows))) * gap
     rows = queue.select((i * gap).cast("long").alias("order_key"), *NAMES[1:], low.cast("long").alias("low"))
-    _write(queue.sparkSession, path, rows, [], 0)
+    _write(queue.sparkSession, path, rows, [])
 
 
 def ranked(spark: SparkSession, path: str) -> DataFrame:
@@ -90,12 +89,7 @@ def remove(spark: SparkSession, path: str, ids: DataFrame) -> None:
     hit = {r.low for r in _read(spark, path, live).select("photo_id", "low").join(gone, "photo_id", "left_semi").select("low").distinct().collect()}
     if hit:
         rows = _read(spark, path, [z for z in live if z.low in hit]).join(gone, "photo_id", "left_anti")
-        _write(spark, path, written(rows, "queue-zones"), [z for z in live if z.low not in hit], _next(spark, path))
-
-
-def _next(spark: SparkSession, path: str) -> int:
-    found = spark.read.schema(ZONES + ", list long").option("basePath", f"{path}/lists").parquet(f"{path}/lists").agg(F.max("list")).first()[0]
-    return 0 if found is None else found + 1
+        _write(spark, path, written(rows, "queue-zones"), [z for z in live if z.low not in hit])
 
 
 def move(spark: SparkSession, path: str, photo_id: str, dest: int, zone_rows: int = ZONE_ROWS, gap: int = GAP) -> None:
@@ -140,4 +134,4 @@ def move(spark: SparkSession, path: str, photo_id: str, dest: int, zone_rows: in
         theirs = _read(spark, path, [z for z in live if z.low == source.low]).where(F.col("photo_id") != photo_id)
         whole = whole.unionByName(theirs)
     keep = [z for z in live if z.low not in (source.low, target.low)]
-    _write(spark, path, written(whole, "queue-zones"), keep, _next(spark, path))
+    _write(spark, path, written(whole, "queue-zones"), keep)

@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -32,3 +34,13 @@ def written(df: DataFrame, what: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def numbers_in(spark: SparkSession, folder: str, name: str) -> list[int]:
+    """The numbers n of all tables ``<folder>/<name>=<n>`` that were written, told by the names of their files; none is opened."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet")
+    try:
+        found = files.load(folder).select(F.regexp_extract("path", rf"/{name}=(\d+)/", 1).cast("long").alias("n")).distinct().collect()
+    except AnalysisException:
+        return []
+    return sorted(r.n for r in found)

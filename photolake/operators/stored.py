@@ -9,14 +9,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema
 from .days import date_histogram
 from .organize import organize
-from .storage import written
+from .storage import numbers_in, written
 
 DAYS = "capture_day long, version long, n long"
 SECONDS = 86400
@@ -28,29 +27,22 @@ def capture_day(at: str = "capture_time") -> Column:
 
 
 def live_days(spark: SparkSession, path: str) -> DataFrame:
-    """The last list of days; the newest version whose list was written."""
-    try:
-        lists = spark.read.schema(DAYS + ", list long").option("basePath", f"{path}/lists").parquet(f"{path}/lists")
-    except AnalysisException:
-        return spark.createDataFrame([], DAYS)
-    last = lists.select("list").agg(F.max("list")).first()[0]
-    return lists.where(F.col("list") == last).drop("list") if last is not None else spark.createDataFrame([], DAYS)
+    """The last list of days; only its own file is opened."""
+    known = numbers_in(spark, f"{path}/lists", "list")
+    return spark.read.schema(DAYS).parquet(f"{path}/lists/list={known[-1]}") if known else spark.createDataFrame([], DAYS)
 
 
 def write_days(photos: DataFrame, path: str, days: DataFrame | None) -> None:
     """Writes ``photos`` as all photos of the days that they have, beside the live days (``capture_day, version, n``) to keep."""
     spark = photos.sparkSession
-    known = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True)
-    try:
-        old = known.load(f"{path}/lists").select(F.max(F.regexp_extract("path", r"list=(\d+)", 1).cast("long"))).first()[0]
-    except AnalysisException:
-        old = None
-    version = 0 if old is None else old + 1
-    rows = photos.withColumn("capture_day", capture_day())
-    order = ["capture_day", "capture_time", "photo_id"]
+    known = numbers_in(spark, f"{path}/lists", "list")
+    version = known[-1] + 1 if known else 0
+    at, order = f"{path}/days/version={version}", ["capture_day", "capture_time", "photo_id"]
     # ranges, not hashes: a day with very many photos is dealt into several files
-    rows.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").partitionBy("capture_day").parquet(f"{path}/days/version={version}")
-    made = rows.groupBy("capture_day").agg(F.count("*").alias("n")).select("capture_day", F.lit(version).cast("long").alias("version"), "n")
+    rows = photos.withColumn("capture_day", capture_day()).repartitionByRange(*order).sortWithinPartitions(*order)
+    rows.write.mode("overwrite").partitionBy("capture_day").parquet(at)
+    stored = spark.read.schema(schema.PHOTOS + ", capture_day long").parquet(at)
+    made = stored.groupBy("capture_day").agg(F.count("*").alias("n")).select("capture_day", F.lit(version).cast("long").alias("version"), "n")
     listed = made if days is None else days.unionByName(made)
     listed.coalesce(1).write.mode("overwrite").parquet(f"{path}/lists/list={version}")
 

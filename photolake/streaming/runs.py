@@ -19,6 +19,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.storage import numbers_in, written
+
 #: Runs of a level that become one of the next.
 FANOUT = 8
 #: Rows of a file, about.
@@ -76,11 +78,7 @@ def commit_at(spark: SparkSession, catalog: str, version: int) -> Commit | None:
 
 def versions(spark: SparkSession, catalog: str) -> list[int]:
     """All committed versions, by the names of their commits; nothing in them is read."""
-    try:
-        found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(f"{catalog}/commits").select("path").collect()
-    except AnalysisException:
-        return []
-    return sorted({int(r.path.rsplit("version=", 1)[1].split("/")[0]) for r in found})
+    return numbers_in(spark, f"{catalog}/commits", "version")
 
 
 def last_commit(spark: SparkSession, catalog: str) -> Commit:
@@ -110,17 +108,19 @@ def lookup(spark: SparkSession, files: Iterable[File], table: Table, keys: DataF
     return table.merged(found.join(keys.select(table.key).distinct(), table.key, "left_semi"))
 
 
-def write_run(spark: SparkSession, rows: DataFrame, table: Table, run: str, level: int, size: int | None = None) -> list[File]:
+def write_run(spark: SparkSession, rows: DataFrame, table: Table, run: str, level: int) -> list[File]:
     """Writes a sorted run, its files apart by ranges of the key, and describes them."""
     names, key = [c.split()[0] for c in table.columns.split(", ")], F.col(table.key)
-    dealt = rows.select(*names).coalesce(1) if size is None else rows.select(*names).repartitionByRange(max(1, -(-size // FILE_ROWS)), table.key)
     seen = Observation()
-    dealt = dealt.observe(seen, F.count("*").alias("n"), F.min(key).alias("lo"), F.max(key).alias("hi"))
+    # written once as it comes: its number of rows tells into how many files it is sorted
+    held = written(rows.select(*names).observe(seen, F.count("*").alias("n"), F.min(key).alias("lo"), F.max(key).alias("hi")), "run")
+    n = seen.get["n"]
+    dealt = held.repartitionByRange(-(-n // FILE_ROWS), table.key) if n > FILE_ROWS else held.coalesce(1)
     dealt.sortWithinPartitions(table.key).write.mode("overwrite").option(f"parquet.bloom.filter.enabled#{table.key}", "true").parquet(run)
-    if size is None or size <= FILE_ROWS:  # one file
-        return [File(table.name, level, run, run, seen.get["n"], seen.get["lo"], seen.get["hi"])] if seen.get["n"] else []
+    if n <= FILE_ROWS:  # one file
+        return [File(table.name, level, run, run, n, seen.get["lo"], seen.get["hi"])] if n else []
     sizes = spark.read.schema(table.columns).parquet(run).groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count("*"), F.min(key), F.max(key))
-    return [File(table.name, level, run, p, n, lo, hi) for p, n, lo, hi in sizes.collect()]  # one row a file
+    return [File(table.name, level, run, *r) for r in sizes.collect()]  # one row a file
 
 
 def append(spark: SparkSession, catalog: str, last: Commit, added: dict[str, DataFrame], tables: dict[str, Table], writer: str, batch: int, fanout: int = FANOUT) -> Commit:
@@ -135,8 +135,7 @@ def append(spark: SparkSession, catalog: str, last: Commit, added: dict[str, Dat
         while len({f.run for f in files if f.name == name and f.level == level}) >= fanout:
             full = [f for f in files if f.name == name and f.level == level]
             level += 1
-            whole = table.merged(read_files(spark, table, full))
-            made = write_run(spark, whole, table, f"{catalog}/runs/{name}/{version:012d}-{level}", level, sum(f.rows for f in full))
+            made = write_run(spark, table.merged(read_files(spark, table, full)), table, f"{catalog}/runs/{name}/{version:012d}-{level}", level)
             files = [f for f in files if f not in full] + made
     rows = [(f.name, f.level, f.run, f.path, f.rows, f.least, f.greatest) for f in files]
     spark.createDataFrame([("", 0, writer, "", batch, "", ""), *rows], COMMIT).coalesce(1).write.mode("overwrite").parquet(commit_path(catalog, version))
