@@ -13,7 +13,6 @@ nothing. Taking one backslash from before each control string undoes this.
 
 from __future__ import annotations
 
-import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -25,6 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import map_batches, written
 from .folds import joined_digests
+from .tokens import UnitEncoder
 
 #: The marks of the template in the order of their ids.
 HEADS = {"system": "### System: ", "user": "### User: ", "assistant": "### Assistant: "}
@@ -61,10 +61,8 @@ class Template:
     """One tokenizer file with the marks' reserved ids; strings of its own special tokens are ordinary text."""
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+        self.units = UnitEncoder(path, True)
+        self.tokenizer = self.units.tokenizer
         self.tokenizer.encode_special_tokens = True
         self.first = self.tokenizer.get_vocab_size()
         self.of = {m: self.first + i for i, m in enumerate(MARKS)}
@@ -89,17 +87,17 @@ class Template:
                 shape += [self.of[OTHER], -1, self.of[END_ROLE], -1, self.of[END]]
                 forms.append(OTHER + name + END_ROLE + body + END)
                 count.append(5)
-        got = [np.array(x.ids, "int32") for x in self.tokenizer.encode_batch_fast(bodies, add_special_tokens=False)]
+        counts, flat = self.units.encode_array(pa.array(bodies, pa.string()))
         kinds = np.array(shape, "int64")
         sizes = np.ones(len(kinds), "int64")
-        sizes[kinds < 0] = [len(x) for x in got]
+        sizes[kinds < 0] = counts
         ends = np.cumsum(sizes)
         starts = ends - sizes
         total = int(ends[-1]) if len(ends) else 0
         ids, steps = np.empty(total, "int32"), np.zeros(total + 1, "int32")
         ids[starts[kinds >= 0]] = kinds[kinds >= 0]
         texts_at = np.repeat(kinds < 0, sizes)
-        ids[texts_at] = np.concatenate(got) if got else []
+        ids[texts_at] = flat
         np.add.at(steps, starts[kinds == -2], 1)
         np.add.at(steps, ends[kinds == -2], -1)
         of_turn = np.add.reduceat(sizes, np.cumsum([0, *count[:-1]])) if count else np.zeros(0, "int64")

@@ -50,6 +50,8 @@ def test_escapes_are_undone():
         assert template.turns(ids, mask)[0] == turns
         assert template.turns(ids, mask)[1] == [t for r, t in turns if r == "assistant" and t]
         assert chat.read_text("".join(forms)) == turns
+        said = [i for r, t in turns for x in ([t] if r in chat.HEADS else [r, t]) for i in template.tokenizer.encode(chat.escape(x), add_special_tokens=False).ids]
+        assert ids[ids < template.first].tolist() == said
         assert (ids >= template.first).sum() == sum(2 if r in chat.HEADS else 3 for r, _ in turns)
 
 
@@ -57,8 +59,10 @@ def test_odd_rows(spark):
     roles = ["user", "assistant", None, "", "tool", "### User: ", "assistant"]
     rows = [(c, t, roles[(c + t) % 7], ODD[(3 * c + t) % len(ODD)]) for c in range(6) for t in range(5)]
     rows += [(None, None, None, None), (None, 1, "assistant", "null conversation"), (7, None, "assistant", None), (7, 0, "user", "a"), (7, 0, "user", "a"), (7, 0, "assistant", "tie"), (-8, -5000, "assistant", "early")]
-    for r in check(spark, rows):
-        assert len(r.ids) == len(r.mask) and r.start == 0 and r.parts == 1
+    made = check(spark, rows)
+    for r in made:  # turns without a place are a part of their own
+        before = sum(len(x.ids) for x in made if x.conv_id == r.conv_id and (x.chunk is not None, x.chunk or 0, x.seq) < (r.chunk is not None, r.chunk or 0, r.seq))
+        assert len(r.ids) == len(r.mask) and r.start == before and r.parts == sum(x.conv_id == r.conv_id for x in made)
 
 
 def test_long_conversations_in_parts(spark, monkeypatch):
