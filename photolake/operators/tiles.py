@@ -187,8 +187,9 @@ def develop_photos(cells: DataFrame, p: dict, steps: int | None = None, side: in
         r = rows[rows["own"]].iloc[0]
         data = layers_of(r["data"], *key[1:], r["height"], r["width"], side)[0].copy()
         dev = smoothed_tile(rows, side, data[9])
-        data[9] = dev * m + (1 - m) * r["pool"]
-        sums = {"gained": [float((data[9] - dev).sum())], "held": [float(data[9].sum())]}
+        after = dev * m + (1 - m) * r["pool"]
+        sums = {"gained": [float((after - dev).sum())], "held": [float(after.sum())]}
+        data[9] = after
         return pd.DataFrame({"photo_id": [key[0]], "ty": [key[1]], "tx": [key[2]], "height": [r["height"]], "width": [r["width"]], "state": [data.tobytes()]} | sums)
 
     for i in range(steps + 1):

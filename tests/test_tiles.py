@@ -40,6 +40,8 @@ def test_development_on_tiles(spark):
     got = tiles.develop_photos(make(spark, a, b), p, 2, side=7)
     for k, x in enumerate((a, b)):
         assert np.allclose(array_of(got, k), develop_np(x, p, 2), rtol=1e-9)
+    still = p | {"sigma_const": 0.0}
+    assert np.allclose(array_of(tiles.develop_photos(make(spark, b), still, 3, side=7)), develop_np(b, still, 3), rtol=1e-9)
 
 
 def test_moves_equal_a_lists(spark, tmp_path):
