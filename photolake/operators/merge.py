@@ -125,15 +125,19 @@ def estimate_wb_by_camera(photos: DataFrame, rounds: int = 80) -> DataFrame:
     """``photo_id, temperature, tint`` whose multipliers are nearest to ones for each photo's own camera.
 
     ``photos``: photo_id, matrix (array of three arrays: camera to RGB), cam_mul and pre_mul (arrays of three). A simplex
-    of three points (logarithm of the temperature, tint) is reflected, stretched, drawn in or shrunk for so many
-    rounds, as a fold inside the row; photos aren't joined or shuffled. Temperatures are limited to 2000..20000.
+    of three points (logarithms of temperature and tint, so that no tint is zero or below) is reflected, stretched, drawn
+    in or shrunk for so many rounds, as a fold inside the row; photos aren't joined or shuffled. Temperatures are limited
+    to 2000..20000. A photo without usable numbers of its camera (missing, not finite, the least of a set zero) gets 5200 K
+    and tint 1, as where the original search finds nothing.
     """
+    endless = F.lit(float("inf"))
     least = lambda a: F.array_min(a)
-    over_least = lambda c: F.transform(c, lambda x: x / least(F.col(c)))
+    over_least = lambda c: F.transform(c, lambda x: F.try_divide(x, least(F.col(c))))
     cam, pre = over_least("cam_mul"), over_least("pre_mul")
-    known = ~((F.get(F.get("matrix", 0), 0) == 1) & (F.get(F.get("matrix", 1), 1) == 1) & (F.get(F.get("matrix", 2), 2) == 1)) & ~F.forall(pre, lambda x: x == 1)
-    ratio = F.zip_with(pre, cam, lambda p, c: p / c)
-    offset = F.transform("matrix", lambda row: F.aggregate(F.zip_with(row, F.col("_ratio"), lambda m, x: m * x / least(F.col("_ratio"))), F.lit(0.0), lambda a, v: a + v))
+    unknown = ((F.get(F.get("matrix", 0), 0) == 1) & (F.get(F.get("matrix", 1), 1) == 1) & (F.get(F.get("matrix", 2), 2) == 1)) | F.forall(pre, lambda x: x == 1)
+    known = ~F.coalesce(unknown, F.lit(False))
+    ratio = F.zip_with(pre, cam, lambda p, c: F.try_divide(p, c))
+    offset = F.transform("matrix", lambda row: F.aggregate(F.zip_with(row, F.col("_ratio"), lambda m, x: F.try_divide(m * x, least(F.col("_ratio")))), F.lit(0.0), lambda a, v: a + v))
     ones = F.array(*[F.lit(1.0)] * 3)
     base = lambda t, tint: F.array(*[F.lit(v / d) for v, d in zip(base_rgb(t), (1.0, tint, 1.0), strict=True)])
     rows = photos.select("photo_id", "matrix", known.alias("_known"), ratio.alias("_ratio"))
@@ -141,13 +145,15 @@ def estimate_wb_by_camera(photos: DataFrame, rounds: int = 80) -> DataFrame:
     part = lambda c, i: F.get(F.col(c), i)
 
     def point(u: Column, m: Column) -> Column:
-        """(distance, u, m)."""
+        """(distance, u, m); endless where a divisor is zero or a number is missing."""
 
         def far(v: Column) -> Column:
-            found = F.array(*[F.greatest(part("_base", i) / x, F.lit(0.0)) * part("_offset", i) for i, x in enumerate((v["r"], v["g"] / m, v["b"]))])
-            return let(found, lambda f: let(least(f) + 1e-5, lambda low: F.aggregate(f, F.lit(0.0), lambda a, x: a + (x / low - 1) * (x / low - 1))))
+            over = (part("_base", 0), part("_base", 1) * F.exp(m), part("_base", 2))
+            found = F.array(*[F.greatest(F.coalesce(F.try_divide(b, v[c]), endless), F.lit(0.0)) * part("_offset", i) for i, (b, c) in enumerate(zip(over, "rgb", strict=True))])
+            off = lambda x, low: F.try_divide(x, low) - 1
+            return let(found, lambda f: let(least(f) + 1e-5, lambda low: F.coalesce(F.aggregate(f, F.lit(0.0), lambda a, x: a + off(x, low) * off(x, low)), endless)))
 
-        light = let(F.exp(u), lambda t: let(F.struct(*[x.alias(c) for x, c in zip(temp_to_xyz(t), "xyz", strict=True)]), lambda v: F.struct(*[x.alias(c) for x, c in zip(dot(XYZ_TO_SRGB, (v["x"], v["y"], v["z"])), "rgb", strict=True)])))
+        light = let(F.when(u > -700, F.exp(u)), lambda t: let(F.struct(*[x.alias(c) for x, c in zip(temp_to_xyz(t), "xyz", strict=True)]), lambda v: F.struct(*[x.alias(c) for x, c in zip(dot(XYZ_TO_SRGB, (v["x"], v["y"], v["z"])), "rgb", strict=True)])))
         return F.struct(let(light, far).alias("f"), u.alias("u"), m.alias("m"))
 
     def step(s: Column, _: Column) -> Column:
@@ -164,7 +170,8 @@ def estimate_wb_by_camera(photos: DataFrame, rounds: int = 80) -> DataFrame:
 
         return F.array_sort(let(middle, lambda c: let(along(1.0)(c), lambda r: moved(c, r))))
 
-    first = F.array_sort(F.array(*[point(F.log(F.lit(t)), F.lit(m)) for t, m in ((5200.0, 1.0), (7000.0, 1.0), (5200.0, 1.25))]))
+    first = F.array_sort(F.array(*[point(F.log(F.lit(t)), F.log(F.lit(m))) for t, m in ((5200.0, 1.0), (7000.0, 1.0), (5200.0, 1.25))]))
     best = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), first, step, lambda s: F.get(s, 0))
     found = rows.select("photo_id", best.alias("s"))
-    return found.select("photo_id", F.greatest(F.lit(2000.0), F.least(F.lit(20000.0), F.exp("s.u"))).alias("temperature"), F.col("s.m").alias("tint"))
+    usable = F.col("s.f") < endless
+    return found.select("photo_id", F.when(usable, F.greatest(F.lit(2000.0), F.least(F.lit(20000.0), F.exp("s.u")))).otherwise(5200.0).alias("temperature"), F.when(usable, F.exp("s.m")).otherwise(1.0).alias("tint"))

@@ -48,3 +48,11 @@ def test_entry_imports_without_a_session():
     root = Path(__file__).resolve().parents[1]
     code = "import __spark_entry__ as e; q = e.queries(); assert set(e.oracle_sql()) <= set(q) and len(q) > 80"
     subprocess.run([sys.executable, "-c", code], cwd=root, check=True, timeout=120)
+
+
+@pytest.mark.skipif(not os.path.isdir(SMALL), reason="the test tables aren't here")
+def test_each_file_has_an_estimate(spark, duck):
+    """The query has no twin in SQL."""
+    got = QUERIES["estimate_wb_by_camera"](spark, SMALL).collect()
+    assert sorted(r.photo_id for r in got) == [k for (k,) in duck.execute("SELECT c_custkey FROM customer ORDER BY 1").fetchall()]
+    assert all(2000 < r.temperature < 20000 and 0.3 < r.tint < 1.5 for r in got)

@@ -105,3 +105,40 @@ def test_simplex_finds_each_cameras_best(spark):
         mine = spark.range(1).select(far(F.lit(got[i][0]), F.lit(got[i][1])).alias("d")).first().d
         near = spark.range(0, 60).select((got[i][0] * (0.9 + F.col("id") / 300)).alias("t")).join(spark.range(0, 40).select((got[i][1] * (0.9 + F.col("id") / 200)).alias("m")))
         assert mine <= near.select(F.min(far(F.col("t"), F.col("m")))).first()[0] + 1e-9 and np.sqrt(mine) < 0.2
+
+
+CAMERA = "photo_id long, matrix array<array<double>>, cam_mul array<double>, pre_mul array<double>"
+
+
+def spread(temperature, tint, matrix, cam, pre):
+    """How far the multipliers of a known camera lie apart, over their least."""
+    light = lambda t: np.array(px.XYZ_TO_SRGB) @ (lambda x, y: np.array([x, y, 1 - x - y]))(*chromaticity(1000 / t))
+
+    def chromaticity(k):
+        low = k > 0.25
+        x = np.polyval((-0.2661239, -0.2343589, 0.8776956, 0.179910) if low else (-3.0258469, 2.1070379, 0.2226347, 0.24039), k)
+        return x, np.polyval((-0.95494760, -1.37418593, 2.09137015, -0.16748867) if low else (3.08175800, -5.87338670, 3.75112997, -0.37001483), x)
+
+    cam, pre = np.array(cam) / min(cam), np.array(pre) / min(pre)
+    m = np.array([1, tint / px.BASE_TINT, 1]) * light(px.BASE_TEMPERATURE) / light(temperature) * (np.array(matrix) @ (pre / cam))
+    return max(m) / min(m) - 1
+
+
+def test_simplex_meets_no_tint_of_zero_and_reaches_far_tints(spark):
+    stretched = [[1.68, -0.44, -0.24], [-0.24, 1.48, -0.24], [0.01, -0.49, 1.48]]
+    green = [[1.4, 0.1, -0.5], [-0.5, 1.5, 0.0], [-0.2, 0.8, 0.4]]
+    rows = [(1, stretched, [2.5, 1.0, 1.8], [1.9, 1.0, 1.4]), (2, stretched, [2.55, 1.0, 1.9], [1.9, 1.0, 1.4]), (3, green, [1.4, 2.5, 1.1], [1.5, 0.9, 2.1])]
+    got = {r.photo_id: (r.temperature, r.tint) for r in merge.estimate_wb_by_camera(spark.createDataFrame(rows, CAMERA)).collect()}
+    for i, *camera in rows:
+        assert spread(*got[i], *camera) < 1e-4, i
+    assert abs(got[3][0] - 8704.9) < 1 and abs(got[3][1] - 155.91) < 0.01
+
+
+def test_a_camera_without_numbers_stops_no_other_photo(spark):
+    m, good = [[1.6, -0.4, -0.2], [-0.2, 1.4, -0.2], [0.05, -0.45, 1.4]], [1.9, 1.0, 1.4]
+    nan, inf = float("nan"), float("inf")
+    unusable = [(m, [0.0, 0.0, 0.0], good), (m, [2.1, 1.0, 0.0], good), (m, good, [0.0, 1.0, 1.4]), (m, None, good), (m, [2.1, None, 1.6], good), (m, good, [nan, 1.0, 1.4]), (None, good, good), (m, [], good), (m, [inf] * 3, good)]
+    rows = [(0, m, [2.1, 1.0, 1.6], good), *[(i, *c) for i, c in enumerate(unusable, 1)]]
+    got = {r.photo_id: (r.temperature, r.tint) for r in merge.estimate_wb_by_camera(spark.createDataFrame(rows, CAMERA)).collect()}
+    assert len(got) == 10 and spread(*got[0], *rows[0][1:]) < 1e-4
+    assert all(abs(got[i][0] - 5200) < 1e-6 and got[i][1] == 1 for i in range(1, 10)), got
