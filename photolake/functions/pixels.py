@@ -60,19 +60,26 @@ def clip(v: Column | str) -> Column:
     return F.least(col(v), F.lit(TOP))
 
 
-def temp_to_xyz(t: Column | str) -> Triple:
-    """Illuminant of a colour temperature, scaled so that its parts are the chromaticities.
-
-    Piecewise cubics, in 1000/t for x and in x for y; a break belongs to the upper piece.
-    """
-    t = col(t).cast("double")
+def locus_x(t: Column) -> Column:
+    """Chromaticity x of a colour temperature: piecewise cubics in 1000/t; a break belongs to the upper piece."""
     k = F.lit(1000.0) / t
-    x = F.when(t < 4000, ((-0.2661239 * k - 0.2343589) * k + 0.8776956) * k + 0.179910).otherwise(((-3.0258469 * k + 2.1070379) * k + 0.2226347) * k + 0.24039)
-    y = (
+    return F.when(t < 4000, ((-0.2661239 * k - 0.2343589) * k + 0.8776956) * k + 0.179910).otherwise(((-3.0258469 * k + 2.1070379) * k + 0.2226347) * k + 0.24039)
+
+
+def locus_y(t: Column, x: Column) -> Column:
+    """Chromaticity y of a colour temperature and its x, likewise in x."""
+    return (
         F.when(t < 2222, ((-1.10638140 * x - 1.34811020) * x + 2.18555832) * x - 0.20219683)
         .when(t < 4000, ((-0.95494760 * x - 1.37418593) * x + 2.09137015) * x - 0.16748867)
         .otherwise(((3.08175800 * x - 5.87338670) * x + 3.75112997) * x - 0.37001483)
     )
+
+
+def temp_to_xyz(t: Column | str) -> Triple:
+    """Illuminant of a colour temperature, scaled so that its parts are the chromaticities."""
+    t = col(t).cast("double")
+    x = locus_x(t)
+    y = locus_y(t, x)
     return x, y, 1 - x - y
 
 

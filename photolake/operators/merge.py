@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.pixels import BASE_TEMPERATURE, BASE_TINT, XYZ_TO_SRGB, base_rgb, dot, illuminant_rgb, multipliers_of, temp_to_xyz
+from ..functions.pixels import BASE_TEMPERATURE, BASE_TINT, XYZ_TO_SRGB, base_rgb, dot, illuminant_rgb, locus_x, locus_y, multipliers_of
 from .grid import extents
 from .storage import checkpointed
 
@@ -126,9 +126,10 @@ def estimate_wb_by_camera(photos: DataFrame, rounds: int = 80) -> DataFrame:
 
     ``photos``: photo_id, matrix (array of three arrays: camera to RGB), cam_mul and pre_mul (arrays of three). A simplex
     of three points (logarithms of temperature and tint, so that no tint is zero or below) is reflected, stretched, drawn
-    in or shrunk for so many rounds, as a fold inside the row; photos aren't joined or shuffled. Temperatures are limited
-    to 2000..20000. A photo without usable numbers of its camera (missing, not finite, the least of a set zero) gets 5200 K
-    and tint 1, as where the original search finds nothing.
+    in or shrunk for so many rounds, as a fold inside the row. That takes milliseconds a photo, so photos, which may lie in
+    few small files, are dealt evenly over the shuffle partitions first. Temperatures are limited to 2000..20000. A photo
+    without usable numbers of its camera (missing, not finite, the least of a set zero) gets 5200 K and tint 1, as where
+    the original search finds nothing.
     """
     endless = F.lit(float("inf"))
     least = lambda a: F.array_min(a)
@@ -140,37 +141,39 @@ def estimate_wb_by_camera(photos: DataFrame, rounds: int = 80) -> DataFrame:
     offset = F.transform("matrix", lambda row: F.aggregate(F.zip_with(row, F.col("_ratio"), lambda m, x: F.try_divide(m * x, least(F.col("_ratio")))), F.lit(0.0), lambda a, v: a + v))
     ones = F.array(*[F.lit(1.0)] * 3)
     base = lambda t, tint: F.array(*[F.lit(v / d) for v, d in zip(base_rgb(t), (1.0, tint, 1.0), strict=True)])
-    rows = photos.select("photo_id", "matrix", known.alias("_known"), ratio.alias("_ratio"))
+    tasks = int(photos.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = photos.repartition(tasks, "photo_id").select("photo_id", "matrix", known.alias("_known"), ratio.alias("_ratio"))
     rows = rows.select("photo_id", F.when(F.col("_known"), offset).otherwise(ones).alias("_offset"), F.when(F.col("_known"), base(BASE_TEMPERATURE, BASE_TINT)).otherwise(base(5200.0, 1.0)).alias("_base"))
     part = lambda c, i: F.get(F.col(c), i)
 
     def point(u: Column, m: Column) -> Column:
         """(distance, u, m); endless where a divisor is zero or a number is missing."""
 
-        def far(v: Column) -> Column:
+        def far(x: Column, y: Column) -> Column:
             over = (part("_base", 0), part("_base", 1) * F.exp(m), part("_base", 2))
-            found = F.array(*[F.greatest(F.coalesce(F.try_divide(b, v[c]), endless), F.lit(0.0)) * part("_offset", i) for i, (b, c) in enumerate(zip(over, "rgb", strict=True))])
-            off = lambda x, low: F.try_divide(x, low) - 1
-            return let(found, lambda f: let(least(f) + 1e-5, lambda low: F.coalesce(F.aggregate(f, F.lit(0.0), lambda a, x: a + off(x, low) * off(x, low)), endless)))
+            found = F.array(*[F.greatest(F.coalesce(F.try_divide(b, v), endless), F.lit(0.0)) * part("_offset", i) for i, (b, v) in enumerate(zip(over, dot(XYZ_TO_SRGB, (x, y, 1 - x - y)), strict=True))])
+            off = lambda v, low: F.try_divide(v, low) - 1
+            return let(found, lambda f: let(least(f) + 1e-5, lambda low: F.coalesce(F.aggregate(f, F.lit(0.0), lambda a, v: a + off(v, low) * off(v, low)), endless)))
 
-        light = let(F.when(u > -700, F.exp(u)), lambda t: let(F.struct(*[x.alias(c) for x, c in zip(temp_to_xyz(t), "xyz", strict=True)]), lambda v: F.struct(*[x.alias(c) for x, c in zip(dot(XYZ_TO_SRGB, (v["x"], v["y"], v["z"])), "rgb", strict=True)])))
-        return F.struct(let(light, far).alias("f"), u.alias("u"), m.alias("m"))
+        distance = let(F.when(u > -700, F.exp(u)), lambda t: let(locus_x(t), lambda x: let(locus_y(t, x), lambda y: far(x, y))))
+        return F.struct(distance.alias("f"), u.alias("u"), m.alias("m"))
 
     def step(s: Column, _: Column) -> Column:
         a, b, worst = (F.get(s, i) for i in range(3))
-        along = lambda by: lambda c: point(c["u"] + (c["u"] - worst["u"]) * by, c["m"] + (c["m"] - worst["m"]) * by)
+        along = lambda c, by: point(c["u"] + (c["u"] - worst["u"]) * by, c["m"] + (c["m"] - worst["m"]) * by)
         middle = F.struct(((a["u"] + b["u"]) / 2).alias("u"), ((a["m"] + b["m"]) / 2).alias("m"))
-        half = lambda p: point((a["u"] + p["u"]) / 2, (a["m"] + p["m"]) / 2)
-        shrunk = F.array(a, half(b), half(worst))
+        shrunk = F.transform(s, lambda p: point((a["u"] + p["u"]) / 2, (a["m"] + p["m"]) / 2))
 
         def moved(c: Column, r: Column) -> Column:
-            stretched = let(along(2.0)(c), lambda e: F.array(a, b, F.when(e["f"] < r["f"], e).otherwise(r)))
-            drawn = let(F.when(r["f"] < worst["f"], along(0.5)(c)).otherwise(along(-0.5)(c)), lambda k: F.when(k["f"] < F.least(r["f"], worst["f"]), F.array(a, b, k)).otherwise(shrunk))
-            return F.when(r["f"] < a["f"], stretched).when(r["f"] < b["f"], F.array(a, b, r)).otherwise(drawn)
+            """Stretched if the reflected point ``r`` is the best, kept if it beats the second, else drawn in."""
+            by = F.when(r["f"] < a["f"], 2.0).when(r["f"] < worst["f"], 0.5).otherwise(-0.5)
+            chosen = lambda k: F.when(r["f"] < a["f"], F.array(a, b, F.when(k["f"] < r["f"], k).otherwise(r))).when(k["f"] < F.least(r["f"], worst["f"]), F.array(a, b, k)).otherwise(shrunk)
+            return F.when((r["f"] >= a["f"]) & (r["f"] < b["f"]), F.array(a, b, r)).otherwise(let(let(by, lambda x: along(c, x)), chosen))
 
-        return F.array_sort(let(middle, lambda c: let(along(1.0)(c), lambda r: moved(c, r))))
+        return F.array_sort(let(middle, lambda c: let(along(c, F.lit(1.0)), lambda r: moved(c, r))))
 
-    first = F.array_sort(F.array(*[point(F.log(F.lit(t)), F.log(F.lit(m))) for t, m in ((5200.0, 1.0), (7000.0, 1.0), (5200.0, 1.25))]))
+    corners = F.array(*[F.struct(F.log(F.lit(t)).alias("u"), F.log(F.lit(m)).alias("m")) for t, m in ((5200.0, 1.0), (7000.0, 1.0), (5200.0, 1.25))])
+    first = F.array_sort(F.transform(corners, lambda c: point(c["u"], c["m"])))
     best = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), first, step, lambda s: F.get(s, 0))
     found = rows.select("photo_id", best.alias("s"))
     usable = F.col("s.f") < endless
