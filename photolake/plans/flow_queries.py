@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .. import fixtures as fx
 from .. import schema
 from ..operators import stored
-from ..operators.storage import shared_folder
+from ..operators.storage import shared_folder, written
 from ..sources.files import discover_raws, with_file_id
 from ..streaming import live
 from .registry import query
@@ -145,7 +145,7 @@ def stream_live_histogram(spark: SparkSession, d: str) -> DataFrame:
     """The same edits and removals as bare new rows of the photos, in two runs of the stream with a restart between:
     first all photos and some edits, then the other edits, the removals, and late copies of the first rows."""
     at = folder(spark)
-    p = fx.photos(spark, d)
+    p = written(fx.photos(spark, d).select("photo_id", "capture_time", "rating", "event_id"), "live-photos")
     edited, removed = F.col("event_id") % 5 == 0, F.col("event_id") % 7 == 0
     image = lambda rows, version, gone: rows.select("photo_id", F.lit(version).cast("long").alias("version"), "capture_time", "rating", F.lit(gone).alias("removed"))
     moved = p.withColumns({"capture_time": F.col("capture_time") + 86400, "rating": F.lit(3)})

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -115,31 +116,48 @@ DAYS = {"days": runs.Table("days", "day", "day string, n long", lambda rows: row
 
 
 def day_changes(images: DataFrame, tz: int = 0, low: int = -6, high: int = 5) -> DataFrame:
-    """``day, n`` (+1 or -1) for a stream of photos as they are now: photo_id, version, capture_time, rating, removed.
+    """``day, n`` (photos gained, or below 0 lost) for a stream of photos as they are now: photo_id, version, capture_time, rating, removed.
 
     Keyed state remembers each photo's version and the day on which it counts, so nothing but its new row is asked for.
     Rows may come late, twice or in any order: an image whose version isn't beyond the remembered one changes nothing,
     and of one version's images the one with the last day holds. A removed photo's version stays in the state, so that
     an older image doesn't bring it back. A photo counts while its rating lies in low..high; rows without photo_id or
     version are left out; without capture time a photo counts on no day.
+
+    State is kept by groups of photos (``GROUPS``, by hash): a batch writes the groups that it touches anew, and a group's
+    changes of one day come as one row.
     """
     counts = F.col("capture_time").isNotNull() & F.col("rating").between(low, high) & ~F.coalesce("removed", F.lit(False))
     day = F.when(counts, F.unix_date(local_day("capture_time", tz))).cast("long")
-    rows = images.where("photo_id IS NOT NULL AND version IS NOT NULL").select("photo_id", "version", F.coalesce(day, F.lit(NO_DAY)).alias("day"))
+    group = F.pmod(F.xxhash64("photo_id"), F.lit(GROUPS)).cast("int")
+    rows = images.where("photo_id IS NOT NULL AND version IS NOT NULL").select(group.alias("photos"), "photo_id", "version", F.coalesce(day, F.lit(NO_DAY)).alias("day"))
 
     def remember(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        version, day = max(max(zip(p["version"], p["day"], strict=True)) for p in parts)
-        known, before = state.get if state.exists else (None, NO_DAY)
-        if known is None or version > known:
-            state.update((int(version), int(day)))
-            if day != before:
-                found = [(int(d), n) for d, n in ((day, 1), (before, -1)) if d != NO_DAY]
-                yield pd.DataFrame(found, columns=["day", "n"])
-
-    changes = rows.groupBy("photo_id").applyInPandasWithState(remember, "day long, n long", "version long, day long", "append", "NoTimeout")
+        ids, versions, days = state.get if state.exists else ([], [], [])
+        known = dict(zip(ids, zip(versions, days, strict=True), strict=True))
+        latest: dict[str, tuple[int, int]] = {}
+        for p in parts:
+            for photo, version, day in zip(p["photo_id"], p["version"].tolist(), p["day"].tolist(), strict=True):
+                if photo not in latest or (version, day) > latest[photo]:
+                    latest[photo] = version, day
+        moved: Counter = Counter()
+        newer = {k: v for k, v in latest.items() if k not in known or v[0] > known[k][0]}
+        for photo, (_, day) in newer.items():
+            moved[day] += 1
+            moved[known[photo][1] if photo in known else NO_DAY] -= 1
+        if newer:
+            known |= newer
+            state.update((list(known), *map(list, zip(*known.values(), strict=True))))
+        found = [(d, n) for d, n in moved.items() if n and d != NO_DAY]
+        if found:
+            yield pd.DataFrame(found, columns=["day", "n"])
+
+    changes = rows.groupBy("photos").applyInPandasWithState(remember, "day long, n long", "photo_ids array<string>, versions array<long>, days array<long>", "append", "NoTimeout")
     return changes.select(F.date_from_unix_date(F.col("day").cast("int")).alias("day"), "n")
 
 
+#: Groups of photos that share a row of state and a call of Python. Another number can't go on from an old checkpoint.
+GROUPS = 1 << 12
 #: Stands for "on no day" where a number is asked for.
 NO_DAY = -(2**40)
 

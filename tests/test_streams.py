@@ -93,3 +93,40 @@ def test_live_histogram_remembers_photos(spark, tmp_path):
     # out of order within a batch; late; rated up; removed; without a time; an old image after the removal
     assert run(("a", 3, 7 * DAY, 3, False), ("a", 2, 8 * DAY, 3, False), ("c", 2, 6 * DAY, 1, None), ("b", 2, None, None, True), ("d", 3, None, 1, False)) == {6: 1, 7: 1}
     assert run(("a", 2, 8 * DAY, 3, False), ("b", 1, 5 * DAY, 0, False), ("a", 3, 7 * DAY, 3, False), ("c", 3, 6 * DAY, -1, False)) == {7: 1}
+
+
+def test_live_histogram_of_many_photos_needs_few_rows_of_state(spark, tmp_path):
+    """A row of state and a call of Python cost milliseconds, so photos share them."""
+    p = spark.range(20000).selectExpr("concat('p', id) AS photo_id", "1L AS version", f"(id % 9) * {DAY} AS capture_time", "cast(id % 12 - 6 AS int) AS rating", "false AS removed")
+    p.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(IMAGE).parquet(str(tmp_path / "in"))
+    query = live.stream_live_histogram(stream, str(tmp_path / "days"), str(tmp_path / "state"), 0, 0, 5)
+    query.awaitTermination()
+    assert 0 < query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 20000 // 4
+    want = p.where("rating >= 0").groupBy(F.expr("date_from_unix_date(cast(capture_time / 86400 AS int))").alias("day")).count()
+    assert sorted(map(tuple, live.live_histogram(spark, str(tmp_path / "days")).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_photos_of_one_group_stay_apart(spark, tmp_path, monkeypatch):
+    """Random images, late, twice, of equal versions, without values, in groups of many photos that come in parts."""
+    monkeypatch.setattr(live, "GROUPS", 3)
+    records = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(records)
+    draw, known, first = random.Random(4), {}, datetime.date(1970, 1, 1)
+    spark.conf.set(records, 7)
+    try:
+        for _ in range(4):
+            rows = [(f"p{draw.randrange(40)}", draw.randrange(4), draw.choice([None, *range(5)]), draw.choice([None, -1, 0, 5]), draw.choice([None, False, False, True])) for _ in range(60)]
+            latest = {}
+            for photo, version, day, rating, removed in rows:
+                counts = day is not None and rating is not None and rating >= 0 and not removed
+                latest[photo] = max(latest.get(photo, (-1, -1)), (version, day if counts else -1))
+            known |= {k: v for k, v in latest.items() if k not in known or v[0] > known[k][0]}
+            spark.createDataFrame([(k, v, d and d * DAY, r, x) for k, v, d, r, x in rows], IMAGE).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+            stream = spark.readStream.schema(IMAGE).parquet(str(tmp_path / "in"))
+            live.stream_live_histogram(stream, str(tmp_path / "days"), str(tmp_path / "state"), 0, 0, 5, fanout=2).awaitTermination()
+            days = [d for _, d in known.values() if d >= 0]
+            got = {(r.day - first).days: r.thecount for r in live.live_histogram(spark, str(tmp_path / "days")).collect()}
+            assert got == {d: days.count(d) for d in days}
+    finally:
+        spark.conf.set(records, before)
